@@ -1,0 +1,159 @@
+"""What a validate step does when the flow runs: gates, rejected rows, valid rows, control file."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
+
+from tallyline.errors import ConfigError, GateFailed, InvalidRows
+from tallyline.functions.dates import previous_business_day
+from tallyline.operators import gates
+from tallyline.operators.validate import ERRORS, VALID, annotate, compile_rules, passes
+from tallyline.plans.steps import Context, step_alias
+from tallyline.sinks import incidents, writers
+from tallyline.sources import paths, segments
+from tallyline.sources.layout import Layout
+
+
+def report(spark, context: Context, step: str, kind: str, **what) -> None:
+    """Append an incident if the run has a table for them."""
+    if context.incidents:
+        row = incidents.incident(spark, context.flow, step, kind, context.run_time, **what)
+        incidents.record(row, context.incidents)
+
+
+def validation_effects(
+    df: DataFrame, logic: dict, step: dict, context: Context
+) -> list[Callable[[], None]]:
+    """The actions of a validate step, in order."""
+    found = [context.input_node(n) for n in step.get("source_inputs") or []]
+    name, node = next((f for f in found if f), ("", {}))
+    effects: list[Callable[[], None]] = []
+    if logic.get("previous_day_check") or logic.get("last_run_check"):
+        effects.append(lambda: check_previous_file(df, logic, step, name, node, context))
+    if logic.get("record_count_check") and logic.get("record_count_trailer_field"):
+        effects.append(lambda: check_record_count(df, logic, step, name, node, context))
+    effects.append(lambda: write_validated(df, logic, step, name, node, context))
+    return effects
+
+
+def check_previous_file(df, logic, step, name, node, context) -> None:
+    """The last delivery must exist and, if a header field is named, carry its own date."""
+    spark, label = df.sparkSession, step_alias(step)
+    holidays = context.settings.get("usa_holidays")
+    day = previous_business_day(context.run_date, holidays)
+    folder = paths.text_of(logic, "last_run_file_path") or paths.text_of(logic, "previous_day_file_path")
+    file = paths.text_of(logic, "last_run_file_name") or paths.text_of(logic, "previous_day_file_name")
+    frequency = paths.text_of(logic, "last_run_frequency") or paths.text_of(logic, "previous_day_frequency")
+    partition = paths.text_of(logic, "partition_column")
+    if folder:
+        when = partition or f"{day:%Y%m%d}"
+        path = paths.dated(folder, file or paths.text_of(node, "dataset_name"), frequency, when, context.run_date)
+    else:
+        path = paths.input_path_on(node, day, None, context.interface, context.settings)
+    path = paths.reader_path(path)
+    if not gates.file_exists(spark, path):
+        report(spark, context, label, "last_run_file_missing", expected=path, actual="FILE_MISSING")
+        raise GateFailed(f"{label}: no previous file at {path}")
+    field = paths.text_of(logic, "previous_day_header_date_field")
+    if field:
+        check_header_date(spark, path, node, field, label, context)
+
+
+def check_header_date(spark, path: str, node: dict, field: str, label: str, context: Context) -> None:
+    """Compare the header date of a previous delivery with the previous business day."""
+    layout = Layout.of(node.get("header_fields") or [], int(node.get("record_length") or 0))
+    spec = next((f for f in layout if f.name == field or f.column == field.replace("-", "_")), None)
+    if spec is None:
+        raise ConfigError(f"{label}: {field!r} is no header field")
+    lines = segments.split(segments.read_lines(spark, path), int(node.get("header_count") or 1), 0)
+    gate = gates.header_date_gate(
+        lines.header_fields(layout),
+        spec.column,
+        context.run_date,
+        context.settings.get("usa_holidays"),
+        spec.format or "yyyyMMdd",
+    )
+    rows = gate.limit(1000).collect()
+    bad = [r for r in rows if not r.ok]
+    if bad or not rows:
+        actual = f"{bad[0].status}:{bad[0].actual}" if bad else "EMPTY_FILE"
+        expected = bad[0].expected if bad else None
+        report(spark, context, label, "prev_day_check_failed", expected=expected, actual=actual)
+        raise GateFailed(f"{label}: header date of {path}: expected {expected}, found {actual}")
+
+
+def check_record_count(df, logic, step, name, node, context) -> None:
+    """The trailer's record count against the rows read."""
+    spark, label = df.sparkSession, step_alias(step)
+    source = context.sources.get(name)
+    if source is None or source.trailer is None:
+        raise ConfigError(f"{label}: input {name!r} has no trailer fields")
+    expected = gates.trailer_count(
+        source.trailer,
+        logic["record_count_trailer_field"],
+        logic.get("count_basis") or "inclusive",
+        int(node.get("header_count") or 0),
+        int(node.get("trailer_count") or 0),
+    )
+    row = gates.count_gate(df, expected).first()
+    if not row.ok:
+        report(
+            spark, context, label, "record_count_check_failed", expected=row.expected, actual=row.actual
+        )
+        raise GateFailed(f"{label}: trailer announces {row.expected} rows, read {row.actual}")
+
+
+def write_validated(df, logic, step, name, node, context) -> None:
+    """Rejected rows first, counted by the same write; then valid rows and the control file."""
+    label = step_alias(step)
+    where = paths.validation_paths(logic, context.run_date, context.interface, context.settings)
+    layout = None
+    if node.get("fields") and str(node.get("format") or "").lower() == "fixed":
+        layout = Layout.of(node["fields"], int(node.get("record_length") or 0))
+    rules, missing = logic.get("rules") or [], logic.get("on_missing", "raise")
+
+    if rules:
+        seen = Observation()
+        counted = annotate(df, rules, missing).observe(seen, F.count_if(~F.col(VALID)).alias("invalid"))
+        rejected = counted.filter(~F.col(VALID))
+        if where["error"]:
+            _write_rows(rejected, where["error"], where["error_name"], layout)
+        else:
+            rejected.write.format("noop").mode("overwrite").save()
+        invalid = seen.get["invalid"]
+        if invalid:
+            bad = annotate(df, rules, missing).filter(~F.col(VALID)).select(ERRORS)
+            samples = [r[0] for r in bad.limit(incidents.SAMPLES).collect()]
+            report(df.sparkSession, context, label, "validation", expected=0, actual=invalid, samples=samples)
+            if logic.get("abort_on_invalid", True):
+                raise InvalidRows(label, invalid, samples)
+
+    valid = df.filter(passes(compile_rules(df, rules, missing)))
+    if where["valid"]:
+        _write_rows(valid, where["valid"], where["valid_name"], layout)
+    if logic.get("ctrl_file_create") and logic.get("ctrl_file_fields"):
+        folder = paths.text_of(logic, "ctrl_output_path") or where["valid"]
+        if not folder:
+            raise ConfigError(f"{label}: no folder for the control file")
+        writers.write_control(
+            valid,
+            paths.reader_path(folder),
+            paths.text_of(logic, "ctrl_file_name"),
+            logic["ctrl_file_fields"],
+            context.header_of([name]),
+            bool(logic.get("ctrl_include_header")),
+        )
+
+
+def _write_rows(df: DataFrame, folder: str, name: str, layout: Layout | None) -> None:
+    """Rows in the layout of their input, else delimited under a name, else appended as Parquet."""
+    folder = paths.reader_path(folder)
+    if name and layout is not None:
+        writers.write_fixed(df, paths.join(folder, name), layout, on_overflow="truncate")
+    elif name:
+        writers.write_delimited(df, paths.join(folder, name), "|")
+    else:
+        writers.write_parquet(df, folder, "append")
