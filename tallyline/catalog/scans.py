@@ -19,7 +19,7 @@ from tallyline.catalog.data import (
     raw_events,
 )
 from tallyline.catalog.registry import RUN_DATE, register, table
-from tallyline.functions.fixed import cast_fields, format_lines, line_of, parse_lines
+from tallyline.functions.fixed import cast_fields, format_lines, parse_lines
 from tallyline.functions.packed import encode_packed, encode_text
 from tallyline.operators.gates import count_gate
 from tallyline.session import scratch_dir
@@ -96,12 +96,8 @@ def lines_by_position(spark, sf_dir):
         [FieldSpec("A", "long", 1, 12), FieldSpec("B", "string", 13, 4), FieldSpec("C", "string", 22, 8)]
     )
     orders = table(spark, sf_dir, "orders")
-    from tallyline.functions.fixed import line_of
-
-    picked = orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    return orders.select("o_custkey", *picked.columns).select(
-        "o_custkey", line_of(picked, layout, map_by="position").alias("value")
-    )
+    picked = orders.select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    return format_lines(picked, layout, map_by="position", keep=("o_custkey",))
 
 
 def _delivered(spark, sf_dir, holidays=()):

@@ -64,11 +64,10 @@ def parse_lines(
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Lines to columns. Fields stay text unless ``as_types``, so rules can see bad values."""
-    picked = []
-    for f in layout:
-        text = cut(F.col(value), f, layout.offset)
-        picked.append((typed(text, f) if as_types else text).alias(f.column))
-    return lines.select(*keep, *picked)
+    texts = lines.select(*keep, *[cut(F.col(value), f, layout.offset).alias(f.column) for f in layout])
+    if not as_types:
+        return texts
+    return texts.select(*keep, *[typed(F.col(f"`{f.column}`"), f).alias(f.column) for f in layout])
 
 
 def cast_fields(df: DataFrame, layout: Layout) -> DataFrame:
@@ -119,46 +118,82 @@ def scaled_digits(value: Column, precision: int) -> Column:
     return whole.cast(T.DecimalType(38, 0)).cast("string")
 
 
-def format_field(
-    value: Column, field: FieldSpec, dtype: T.DataType | None = None, on_overflow: str = "error"
-) -> Column:
-    """A value as exactly ``length`` characters; NULL becomes blanks."""
-    n = field.length
+def field_text(value: Column, field: FieldSpec, dtype: T.DataType | None = None) -> Column:
+    """A value as text, not yet fitted to its length."""
     if field.kind == "decimal" and field.precision:
-        piece = fit(scaled_digits(value, field.precision), n, on_overflow, field.name)
-        piece = zero_filled(piece, n)
-    elif field.is_numeric:
+        return scaled_digits(value, field.precision)
+    if field.is_numeric:
         if field.kind in INTEGER_WORDS and isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
             value = value.try_cast(T.DecimalType(38, 0))
-        piece = F.lpad(fit(value.cast("string"), n, on_overflow, field.name), n, " ")
+    elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        default = "yyyyMMdd" if isinstance(dtype, T.DateType) or field.kind == "date" else "yyyyMMddHHmmss"
+        return F.date_format(value, date_pattern(field.format, default))
+    return value.cast("string")
+
+
+def fit_field(text: Column, field: FieldSpec, on_overflow: str = "error") -> Column:
+    """Text as exactly ``length`` characters; NULL becomes blanks.
+
+    The text is used several times: pass a column, not a long expression.
+    """
+    n = field.length
+    if field.is_numeric:
+        piece = fit(text, n, on_overflow, field.name)
+        scaled = field.kind == "decimal" and field.precision
+        piece = zero_filled(piece, n) if scaled else F.lpad(piece, n, " ")
+    elif field.just_right:
+        piece = F.lpad(F.substring(text, 1, n), n, " ")
     else:
-        text = value.cast("string")
-        if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            default = "yyyyMMdd" if isinstance(dtype, T.DateType) or field.kind == "date" else "yyyyMMddHHmmss"
-            text = F.date_format(value, date_pattern(field.format, default))
-        piece = F.lpad(F.substring(text, 1, n), n, " ") if field.just_right else F.rpad(text, n, " ")
+        piece = F.rpad(text, n, " ")
     return F.coalesce(piece, F.lit(" " * n))
 
 
-def line_of(df: DataFrame, layout: Layout, map_by: str = "name", on_overflow: str = "error") -> Column:
-    """One column holding the formatted record; fields without a column are blank.
+def format_field(
+    value: Column, field: FieldSpec, dtype: T.DataType | None = None, on_overflow: str = "error"
+) -> Column:
+    """A value as exactly ``length`` characters, in one expression."""
+    return fit_field(field_text(value, field, dtype), field, on_overflow)
 
-    ``map_by="position"`` takes the columns in order instead of by name.
+
+def format_lines(
+    df: DataFrame,
+    layout: Layout,
+    map_by: str = "name",
+    on_overflow: str = "error",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Rows to a ``value`` column of fixed-width lines; fields without a column are blank.
+
+    ``map_by="position"`` takes the columns (without those kept) in order.
+    Texts are computed by a projection of their own: fitting looks at them
+    more than once, and Spark does not merge projections in that case.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    pieces: list[tuple[int, int, Column]] = []
+    names = [c for c in df.columns if c not in keep]
+    sources = {}
     for i, f in enumerate(layout):
         if map_by == "position":
-            source = df.columns[i] if i < len(df.columns) else None
+            sources[f.column] = names[i] if i < len(names) else None
         else:
-            source = find_column(df.columns, f.name)
-        if source is None:
-            piece = F.lit(" " * f.length)
-        else:
-            piece = format_field(F.col(f"`{source}`"), f, types[source], on_overflow)
+            sources[f.column] = find_column(df.columns, f.name)
+    texts = {f.column: f"_text{i}" for i, f in enumerate(layout) if sources[f.column] is not None}
+    staged = df.select(
+        *keep,
+        *[
+            field_text(F.col(f"`{sources[f.column]}`"), f, types[sources[f.column]]).alias(texts[f.column])
+            for f in layout
+            if f.column in texts
+        ],
+    )
+    pieces = []
+    for f in layout:
+        blank = F.lit(" " * f.length)
+        piece = fit_field(F.col(texts[f.column]), f, on_overflow) if f.column in texts else blank
         pieces.append((f.start - layout.offset, f.length, piece))
     line = assemble(pieces)
-    return F.rpad(line, layout.record_length, " ") if layout.record_length else line
+    if layout.record_length:
+        line = F.rpad(line, layout.record_length, " ")
+    return staged.select(*keep, line.alias("value"))
 
 
 def assemble(pieces: list[tuple[int, int, Column]]) -> Column:
@@ -177,10 +212,3 @@ def assemble(pieces: list[tuple[int, int, Column]]) -> Column:
         parts.append(piece)
         cursor = start + length
     return F.concat(*parts) if parts else F.lit("")
-
-
-def format_lines(
-    df: DataFrame, layout: Layout, map_by: str = "name", on_overflow: str = "error"
-) -> DataFrame:
-    """Rows to a single ``value`` column of fixed-width lines."""
-    return df.select(line_of(df, layout, map_by, on_overflow).alias("value"))

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline.errors import ConfigError
 from tallyline.functions.naming import quoted, require_column
@@ -37,21 +38,61 @@ _KEY_PARTS = (
 )
 
 
-def normal_value(value: Column) -> Column:
-    """Text to compare by: trimmed, numbers without leading or trailing zeros, NULL as blank."""
-    text = F.trim(value.cast("string"))
-    exponent = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d+$"), text).try_cast("decimal(38,12)")
-    text = F.coalesce(exponent.cast("string"), text)
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    body = F.regexp_replace(text, r"^[+-]", "")
-    whole = F.regexp_replace(F.split_part(body, F.lit("."), F.lit(1)), "^0+", "")
-    part = F.regexp_replace(F.split_part(body, F.lit("."), F.lit(2)), "0+$", "")
-    number = F.concat(
-        F.when(whole == "", "0").otherwise(whole),
-        F.when(part == "", "").otherwise(F.concat(F.lit("."), part)),
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)$"
+# Numbers of up to this many characters keep all their digits in decimal(38, 18).
+_SHORT = 19
+# Applied in turn to the text of a number: plus sign, leading zeros, bare point,
+# trailing zeros, trailing point, negative zero.
+_STRIPS = (
+    (r"^\+", ""),
+    (r"^(-?)0+(?=\d)", "$1"),
+    (r"^(-?)\.", "$10."),
+    (r"(\.\d*?)0+$", "$1"),
+    (r"\.$", ""),
+    (r"^-0$", "0"),
+)
+
+
+_PLAIN = (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def text_of(value: Column, dtype: T.DataType) -> Column:
+    """A value as text, NULL as blank, blanks around it dropped."""
+    text = value.cast("string")
+    if not isinstance(dtype, (*_PLAIN, T.DecimalType)):
+        text = F.trim(text)
+    return F.coalesce(text, F.lit(""))
+
+
+def normal_text(text: Column, dtype: T.DataType) -> Column:
+    """Text to compare by: numbers without leading or trailing zeros.
+
+    Only as much is done as the type of the column can need.
+    """
+    if isinstance(dtype, _PLAIN):
+        return text
+    if isinstance(dtype, T.DecimalType):
+        return _short_number(text) if dtype.scale else text
+    # Only text that starts with a sign, a point or a digit can be a number.
+    maybe = F.ascii(text).between(ord("+"), ord("9"))
+    short = _short_number(text.try_cast("decimal(38,18)").cast("string"))
+    long = F.when(text.rlike(_NUMBER), _stripped(text))
+    return (
+        F.when(~maybe, text)
+        .when(F.length(text) <= _SHORT, F.coalesce(short, text))
+        .otherwise(F.coalesce(long, text))
     )
-    signed = F.when(number == "0", number).otherwise(F.concat(sign, number))
-    return F.coalesce(F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), signed).otherwise(text), F.lit(""))
+
+
+def _short_number(text: Column) -> Column:
+    """Text of a decimal with a point, without trailing zeros."""
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+
+
+def _stripped(text: Column) -> Column:
+    for pattern, kept in _STRIPS:
+        text = F.regexp_replace(text, pattern, kept)
+    return text
 
 
 def normal_name(name: str) -> str:
@@ -253,20 +294,20 @@ def reconcile(
     chosen = [require_column(columns, k) for k in keys] if keys is not None else choose_key(matched)
     if missing := [k for k in chosen if not matched[k]]:
         raise ConfigError(f"the produced rows lack the key columns {missing}")
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    left = expected.select(
-        *[normal_value(F.col(quoted(c))).alias(c) for c in columns], one.alias("_ne"), none.alias("_ng")
-    )
-    right = produced.select(
-        *[
-            (normal_value(F.col(quoted(matched[c]))) if matched[c] else F.lit("")).alias(c)
-            for c in columns
-        ],
-        none.alias("_ne"),
-        one.alias("_ng"),
-    )
+    sources = {"_ne": {c: c for c in columns}, "_ng": matched}
+    sides = []
+    for side, frame in (("_ne", expected), ("_ng", produced)):
+        types = {f.name: f.dataType for f in frame.schema.fields}
+        named = {c: s for c, s in sources[side].items() if s is not None}
+        texts = frame.select(*[text_of(F.col(quoted(s)), types[s]).alias(c) for c, s in named.items()])
+        counts = [F.lit(int(side == n)).cast("bigint").alias(n) for n in ("_ne", "_ng")]
+        values = [
+            normal_text(F.col(quoted(c)), types[named[c]]) if c in named else F.lit("") for c in columns
+        ]
+        sides.append(texts.select(*[v.alias(c) for v, c in zip(values, columns)], *counts))
     counted = (
-        left.union(right)
+        sides[0]
+        .union(sides[1])
         .groupBy(*[F.col(quoted(c)) for c in columns])
         .agg(F.sum("_ne").alias("_ne"), F.sum("_ng").alias("_ng"))
     )

@@ -169,8 +169,8 @@ def passes(checks: Sequence[Check]) -> Column:
 
 def annotate(df: DataFrame, rules: Sequence[dict], on_missing: str = "raise") -> DataFrame:
     """Add the messages and the verdict to every row."""
-    checks = compile_rules(df, rules, on_missing)
-    return df.select("*", messages(checks).alias(ERRORS), passes(checks).alias(VALID))
+    told = df.select("*", messages(compile_rules(df, rules, on_missing)).alias(ERRORS))
+    return told.select("*", (F.col(ERRORS) == "").alias(VALID))
 
 
 def split_valid(

@@ -252,7 +252,8 @@ class Flow:
             lines.coalesce(1).write.mode("overwrite").text(
                 paths.reader_path(paths.under(self.base_path, node["control_file_path"]))
             )
-        self._curated_control(df, node, folder)
+        # Beside a named data set; below a folder that is the data set itself, where readers skip it.
+        self._curated_control(df, node, folder if target != folder else paths.join(folder, "_control"))
 
     def _wanted(self, node: dict) -> list[str]:
         listed = node.get("output_columns", node.get("columns"))

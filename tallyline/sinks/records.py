@@ -57,14 +57,11 @@ def record_lines(
         ]
         return F.rpad(assemble(pieces), width, " ") if pieces else F.lit(" " * width)
 
-    def repeated(side: str, layout: Layout | None, count: int) -> DataFrame:
-        return row.select(F.explode(F.array(*[line(side, layout)] * count)).alias("value"))
-
-    nothing = df.sparkSession.createDataFrame([], "value string")
-    return (
-        repeated("h", header, header_count) if header_count else nothing,
-        repeated("t", trailer, trailer_count) if trailer_count else nothing,
-    )
+    # Both sides read one and the same frame, so Spark aggregates once for both.
+    records = [F.struct(F.lit(0).alias("side"), line("h", header).alias("value"))] * header_count
+    records += [F.struct(F.lit(1).alias("side"), line("t", trailer).alias("value"))] * trailer_count
+    both = row.select(F.explode(F.array(*records)).alias("r")).select("r.*")
+    return both.filter("side = 0").select("value"), both.filter("side = 1").select("value")
 
 
 def fixed_file(
