@@ -217,7 +217,15 @@ _PER_STATUS = """
 def _deliveries(spark, sf_dir):
     base = deliver_orders(spark, sf_dir)
     return readers.read_fixed(
-        spark, f"{base}/DAILY/*/*", ORDER_LAYOUT, 1, 1, ORDER_HEADER, ORDER_TRAILER, keep_file=True
+        spark,
+        f"{base}/DAILY/*/*",
+        ORDER_LAYOUT,
+        1,
+        1,
+        ORDER_HEADER,
+        ORDER_TRAILER,
+        keep_file=True,
+        stage=True,
     )
 
 

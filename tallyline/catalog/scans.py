@@ -106,7 +106,7 @@ def _delivered(spark, sf_dir, holidays=()):
     node = {**FILE_NODE, "source_path": base}
     paths = input_paths_between(node, days[0], days[-1], list(holidays))
     return readers.read_fixed(
-        spark, paths, ORDER_LAYOUT, 1, 1, ORDER_HEADER, ORDER_TRAILER, keep_file=True
+        spark, paths, ORDER_LAYOUT, 1, 1, ORDER_HEADER, ORDER_TRAILER, keep_file=True, stage=True
     )
 
 
@@ -146,7 +146,7 @@ def segments_by_mark(spark, sf_dir):
     lines = segments.read_lines(spark, f"{base}/DAILY/*/*")
     mark = F.substring("value", 1, 1).alias("segment")
     seg = segments.by_mark(lines)
-    every = seg.header.unionByName(seg.data).unionByName(seg.trailer)
+    every = seg.header.drop("_rank").unionByName(seg.data).unionByName(seg.trailer.drop("_rank"))
     return every.groupBy(_delivery(), mark).agg(F.count(F.lit(1)).alias("n"))
 
 

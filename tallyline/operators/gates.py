@@ -32,14 +32,18 @@ def trailer_count(
     return trailer.select(*keep, value.alias("expected"))
 
 
+def announced_total(expected: DataFrame) -> DataFrame:
+    """The counts of all files as one row; NULL if one of them cannot be read."""
+    known = F.count("expected") == F.count(F.lit(1))
+    return expected.agg(F.when(known, F.sum("expected")).alias("expected"))
+
+
 def count_gate(data: DataFrame, expected: DataFrame) -> DataFrame:
     """One row: expected, actual, ok. An unreadable expectation is not ok.
 
     ``expected`` has one row per file; the counts of several files add up.
     """
-    total = expected.agg(
-        F.when(F.count("expected") == F.count(F.lit(1)), F.sum("expected")).alias("expected")
-    )
+    total = announced_total(expected)
     counted = data.agg(F.count(F.lit(1)).alias("actual"))
     return counted.select(total.scalar().alias("expected"), "actual").withColumn(
         "ok", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyline.errors import ConfigError, GateFailed, InvalidRows
 from tallyline.functions.dates import previous_business_day
 from tallyline.operators import gates
-from tallyline.operators.validate import ERRORS, VALID, annotate, compile_rules, passes
+from tallyline.operators.validate import ERRORS, VALID, annotate, fail_mode
 from tallyline.plans.steps import Context, step_alias
+from tallyline.session import scratch_dir
 from tallyline.sinks import incidents, writers
 from tallyline.sources import paths, segments
 from tallyline.sources.layout import Layout
@@ -24,19 +23,39 @@ def report(spark, context: Context, step: str, kind: str, **what) -> None:
         incidents.record(row, context.incidents)
 
 
-def validation_effects(
-    df: DataFrame, logic: dict, step: dict, context: Context
-) -> list[Callable[[], None]]:
-    """The actions of a validate step, in order."""
+def run_validate(df: DataFrame, logic: dict, step: dict, context: Context) -> DataFrame:
+    """A validate step with all it has to do; returns what it hands on.
+
+    The rows of an input are read and checked once: annotated rows go to a
+    table in the shared folder, counted by the same write, and every file of
+    the step and the steps after it are made from that table.
+    """
     found = [context.input_node(n) for n in step.get("source_inputs") or []]
     name, node = next((f for f in found if f), ("", {}))
-    effects: list[Callable[[], None]] = []
+    label, mode = step_alias(step), fail_mode(logic.get("fail_mode") or logic.get("mode"))
     if logic.get("previous_day_check") or logic.get("last_run_check"):
-        effects.append(lambda: check_previous_file(df, logic, step, name, node, context))
+        check_previous_file(df, logic, step, name, node, context)
+
+    seen = Observation()
+    counters = [F.count(F.lit(1)).alias("total"), F.count_if(~F.col(VALID)).alias("invalid")]
+    annotated = annotate(df, logic.get("rules") or [], logic.get("on_missing", "raise"))
+    counted = annotated.observe(seen, *counters)
+    if name:
+        path = scratch_dir(df.sparkSession, "checked")
+        counted.write.partitionBy(VALID).parquet(path)
+        annotated = df.sparkSession.read.schema(annotated.schema).parquet(path)
+    else:
+        # Rows made by steps may be in an order the outputs must keep: no detour.
+        counted.write.format("noop").mode("overwrite").save()
+    counts = seen.get
+
     if logic.get("record_count_check") and logic.get("record_count_trailer_field"):
-        effects.append(lambda: check_record_count(df, logic, step, name, node, context))
-    effects.append(lambda: write_validated(df, logic, step, name, node, context))
-    return effects
+        check_record_count(df.sparkSession, counts["total"], logic, label, name, node, context)
+    write_checked(annotated, counts["invalid"], logic, label, name, node, context)
+    if mode == "FLAG":
+        return annotated
+    rows = annotated.filter(F.col(VALID)) if mode == "DROP" else annotated
+    return rows.select(*df.columns)
 
 
 def check_previous_file(df, logic, step, name, node, context) -> None:
@@ -85,53 +104,40 @@ def check_header_date(spark, path: str, node: dict, field: str, label: str, cont
         raise GateFailed(f"{label}: header date of {path}: expected {expected}, found {actual}")
 
 
-def check_record_count(df, logic, step, name, node, context) -> None:
+def check_record_count(spark, actual: int, logic, label, name, node, context) -> None:
     """The trailer's record count against the rows read."""
-    spark, label = df.sparkSession, step_alias(step)
     source = context.sources.get(name)
     if source is None or source.trailer is None:
         raise ConfigError(f"{label}: input {name!r} has no trailer fields")
-    expected = gates.trailer_count(
+    announced = gates.trailer_count(
         source.trailer,
         logic["record_count_trailer_field"],
         logic.get("count_basis") or "inclusive",
         int(node.get("header_count") or 0),
         int(node.get("trailer_count") or 0),
     )
-    row = gates.count_gate(df, expected).first()
-    if not row.ok:
-        report(
-            spark, context, label, "record_count_check_failed", expected=row.expected, actual=row.actual
-        )
-        raise GateFailed(f"{label}: trailer announces {row.expected} rows, read {row.actual}")
+    expected = gates.announced_total(announced).first().expected
+    if expected != actual:
+        report(spark, context, label, "record_count_check_failed", expected=expected, actual=actual)
+        raise GateFailed(f"{label}: trailer announces {expected} rows, read {actual}")
 
 
-def write_validated(df, logic, step, name, node, context) -> None:
-    """Rejected rows first, counted by the same write; then valid rows and the control file."""
-    label = step_alias(step)
+def write_checked(annotated: DataFrame, invalid: int, logic, label, name, node, context) -> None:
+    """Rejected rows first; then, unless they end the run, valid rows and the control file."""
     where = paths.validation_paths(logic, context.run_date, context.interface, context.settings)
     layout = None
     if node.get("fields") and str(node.get("format") or "").lower() == "fixed":
         layout = Layout.of(node["fields"], int(node.get("record_length") or 0))
-    rules, missing = logic.get("rules") or [], logic.get("on_missing", "raise")
-
-    if rules:
-        seen = Observation()
-        counted = annotate(df, rules, missing).observe(seen, F.count_if(~F.col(VALID)).alias("invalid"))
-        rejected = counted.filter(~F.col(VALID))
+    if invalid:
+        rejected = annotated.filter(~F.col(VALID))
         if where["error"]:
             _write_rows(rejected, where["error"], where["error_name"], layout)
-        else:
-            rejected.write.format("noop").mode("overwrite").save()
-        invalid = seen.get["invalid"]
-        if invalid:
-            bad = annotate(df, rules, missing).filter(~F.col(VALID)).select(ERRORS)
-            samples = [r[0] for r in bad.limit(incidents.SAMPLES).collect()]
-            report(df.sparkSession, context, label, "validation", expected=0, actual=invalid, samples=samples)
-            if logic.get("abort_on_invalid", True):
-                raise InvalidRows(label, invalid, samples)
-
-    valid = df.filter(passes(compile_rules(df, rules, missing)))
+        samples = [r[0] for r in rejected.select(ERRORS).limit(incidents.SAMPLES).collect()]
+        report(annotated.sparkSession, context, label, "validation", expected=0, actual=invalid, samples=samples)
+        if logic.get("abort_on_invalid", True):
+            raise InvalidRows(label, invalid, samples)
+
+    valid = annotated.filter(F.col(VALID)).drop(ERRORS, VALID)
     if where["valid"]:
         _write_rows(valid, where["valid"], where["valid_name"], layout)
     if logic.get("ctrl_file_create") and logic.get("ctrl_file_fields"):

@@ -14,7 +14,7 @@ from tallyline.errors import ConfigError, MissingInput, UnknownColumn, UnknownOp
 from tallyline.functions.dates import previous_business_day
 from tallyline.functions.naming import column_name, find_column, quoted
 from tallyline.operators import gates
-from tallyline.plans import effects
+from tallyline.plans import checked
 from tallyline.plans.steps import Context, apply_step, order_steps, step_alias
 from tallyline.sinks import writers
 from tallyline.sinks.records import output_columns
@@ -52,8 +52,8 @@ def frequency_of(config: dict, node: str) -> str | None:
 class Flow:
     """One run of a description for one run date.
 
-    ``build`` only makes plans. ``run`` reads nothing twice on purpose: each
-    output, gate and validate step is one write or one aggregation.
+    ``build`` only makes plans. ``run`` also checks and writes: gates and
+    validate steps act as they are reached, outputs at the end.
     """
 
     def __init__(
@@ -94,7 +94,7 @@ class Flow:
         kind = str(node.get("format") or "cobol").lower()
         path = self._path(paths.input_path, node)
         if not path or not gates.file_exists(self.spark, path):
-            effects.report(self.spark, self.context, name, "input_file_missing", expected=path, actual="FILE_MISSING")
+            checked.report(self.spark, self.context, name, "input_file_missing", expected=path, actual="FILE_MISSING")
             raise MissingInput(f"input {name!r}: nothing at {path!r}")
         length = int(node.get("record_length") or 0)
         layout = Layout.of(node.get("fields") or [], length).data_fields() if node.get("fields") else None
@@ -109,7 +109,9 @@ class Flow:
         if kind in ("csv", "delimited"):
             if head or tail:
                 return Source(
-                    readers.read_delimited_segments(self.spark, path, layout, head, tail, sep, names, quote)
+                    readers.read_delimited_segments(
+                        self.spark, path, layout, head, tail, sep, names, quote, self.context.live
+                    )
                 )
             return Source(readers.read_delimited(self.spark, path, layout, sep, names, quote))
         if kind == "fixed":
@@ -121,9 +123,10 @@ class Flow:
                 tail,
                 Layout.of(node["header_fields"], length) if node.get("header_fields") else None,
                 Layout.of(node["trailer_fields"], length) if node.get("trailer_fields") else None,
+                stage=self.context.live,
             )
             if layout is not None:
-                source.data = readers.typed_fixed(source.data, layout) if node.get("scale_decimals", True) else source.data
+                source.data = readers.typed_fixed(source.data, layout)
             return source
         if kind in ("cobol", "ebcdic"):
             options = node.get("cobrix") or {}
@@ -147,10 +150,12 @@ class Flow:
             source = self.read(name, node)
             self.context.sources[name] = source
             self.datasets[name] = source.data
+            if not self.context.live:
+                continue
             if (node.get("prev_day_check") or {}).get("enabled"):
-                self.context.effects.append(lambda n=name, d=node: self._previous_day(n, d))
+                self._previous_day(name, node)
             if paths.has_count_file(node):
-                self.context.effects.append(lambda n=name, d=node: self.check_count_file(n, d))
+                self.check_count_file(name, node)
         return self.datasets
 
     def _previous_day(self, name: str, node: dict) -> None:
@@ -162,9 +167,9 @@ class Flow:
         day = previous_business_day(c.run_date, c.settings.get("usa_holidays"))
         path = paths.reader_path(paths.input_path_on(node, day, self.base_path, c.interface, c.settings))
         if not gates.file_exists(self.spark, path):
-            effects.report(self.spark, c, name, "prev_day_check_failed", expected=day, actual="FILE_MISSING")
+            checked.report(self.spark, c, name, "prev_day_check_failed", expected=day, actual="FILE_MISSING")
             raise MissingInput(f"input {name!r}: no previous file at {path}")
-        effects.check_header_date(self.spark, path, node, field, name, c)
+        checked.check_header_date(self.spark, path, node, field, name, c)
 
     def check_count_file(self, name: str, node: dict) -> bool:
         """Compare rows read with the count file; a difference is only logged."""
@@ -312,14 +317,13 @@ class Flow:
 
     def run(self, dry_run: bool = False) -> dict[str, DataFrame]:
         """Build, check, write. A dry run counts each output instead of writing anything."""
+        self.context.live = not dry_run
         self.build()
         outputs = {n: o for n, o in self.config["Outputs"].items() if isinstance(o, dict)}
         if dry_run:
             for name, node in outputs.items():
                 LOG.info("output %s: %s rows", name, self.output_frame(name, node).count())
             return self.made
-        for effect in self.context.effects:
-            effect()
         for name, node in outputs.items():
             self.write(name, node)
         return self.made

@@ -1,12 +1,11 @@
 """Steps of a description as DataFrame transformations.
 
-A step only extends the plan. What must happen at run time (writing rejected
-rows, checking gates, loading tables) is collected as effects, in step order.
+A step only extends the plan, unless the context is live: then the actions that
+belong to it (gates, rejected rows, table loads) happen as it is applied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime
 
@@ -35,7 +34,7 @@ class Context:
     inputs: dict[str, dict] = field(default_factory=dict)
     sources: dict[str, Source] = field(default_factory=dict)
     incidents: str = ""
-    effects: list[Callable[[], None]] = field(default_factory=list)
+    live: bool = False
 
     def input_node(self, name: str) -> tuple[str, dict] | None:
         """An input by name, else by name without case."""
@@ -86,13 +85,12 @@ def _custom(df, logic, step, datasets, context):
 
 
 def _validate(df, logic, step, datasets, context):
-    mode = logic.get("fail_mode") or logic.get("mode")
-    result = shape(df, logic.get("rules") or [], mode, logic.get("on_missing", "raise"))
-    if context is not None:
-        from tallyline.plans.effects import validation_effects
+    if context is not None and context.live:
+        from tallyline.plans.checked import run_validate
 
-        context.effects += validation_effects(df, logic, step, context)
-    return result
+        return run_validate(df, logic, step, context)
+    mode = logic.get("fail_mode") or logic.get("mode")
+    return shape(df, logic.get("rules") or [], mode, logic.get("on_missing", "raise"))
 
 
 def _control(df, logic, step, datasets, context):
@@ -101,10 +99,10 @@ def _control(df, logic, step, datasets, context):
 
 
 def _table_load(df, logic, step, datasets, context):
-    if context is not None:
+    if context is not None and context.live:
         from tallyline.sinks.jdbc import load_table
 
-        context.effects.append(lambda: load_table(df, logic, context.settings.get("connection")))
+        load_table(df, logic, context.settings.get("connection"))
     return df
 
 

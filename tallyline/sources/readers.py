@@ -84,6 +84,7 @@ def read_delimited_segments(
     sep: str = ",",
     header: bool = True,
     quote: str = '"',
+    stage: bool = False,
 ) -> DataFrame:
     """Delimited text between header and trailer lines that are not data.
 
@@ -97,7 +98,7 @@ def read_delimited_segments(
         names = layout.columns
     else:
         raise ConfigError("delimited text without names needs declared fields")
-    body = segments.split(lines, header_count + int(header), trailer_count).data
+    body = segments.split(lines, header_count + int(header), trailer_count, stage).data
     schema = T.StructType([T.StructField(column_name(n), T.StringType()) for n in names])
     row = F.from_csv("value", schema.toDDL(), {"sep": sep, "quote": quote})
     frame = body.select(row.alias("r")).select("r.*")
@@ -125,6 +126,7 @@ def read_fixed(
     trailer_layout: Layout | None = None,
     marks: tuple[str, str] | None = None,
     keep_file: bool = False,
+    stage: bool = False,
 ) -> Source:
     """Positional text files, each with its own header and trailer lines.
 
@@ -135,7 +137,7 @@ def read_fixed(
     if marks:
         seg = segments.by_mark(lines, *marks)
     else:
-        seg = segments.split(lines, header_count, trailer_count)
+        seg = segments.split(lines, header_count, trailer_count, stage)
     keep = (FILE,) if keep_file else ()
     if layout is None or not len(layout):
         data = seg.data.select(*keep, "value")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.fixed import cut, parse_lines
-from tallyline.session import pin_split_planning
+from tallyline.session import pin_split_planning, scratch_dir
 from tallyline.sources.layout import FieldSpec, Layout
 
 FILE = "_file"
@@ -52,8 +52,6 @@ class Segments:
 
 def _last_line(edges: DataFrame) -> DataFrame:
     """Of the few edge lines of each file the last one."""
-    if "_rank" not in edges.columns:
-        return edges
     return edges.groupBy(FILE).agg(F.max_by("value", "_rank").alias("value"))
 
 
@@ -72,54 +70,69 @@ def drop_blank(lines: DataFrame) -> DataFrame:
     return lines.filter(F.length(F.trim("value")) > 0)
 
 
-def split(lines: DataFrame, header_count: int = 0, trailer_count: int = 0) -> Segments:
-    """Cut the lines of every file by count. ``lines`` comes from ``read_lines``."""
-    nothing = lines.select(FILE, "value").limit(0)
+def split(
+    lines: DataFrame, header_count: int = 0, trailer_count: int = 0, stage: bool = False
+) -> Segments:
+    """Cut the lines of every file by count. ``lines`` comes from ``read_lines``.
+
+    With ``stage`` the edges are found once and kept as a table of one row per
+    edge line in the shared folder; otherwise each use of them scans again.
+    """
     if not header_count and not trailer_count:
+        nothing = lines.select(FILE, "value").limit(0)
         return Segments(nothing, drop_blank(lines).select(FILE, "value"), nothing, 0, 0)
-    pin_split_planning(lines.sparkSession)
+    spark = lines.sparkSession
+    pin_split_planning(spark)
     numbered = lines.withColumn("_id", F.monotonically_increasing_id())
 
     if header_count <= 1 and trailer_count <= 1:
-        # One pass; partial aggregation leaves two lines per file and task.
-        line = F.struct(PART, "_id", "value")
-        ends = numbered.groupBy(FILE).agg(F.min(line).alias("first"), F.max(line).alias("last"))
-        header = ends.select(FILE, F.col("first.value").alias("value"))
-        # A file of one line has a header and nothing after it.
-        several = F.col("first._id") != F.col("last._id") if header_count else F.lit(True)
-        trailer = ends.filter(several).select(FILE, F.col("last.value").alias("value"))
-        ids = [F.col(f"{end}._id") for end, n in (("first", header_count), ("last", trailer_count)) if n]
-        edges = ends.select(F.explode(F.array(*ids)).alias("_id"))
+        edges = _outer_lines(numbered, header_count, trailer_count)
     else:
-        header = _edge(numbered, [F.col(PART).asc(), F.col("_id").asc()], header_count)
-        trailer = _edge(numbered, [F.col(PART).desc(), F.col("_id").desc()], trailer_count)
-        # Rank counts away from the end of the file; turn it so that it grows towards it.
-        trailer = trailer.withColumn("_rank", -F.col("_rank"))
-        both = [side for side, n in ((header, header_count), (trailer, trailer_count)) if n]
-        edges = reduce(DataFrame.union, [side.select("_id") for side in both])
-        header, trailer = header.drop("_id"), trailer.drop("_id")
-
+        first = [F.col(PART).asc(), F.col("_id").asc()]
+        last = [F.col(PART).desc(), F.col("_id").desc()]
+        sides = [_edge(numbered, first, header_count, "H"), _edge(numbered, last, trailer_count, "T")]
+        edges = reduce(DataFrame.union, [s for s, n in zip(sides, (header_count, trailer_count)) if n])
+    if stage:
+        path = scratch_dir(spark, "edges")
+        edges.write.parquet(path)
+        edges = spark.read.schema(edges.schema).parquet(path)
+
+    ids = edges.select("_id")
     if len(lines.inputFiles()) * (header_count + trailer_count) <= BROADCAST_EDGES:
-        edges = F.broadcast(edges)
-    data = numbered.join(edges, "_id", "left_anti").select(FILE, "value")
-    return Segments(
-        header if header_count else nothing,
-        drop_blank(data),
-        trailer if trailer_count else nothing,
-        header_count,
-        trailer_count,
-    )
+        ids = F.broadcast(ids)
+    data = numbered.join(ids, "_id", "left_anti").select(FILE, "value")
+    header, trailer = (edges.filter(F.col("_side") == side).drop("_id", "_side") for side in "HT")
+    return Segments(header, drop_blank(data), trailer, header_count, trailer_count)
+
+
+def _outer_lines(numbered: DataFrame, header_count: int, trailer_count: int) -> DataFrame:
+    """First and last line per file in one pass: two lines per file and task are shuffled."""
+    line = F.struct(PART, "_id", "value")
+    ends = numbered.groupBy(FILE).agg(F.min(line).alias("first"), F.max(line).alias("last"))
+
+    def edge(end: str, side: str) -> Column:
+        return F.struct(
+            F.lit(side).alias("_side"), F.lit(1).alias("_rank"), f"{end}._id", f"{end}.value"
+        )
+
+    wanted = [edge("first", "H")] * header_count + [edge("last", "T")] * trailer_count
+    edges = ends.select(FILE, F.explode(F.array(*wanted)).alias("e"), F.col("first._id").alias("top"))
+    # A file of one line has a header and nothing after it.
+    twice = (F.col("e._side") == "T") & (F.col("e._id") == F.col("top")) & F.lit(bool(header_count))
+    return edges.filter(~twice).select(FILE, "e.*")
 
 
-def _edge(numbered: DataFrame, order: list[Column], count: int) -> DataFrame:
+def _edge(numbered: DataFrame, order: list[Column], count: int, side: str) -> DataFrame:
     """The ``count`` first lines per file in the given order.
 
     Spark keeps only ``count`` lines per file and task before the shuffle
-    (WindowGroupLimit), however long the file is.
+    (WindowGroupLimit), however long the file is. The rank grows towards the
+    end of the file.
     """
     window = Window.partitionBy(FILE).orderBy(*order)
-    ranked = numbered.withColumn("_rank", F.row_number().over(window))
-    return ranked.filter(F.col("_rank") <= count).drop(PART)
+    ranked = numbered.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= count)
+    rank = F.col("_n") if side == "H" else -F.col("_n")
+    return ranked.select(FILE, F.lit(side).alias("_side"), rank.alias("_rank"), "_id", "value")
 
 
 def by_mark(lines: DataFrame, header: str = "H", trailer: str = "T", at: int = 1) -> Segments:
@@ -128,9 +141,9 @@ def by_mark(lines: DataFrame, header: str = "H", trailer: str = "T", at: int = 1
     mark = cut(F.col("value"), FieldSpec("mark", start=at, length=width))
     kept = drop_blank(lines)
     return Segments(
-        kept.filter(mark == header).select(FILE, "value"),
+        kept.filter(mark == header).select(FILE, F.lit(1).alias("_rank"), "value"),
         kept.filter(~mark.isin(header, trailer)).select(FILE, "value"),
-        kept.filter(mark == trailer).select(FILE, "value"),
+        kept.filter(mark == trailer).select(FILE, F.lit(1).alias("_rank"), "value"),
         1,
         1,
     )
