@@ -17,6 +17,7 @@ from tallyline.errors import ConfigError, UnknownColumn, UnknownOperation
 from tallyline.functions.fixed import is_blank
 from tallyline.functions.naming import column_name, date_pattern, find_column
 from tallyline.operators.filters import is_member
+from tallyline.sources.readers import RAW
 
 ERRORS, VALID = "_validation_errors", "_is_valid"
 
@@ -51,9 +52,13 @@ class Check:
     code: str
 
 
+def _text(df: DataFrame, column: str) -> Column:
+    """What a field reads as: the text it came from where that was kept."""
+    return F.col(f"`{RAW}{column}`") if RAW + column in df.columns else F.col(f"`{column}`").cast("string")
+
+
 def _checks(df: DataFrame, rule: dict, column: str) -> list[Check]:
-    col = F.col(f"`{column}`")
-    text = col.cast("string")
+    text = _text(df, column)
     blank = is_blank(text)
     field = column_name(rule["field"])
     code = rule.get("code") or "E001"
@@ -104,7 +109,7 @@ def _checks(df: DataFrame, rule: dict, column: str) -> list[Check]:
 def _named_check(df: DataFrame, rule: dict, column: str, field: str, code: str) -> list[Check]:
     """The rules written as ``check`` with ``params``."""
     col = F.col(f"`{column}`")
-    text = col.cast("string")
+    text = _text(df, column)
     blank = is_blank(text)
     name = str(rule["check"]).lower()
     params = rule.get("params") or {}
@@ -119,7 +124,7 @@ def _named_check(df: DataFrame, rule: dict, column: str, field: str, code: str)
         return [Check(~blank & ~F.coalesce(member, F.lit(False)), f"'{field}' is not in the list", code)]
     low, high = params.get("min"), params.get("max")
     if name == "in_range":
-        measured: Column = F.trim(text).try_cast("double")
+        measured: Column = F.trim(col.cast("string")).try_cast("double")
         what = "is not in the range"
     elif name == "length":
         measured = F.length(text).cast("double")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyline.errors import ConfigError, GateFailed, InvalidRows
 from tallyline.functions.dates import previous_business_day
+from tallyline.functions.naming import quoted
 from tallyline.operators import gates
 from tallyline.operators.validate import ERRORS, VALID, annotate, fail_mode
 from tallyline.plans.steps import Context, step_alias
@@ -14,6 +17,7 @@ from tallyline.session import scratch_dir
 from tallyline.sinks import incidents, writers
 from tallyline.sources import paths, segments
 from tallyline.sources.layout import Layout
+from tallyline.sources.readers import RAW
 
 
 def report(spark, context: Context, step: str, kind: str, **what) -> None:
@@ -23,8 +27,10 @@ def report(spark, context: Context, step: str, kind: str, **what) -> None:
         incidents.record(row, context.incidents)
 
 
-def run_validate(df: DataFrame, logic: dict, step: dict, context: Context) -> DataFrame:
-    """A validate step with all it has to do; returns what it hands on.
+def run_validate(
+    df: DataFrame, columns: list[str], logic: dict, step: dict, context: Context
+) -> DataFrame:
+    """A validate step with all it has to do; returns what it hands on, in the given columns.
 
     The rows of an input are read and checked once: annotated rows go to a
     table in the shared folder, counted by the same write, and every file of
@@ -53,9 +59,9 @@ def run_validate(df: DataFrame, logic: dict, step: dict, context: Context) -> Da
         check_record_count(df.sparkSession, counts["total"], logic, label, name, node, context)
     write_checked(annotated, counts["invalid"], logic, label, name, node, context)
     if mode == "FLAG":
-        return annotated
+        return annotated.select(*columns, ERRORS, VALID)
     rows = annotated.filter(F.col(VALID)) if mode == "DROP" else annotated
-    return rows.select(*df.columns)
+    return rows.select(*columns)
 
 
 def check_previous_file(df, logic, step, name, node, context) -> None:
@@ -157,9 +163,15 @@ def write_checked(annotated: DataFrame, invalid: int, logic, label, name, node,
 def _write_rows(df: DataFrame, folder: str, name: str, layout: Layout | None) -> None:
     """Rows in the layout of their input, else delimited under a name, else appended as Parquet."""
     folder = paths.reader_path(folder)
+    kept = {c for c in df.columns if c.startswith(RAW)}
     if name and layout is not None:
-        writers.write_fixed(df, paths.join(folder, name), layout, on_overflow="truncate")
+        # Decimals go out as the text they came in with, whatever it was.
+        text = [replace(f, type="string", just_right=False) if RAW + f.column in kept else f for f in layout]
+        source = {c: RAW + c if RAW + c in kept else c for c in df.columns if c not in kept}
+        shown = df.select(*[F.col(quoted(s)).alias(c) for c, s in source.items()])
+        written = replace(layout, fields=tuple(text))
+        writers.write_fixed(shown, paths.join(folder, name), written, on_overflow="truncate")
     elif name:
-        writers.write_delimited(df, paths.join(folder, name), "|")
+        writers.write_delimited(df.drop(*kept), paths.join(folder, name), "|")
     else:
-        writers.write_parquet(df, folder, "append")
+        writers.write_parquet(df.drop(*kept), folder, "append")

@@ -126,6 +126,7 @@ class Flow:
                 stage=self.context.live,
             )
             if layout is not None:
+                self.context.raw[name] = readers.typed_fixed(source.data, layout, keep_raw=True)
                 source.data = readers.typed_fixed(source.data, layout)
             return source
         if kind in ("cobol", "ebcdic"):

@@ -33,6 +33,7 @@ class Context:
     settings: dict = field(default_factory=dict)
     inputs: dict[str, dict] = field(default_factory=dict)
     sources: dict[str, Source] = field(default_factory=dict)
+    raw: dict[str, DataFrame] = field(default_factory=dict)
     incidents: str = ""
     live: bool = False
 
@@ -85,12 +86,18 @@ def _custom(df, logic, step, datasets, context):
 
 
 def _validate(df, logic, step, datasets, context):
-    if context is not None and context.live:
-        from tallyline.plans.checked import run_validate
-
-        return run_validate(df, logic, step, context)
+    columns = df.columns
+    if context is not None:
+        # Rules look at the text an input's decimals came from.
+        name = next((n for n in step.get("source_inputs") or [] if n in datasets), None)
+        df = context.raw.get(name, df)
+        if context.live:
+            from tallyline.plans.checked import run_validate
+
+            return run_validate(df, columns, logic, step, context)
     mode = logic.get("fail_mode") or logic.get("mode")
-    return shape(df, logic.get("rules") or [], mode, logic.get("on_missing", "raise"))
+    made = shape(df, logic.get("rules") or [], mode, logic.get("on_missing", "raise"))
+    return made.drop(*[c for c in df.columns if c not in columns])
 
 
 def _control(df, logic, step, datasets, context):

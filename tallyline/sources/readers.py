@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterable
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -130,8 +129,7 @@ def read_fixed(
 ) -> Source:
     """Positional text files, each with its own header and trailer lines.
 
-    Fields come as trimmed text; decimals with a precision are scaled by
-    ``typed_fixed`` once validation has seen the text.
+    Fields come as trimmed text; ``typed_fixed`` scales the decimals.
     """
     lines = segments.read_lines(spark, path)
     if marks:
@@ -151,17 +149,25 @@ def read_fixed(
     )
 
 
-def typed_fixed(df: DataFrame, layout: Layout, only: Iterable[str] = ("decimal",)) -> DataFrame:
-    """Type the text columns of a positional input: by default just the scaled decimals."""
-    kinds = set(only)
-    by_column = {f.column: f for f in layout}
+RAW = "_raw_"
+
+
+def typed_fixed(df: DataFrame, layout: Layout, keep_raw: bool = False) -> DataFrame:
+    """Scale the decimals of a positional input; other fields stay text.
+
+    With ``keep_raw`` the text of each is kept as ``_raw_<name>``: digits that
+    do not parse are NULL, and only the text can tell why.
+    """
+    scaled = {f.column: f for f in layout if f.kind == "decimal" and f.precision}
     out = []
     for name, dtype in df.dtypes:
-        f = by_column.get(name)
-        if f is not None and dtype == "string" and (f.kind in kinds or "*" in kinds):
-            out.append(typed(F.col(name), f).alias(name))
-        else:
+        f = scaled.get(name)
+        if f is None or dtype != "string":
             out.append(F.col(f"`{name}`"))
+            continue
+        out.append(typed(F.col(f"`{name}`"), f).alias(name))
+        if keep_raw:
+            out.append(F.col(f"`{name}`").alias(RAW + name))
     return df.select(*out)
 
 

@@ -426,3 +426,18 @@ def test_row_operators_take_a_stream(spark, bank, tmp_path):
     query.awaitTermination(60)
     counts = {r._is_valid: r.n for r in spark.sql("select _is_valid, count(*) n from checked_rows group by 1").collect()}
     assert counts == {True: 4, False: 1}
+
+
+def test_bad_digits_are_found_and_kept(spark, bank, tmp_path):
+    bad = _line("TXN2026009", "DEP", "100200300009", 1, "USD", "A").replace("000000000001", "00000ABC0001")
+    folder = tmp_path / "in" / "DAILY" / "20260305"
+    lines = [_header(), *[_line(*r) for r in ROWS], bad, TRAILER.replace("T00000005", "T00000006")]
+    (folder / "BATCH.DAT").write_text("\n".join(lines) + "\n")
+    config = _config(tmp_path, fail_mode="DROP", abort_on_invalid=False, error_dataset_name="BAD.DAT")
+    flow = Flow(spark, config, RUN)
+    made = flow.run()["CHECKED"]
+    assert _text(tmp_path / "error" / "BAD.DAT") == [bad]
+    assert made.count() == 5 and not [c for c in made.columns if c.startswith("_")]
+    config = _config(tmp_path, fail_mode="FLAG")
+    row = Flow(spark, config, RUN).build()["CHECKED"].filter("not _is_valid").first()
+    assert row._validation_errors == "'INP_DAT_AMOUNT' is not a valid number" and row.INP_DAT_AMOUNT is None
