@@ -6,7 +6,7 @@ Every operator takes DataFrames and returns DataFrames; only sinks, gates and
 
 from tallyline.plans.flow import Flow, load_config
 from tallyline.plans.steps import apply_step
-from tallyline.session import build_session, scratch_dir, tune
+from tallyline.session import build_session, clear_scratch, scratch_dir, size_shuffles, tune
 from tallyline.sources.layout import FieldSpec, Layout
 
 __all__ = [
@@ -15,7 +15,9 @@ __all__ = [
     "Layout",
     "apply_step",
     "build_session",
+    "clear_scratch",
     "load_config",
     "scratch_dir",
+    "size_shuffles",
     "tune",
 ]

@@ -423,9 +423,9 @@ def control_begin(spark, sf_dir):
 )
 def control_header_dates(spark, sf_dir):
     """CT5: dates and text of the file's header line."""
-    base = deliver_orders(spark, sf_dir)
+    base = deliver_orders(spark, sf_dir, "P")
     source = readers.read_fixed(
-        spark, f"{base}/DAILY/20260306/ORDERS.DAT", ORDER_LAYOUT, 1, 1, ORDER_HEADER
+        spark, f"{base}/DAILY/20260306/ORDERS.DAT", ORDER_LAYOUT, 1, 1, ORDER_HEADER, stage=True
     )
     return control.control_row(
         source.data,

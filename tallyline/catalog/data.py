@@ -68,10 +68,12 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def deliver_orders(spark: SparkSession, sf_dir: str) -> str:
+def deliver_orders(spark: SparkSession, sf_dir: str, only: str = "") -> str:
     """Write one positional file per order status below a dated folder; returns the base folder."""
     base = scratch_dir(spark, "deliveries")
     for status, day in DELIVERIES.items():
+        if only and status != only:
+            continue
         rows = order_records(spark, sf_dir).filter(F.col("STATUS") == status)
         writers.write_fixed(
             rows.withColumn("DELIVERY", F.lit(day)),

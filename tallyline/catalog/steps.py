@@ -8,6 +8,7 @@ from tallyline.catalog.data import ORDER_LAYOUT, money, number, order_records
 from tallyline.catalog.registry import register, table
 from tallyline.functions.fixed import format_lines, parse_lines
 from tallyline.operators import aggregates, filters, joins, project, sets
+from tallyline.session import scratch_dir
 from tallyline.sources.layout import FieldSpec, Layout
 
 # -- filters ------------------------------------------------------------------
@@ -412,7 +413,7 @@ _TXN = Layout.of(
 
 
 def _transactions(spark, sf_dir):
-    """Line items as positional transaction lines and back: the record a bank would deliver."""
+    """Line items delivered as a positional transaction file, and read from it."""
     items = table(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_returnflag") == "R", "DR").when(F.col("l_returnflag") == "A", "CR").otherwise("XX")
     records = items.select(
@@ -421,7 +422,9 @@ def _transactions(spark, sf_dir):
         kind.alias("TXN_TYPE"),
         money("l_extendedprice", 12).alias("TXN_AMT"),
     )
-    return parse_lines(format_lines(records, _TXN), _TXN, as_types=True)
+    path = scratch_dir(spark, "transactions")
+    format_lines(records, _TXN).write.text(path)
+    return parse_lines(spark.read.text(path), _TXN, as_types=True)
 
 
 @register(

@@ -112,16 +112,23 @@ def zero_filled(digits: Column, length: int) -> Column:
     ).otherwise(F.lpad(digits, length, "0"))
 
 
-def scaled_digits(value: Column, precision: int) -> Column:
-    """A number as the digits of value * 10^precision, rounded half up."""
-    whole = value.try_cast(T.DecimalType(38 - precision, precision)) * F.lit(Decimal(10) ** precision)
+def scaled_digits(value: Column, precision: int, dtype: T.DataType | None = None) -> Column:
+    """A number as the digits of value * 10^precision, rounded half up.
+
+    Decimals keep their own width: up to 18 digits Spark computes them as longs.
+    """
+    factor = F.lit(Decimal(10) ** precision)
+    if isinstance(dtype, T.DecimalType) and dtype.precision + precision < 38:
+        width = min(38, dtype.precision - dtype.scale + precision + 1)
+        return (value * factor).cast(T.DecimalType(width, 0)).cast("string")
+    whole = value.try_cast(T.DecimalType(38 - precision, precision)) * factor
     return whole.cast(T.DecimalType(38, 0)).cast("string")
 
 
 def field_text(value: Column, field: FieldSpec, dtype: T.DataType | None = None) -> Column:
     """A value as text, not yet fitted to its length."""
     if field.kind == "decimal" and field.precision:
-        return scaled_digits(value, field.precision)
+        return scaled_digits(value, field.precision, dtype)
     if field.is_numeric:
         if field.kind in INTEGER_WORDS and isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
             value = value.try_cast(T.DecimalType(38, 0))

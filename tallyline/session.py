@@ -50,15 +50,38 @@ def pin_split_planning(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for an intermediate table, reachable from all executors.
+def size_shuffles(spark: SparkSession, input_bytes: int, target: int = 256 << 20) -> int:
+    """Set the number of shuffle partitions for an amount of data, and return it.
+
+    AQE merges partitions that turn out small, but never splits an even plan
+    that started with too few.
+    """
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(least, -(-input_bytes // target))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
+    return partitions
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    """One folder per application below ``spark.checkpoint.dir``.
 
-    The parent is ``spark.checkpoint.dir``. Only a local master may go without
-    that setting; it then uses a temporary folder of the machine.
+    Only a local master may go without that setting; it then uses the temporary
+    folder of the machine.
     """
     parent = spark.conf.get("spark.checkpoint.dir", None)
     if not parent:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        parent = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{parent.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        parent = tempfile.gettempdir()
+    return f"{parent.rstrip('/')}/tallyline-{spark.sparkContext.applicationId}"
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for an intermediate table, reachable from all executors."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; frames made from them end with it."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
