@@ -69,6 +69,16 @@ def expected_calendar(
     return days.filter(~F.col("day").isin(closed)) if closed else days
 
 
+def on_run_date(expression: str, run_date: date | None) -> str:
+    """An SQL expression with ``current_date()`` and ``load_date()`` as the run date.
+
+    A run repeated for an old day then gives the same records.
+    """
+    if run_date is None:
+        return expression
+    return re.sub(r"\b(?:current_date|load_date)\s*\(\s*\)", f"date'{run_date:%Y-%m-%d}'", expression, flags=re.I)
+
+
 def _render(day: date, pattern: str) -> str:
     """Format a date with a Spark pattern made of yyyy, yy, MM, dd and separators."""
     parts = {"yyyy": f"{day:%Y}", "yy": f"{day:%y}", "MM": f"{day:%m}", "dd": f"{day:%d}"}

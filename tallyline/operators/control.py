@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.errors import ConfigError
+from tallyline.functions.dates import on_run_date
 from tallyline.functions.fixed import assemble, fit, zero_filled
 from tallyline.functions.naming import column_name, date_pattern, find_column, hyphen_safe, quoted
 from tallyline.sources.layout import INTEGER_WORDS
@@ -77,7 +79,10 @@ def control_fields(entries: Sequence[dict | ControlField]) -> list[ControlField]
 
 
 def control_row(
-    df: DataFrame, fields: Sequence[dict | ControlField], header: DataFrame | None = None
+    df: DataFrame,
+    fields: Sequence[dict | ControlField],
+    header: DataFrame | None = None,
+    run_date: date | None = None,
 ) -> DataFrame:
     """All fields of the control record in one aggregation, one row.
 
@@ -91,7 +96,8 @@ def control_row(
     for f in specs:
         looked_up = _from_header(df, f.sql, header)
         if looked_up is None:
-            sums.append(F.expr(hyphen_safe(f.sql, df.columns)).alias(f.column))
+            sql = on_run_date(hyphen_safe(f.sql, df.columns), run_date)
+            sums.append(F.expr(sql).alias(f.column))
             shown.append(F.col(quoted(f.column)))
         else:
             shown.append(looked_up.alias(f.column))
@@ -174,9 +180,10 @@ def control_file(
     fields: Sequence[dict | ControlField],
     header: DataFrame | None = None,
     names: bool = False,
+    run_date: date | None = None,
 ) -> DataFrame:
     """Control row and text in one go."""
-    return control_lines(control_row(df, fields, header), fields, names)
+    return control_lines(control_row(df, fields, header, run_date), fields, names)
 
 
 def read_control_lines(lines: DataFrame, fields: Sequence[dict | ControlField]) -> DataFrame:

@@ -70,12 +70,17 @@ def check_previous_file(df, logic, step, name, node, context) -> None:
     holidays = context.settings.get("usa_holidays")
     day = previous_business_day(context.run_date, holidays)
     folder = paths.text_of(logic, "last_run_file_path") or paths.text_of(logic, "previous_day_file_path")
-    file = paths.text_of(logic, "last_run_file_name") or paths.text_of(logic, "previous_day_file_name")
+    file = paths.text_of(logic, "last_run_file_name")
+    delivered = paths.text_of(node, "dataset_name") or paths.text_of(node, "source_file_name")
+    if logic.get("previous_day_check"):
+        # This form names the output of a previous run; what must exist is the previous input.
+        file = file or delivered
+    file = file or paths.text_of(logic, "previous_day_file_name") or delivered
     frequency = paths.text_of(logic, "last_run_frequency") or paths.text_of(logic, "previous_day_frequency")
     partition = paths.text_of(logic, "partition_column")
     if folder:
         when = partition or f"{day:%Y%m%d}"
-        path = paths.dated(folder, file or paths.text_of(node, "dataset_name"), frequency, when, context.run_date)
+        path = paths.dated(folder, file, frequency, when, context.run_date)
     else:
         path = paths.input_path_on(node, day, None, context.interface, context.settings)
     path = paths.reader_path(path)
@@ -157,6 +162,7 @@ def write_checked(annotated: DataFrame, invalid: int, logic, label, name, node,
             logic["ctrl_file_fields"],
             context.header_of([name]),
             bool(logic.get("ctrl_include_header")),
+            context.run_date,
         )
 
 

@@ -53,7 +53,8 @@ class Flow:
     """One run of a description for one run date.
 
     ``build`` only makes plans. ``run`` also checks and writes: gates and
-    validate steps act as they are reached, outputs at the end.
+    validate steps act as they are reached, outputs at the end. With
+    ``missing="empty"`` an absent input has no rows and its declared schema.
     """
 
     def __init__(
@@ -66,11 +67,15 @@ class Flow:
         settings: dict | None = None,
         name: str = "flow",
         incidents: str = "",
+        missing: str = "raise",
         run_time: datetime | None = None,
     ):
         self.spark = spark
         self.config = load_config(config)
         self.base_path = base_path
+        if missing not in ("raise", "empty"):
+            raise ConfigError(f"missing={missing!r}")
+        self.missing = missing
         self.context = Context(
             run_date=run_date,
             run_time=run_time or datetime(run_date.year, run_date.month, run_date.day),
@@ -93,11 +98,13 @@ class Flow:
         """One input by its format."""
         kind = str(node.get("format") or "cobol").lower()
         path = self._path(paths.input_path, node)
+        length = int(node.get("record_length") or 0)
+        layout = Layout.of(node.get("fields") or [], length).data_fields() if node.get("fields") else None
         if not path or not gates.file_exists(self.spark, path):
+            if self.missing == "empty" and layout is not None:
+                return Source(readers.empty_like(self.spark, layout))
             checked.report(self.spark, self.context, name, "input_file_missing", expected=path, actual="FILE_MISSING")
             raise MissingInput(f"input {name!r}: nothing at {path!r}")
-        length = int(node.get("record_length") or 0)
-        layout = Layout.of(node.get("fields") or [], length).data_fields() if node.get("fields") else None
         head, tail = int(node.get("header_count") or 0), int(node.get("trailer_count") or 0)
         sep = node.get("delimiter_char") or node.get("delimiter") or ","
         quote = node.get("quote_char") or '"'
@@ -239,6 +246,7 @@ class Flow:
                     trailer_count=tail,
                     map_by=map_by,
                     on_overflow=node.get("on_overflow") or "error",
+                    run_date=self.context.run_date,
                 )
         else:
             shown = self._named_columns(df, name, node)
@@ -314,6 +322,7 @@ class Flow:
             logic["ctrl_file_fields"],
             self.context.header_of(list(chosen[0].get("source_inputs") or [])),
             bool(logic.get("ctrl_include_header")),
+            self.context.run_date,
         )
 
     def run(self, dry_run: bool = False) -> dict[str, DataFrame]:

@@ -102,7 +102,8 @@ def _validate(df, logic, step, datasets, context):
 
 def _control(df, logic, step, datasets, context):
     header = context.header_of(list(step.get("source_inputs") or [])) if context else None
-    return control_row(df, logic.get("ctrl_file_fields") or [], header)
+    day = context.run_date if context else None
+    return control_row(df, logic.get("ctrl_file_fields") or [], header, day)
 
 
 def _table_load(df, logic, step, datasets, context):

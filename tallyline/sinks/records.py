@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.errors import ConfigError
+from tallyline.functions.dates import on_run_date
 from tallyline.functions.fixed import assemble, format_field, format_lines
 from tallyline.functions.naming import find_column, hyphen_safe, quoted
 from tallyline.sources.layout import Layout
 
 
-def _expression(df: DataFrame, text: str) -> Column:
+def _expression(df: DataFrame, text: str, run_date: date | None) -> Column:
     """A header or trailer expression as an aggregate; a plain column is its first value."""
-    sql = hyphen_safe(text or "''", df.columns)
+    sql = on_run_date(hyphen_safe(text or "''", df.columns), run_date)
     value = F.expr(sql)
     try:
         df.agg(value)
@@ -37,6 +39,7 @@ def record_lines(
     trailer: Layout | None,
     trailer_count: int,
     width: int,
+    run_date: date | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Header and trailer lines of a data set; every expression in one aggregation.
 
@@ -46,7 +49,7 @@ def record_lines(
     sums = []
     for side, layout in (("h", header), ("t", trailer)):
         for i, f in enumerate(layout or ()):
-            sums.append(_expression(df, f.expression).alias(f"{side}{i}"))
+            sums.append(_expression(df, f.expression, run_date).alias(f"{side}{i}"))
     row = df.agg(*sums) if sums else df.sparkSession.range(1)
     types = {f.name: f.dataType for f in row.schema.fields}
 
@@ -73,6 +76,7 @@ def fixed_file(
     trailer_count: int = 0,
     map_by: str = "name",
     on_overflow: str = "error",
+    run_date: date | None = None,
 ) -> DataFrame:
     """All lines of a positional file, in order.
 
@@ -83,7 +87,9 @@ def fixed_file(
     lines = format_lines(df, layout, map_by, on_overflow)
     if not header_count and not trailer_count:
         return lines
-    top, bottom = record_lines(df, header, header_count, trailer, trailer_count, layout.width)
+    top, bottom = record_lines(
+        df, header, header_count, trailer, trailer_count, layout.width, run_date
+    )
     return _in_order(top, header_count, lines, bottom, trailer_count)
 
 

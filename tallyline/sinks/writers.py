@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,9 +102,10 @@ def write_control(
     fields: Sequence[dict | ControlField],
     header: DataFrame | None = None,
     names: bool = False,
+    run_date: date | None = None,
 ) -> str:
     """The control file of a data set; without a name a text folder."""
-    lines = control_file(df, fields, header, names)
+    lines = control_file(df, fields, header, names, run_date)
     if name:
         return write_single(lines, folder, name)
     lines.coalesce(1).write.mode("overwrite").text(folder)

@@ -441,3 +441,55 @@ def test_bad_digits_are_found_and_kept(spark, bank, tmp_path):
     config = _config(tmp_path, fail_mode="FLAG")
     row = Flow(spark, config, RUN).build()["CHECKED"].filter("not _is_valid").first()
     assert row._validation_errors == "'INP_DAT_AMOUNT' is not a valid number" and row.INP_DAT_AMOUNT is None
+
+
+def test_absent_inputs_as_empty(spark, tmp_path):
+    config = _config(tmp_path)
+    config["Transformations"]["steps"] = []
+    flow = Flow(spark, config, RUN, missing="empty")
+    made = flow.load()["BATCH"]
+    assert made.count() == 0 and made.schema["INP_DAT_AMOUNT"].dataType.simpleString() == "decimal(12,2)"
+
+
+def test_records_use_the_run_date(spark, tmp_path):
+    rows = spark.range(3)
+    field = {"name": "DAY", "length": 10, "expression": "current_date()"}
+    assert control.control_file(rows, [field], run_date=RUN).first().value == "2026-03-05"
+    ends = Layout.of([{**field, "type": "DATE", "format": "YYYYMMDD", "length": 8}])
+    lines = fixed_file(rows, Layout.of([{"name": "id", "length": 8}]), ends, None, 1, 0, run_date=RUN)
+    assert lines.first().value == "20260305"
+
+
+def test_control_step_as_an_output(spark, bank, tmp_path):
+    config = _config(tmp_path)
+    config["Transformations"]["steps"].append(
+        {
+            "id": "CTRL",
+            "type": "ctrl_file",
+            "source_inputs": ["CHECKED"],
+            "output_alias": "CTRL_OUT",
+            "logic": {
+                "ctrl_file_fields": [
+                    {"name": "COUNT-RECORDS", "type": "LONG", "expression": "count(*)", "length": 13, "begin": 1},
+                    {"name": "EFFECTIVE", "expression": "to_date(first(`HDR-FILE-DATE`),'YYYYMMDD')", "length": 8, "begin": 14},
+                    {"name": "SOURCE-CODE", "expression": "'105'", "length": 8, "begin": 22},
+                ]
+            },
+        }
+    )
+    config["Outputs"] = {
+        "CTRL": {
+            "format": "FIXED",
+            "source_path": str(tmp_path / "ctrl"),
+            "dataset_name": "CNT.CTL",
+            "frequency": "DAILY",
+            "source_inputs": ["CTRL_OUT"],
+            "fields": [
+                {"name": "COUNT-RECORDS", "type": "LONG", "start": 1, "length": 13},
+                {"name": "EFFECTIVE", "type": "STRING", "start": 14, "length": 8},
+                {"name": "SOURCE-CODE", "type": "STRING", "start": 22, "length": 8, "just_right": True},
+            ],
+        }
+    }
+    Flow(spark, config, RUN).run()
+    assert _text(tmp_path / "ctrl" / "DAILY" / "20260305" / "CNT.CTL.DAT") == ["            520260305     105"]
