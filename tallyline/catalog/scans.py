@@ -132,22 +132,13 @@ def segments_split(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@register(
-    f"""
-    WITH d AS ({_DELIVERED})
-    SELECT delivery, 'D' AS segment, count(*) AS n FROM d GROUP BY delivery
-    UNION ALL SELECT DISTINCT delivery, 'H', CAST(1 AS BIGINT) FROM d
-    UNION ALL SELECT DISTINCT delivery, 'T', CAST(1 AS BIGINT) FROM d
-    """
-)
+@register(f"WITH d AS ({_DELIVERED}) SELECT delivery, count(*) AS n, CAST(sum(total) AS DOUBLE) AS total FROM d GROUP BY delivery")
 def segments_by_mark(spark, sf_dir):
-    """SC6: the same split by the record type written in each line, one scan."""
+    """SC6: data lines told by the record type written in each line, one scan."""
     base = deliver_orders(spark, sf_dir)
-    lines = segments.read_lines(spark, f"{base}/DAILY/*/*")
-    mark = F.substring("value", 1, 1).alias("segment")
-    seg = segments.by_mark(lines)
-    every = seg.header.drop("_rank").unionByName(seg.data).unionByName(seg.trailer.drop("_rank"))
-    return every.groupBy(_delivery(), mark).agg(F.count(F.lit(1)).alias("n"))
+    data = segments.by_mark(segments.read_lines(spark, f"{base}/DAILY/*/*")).data
+    orders = parse_lines(data, ORDER_LAYOUT, as_types=True, keep=(FILE,))
+    return orders.groupBy(_delivery()).agg(F.count(F.lit(1)).alias("n"), number(F.sum("TOTAL")).alias("total"))
 
 
 @register(f"WITH d AS ({_DELIVERED}) SELECT DISTINCT delivery, delivery AS file_date, 'ORDERS' AS source FROM d")
@@ -210,7 +201,7 @@ def skip_delimited(spark, sf_dir):
     """SC3 SK3: delimited text between blank header and trailer lines."""
     path = scratch_dir(spark, "delimited")
     writers.write_delimited(table(spark, sf_dir, "customer"), path, ";", header_count=2, trailer_count=1)
-    return readers.read_delimited_segments(spark, path, _CUSTOMER_FIELDS, 2, 1, ";")
+    return readers.read_delimited_segments(spark, path, _CUSTOMER_FIELDS, 2, 1, ";", stage=True)
 
 
 @register(_CUSTOMERS)

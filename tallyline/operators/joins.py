@@ -24,13 +24,24 @@ _HOW = {word: how for how, words in HOW_WORDS.items() for word in words}
 Key = str | Sequence[str]
 
 
-def join_on(left: DataFrame, right: DataFrame, on: Sequence[Key], how: str = "inner") -> DataFrame:
+def join_on(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[Key],
+    how: str = "inner",
+    skewed: bool | None = None,
+) -> DataFrame:
     """Join on equal keys; NULL keys never match.
 
     A key is a name both sides have, or a pair ``(left, right)``. A shared
     name comes out once, filled from whichever side has the row; pairs keep
     both columns. The physical join (broadcast by measured size, or
     sort-merge with skewed partitions split at run time) is Spark's choice.
+
+    Spark splits a frequent key on both sides of an inner join, only on the
+    kept side of a left or right join, and not at all in a full join. With
+    ``skewed`` an outer join is built from joins that can be split, at the
+    price of reading the kept side again: by default only the full join is.
     """
     kind = _HOW.get(how.strip().lower())
     if kind is None:
@@ -41,12 +52,15 @@ def join_on(left: DataFrame, right: DataFrame, on: Sequence[Key], how: str = "in
     for key in on:
         names = (key, key) if isinstance(key, str) else tuple(key)[:2]
         pairs.append((require_column(left.columns, names[0]), require_column(right.columns, names[1])))
-    if kind == "full":
-        return _full(left, right, pairs)
+    if kind in ("left", "right", "full") and (kind == "full" if skewed is None else skewed):
+        return _outer(left, right, pairs, kind)
     return _join(left, right, pairs, kind)
 
 
 def _join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], kind: str) -> DataFrame:
+    if kind in ("left_semi", "left_anti"):
+        # Only whether a key is there matters: copies are dropped in the map tasks.
+        right = right.select(*dict.fromkeys(b for _, b in pairs)).distinct()
     l, r = left.alias("l"), right.alias("r")
     test = _all(F.col(f"l.`{a}`") == F.col(f"r.`{b}`") for a, b in pairs)
     joined = l.join(r, test, kind)
@@ -55,32 +69,32 @@ def _join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], kind:
     shared = {a for a, b in pairs if a == b}
     out = []
     for c in left.columns:
-        # Where only the right side has a row its key is the one to show.
-        side = "r" if c in shared and kind == "right" else "l"
-        out.append(F.col(f"{side}.`{c}`").alias(c))
+        value = F.col(f"l.`{c}`")
+        if c in shared and kind in ("right", "full"):
+            # Where only the right side has a row its key is the one to show.
+            value = F.coalesce(value, F.col(f"r.`{c}`"))
+        out.append(value.alias(c))
     out += [F.col(f"r.`{c}`").alias(c) for c in right.columns if c not in shared]
     return joined.select(*out)
 
 
-def _full(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Full outer join as a left join plus the right rows without a partner.
-
-    Spark splits skewed partitions in both of these, but not in its own full
-    outer join, where one key holding a third of the rows would be one task.
-    """
+def _outer(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], kind: str) -> DataFrame:
+    """An outer join as the matching rows, and the rows of each kept side without a partner."""
     shared = {a for a, b in pairs if a == b}
-    matched = _join(left, right, pairs, "left")
-    keys = left.select(*[F.col(f"`{a}`").alias(b) for a, b in pairs]).distinct()
-    alone = _join(right, keys, [(b, b) for _, b in pairs], "left_anti")
-    nulls = {f.name: f.dataType for f in left.schema.fields}
-    padded = alone.select(
-        *[
-            F.col(f"`{c}`").alias(c) if c in shared else F.lit(None).cast(nulls[c]).alias(c)
-            for c in left.columns
-        ],
-        *[F.col(f"`{c}`") for c in right.columns if c not in shared],
-    )
-    return matched.union(padded)
+    rows = _join(left, right, pairs, "inner")
+    added = [f for f in right.schema.fields if f.name not in shared]
+
+    def null(field) -> Column:
+        return F.lit(None).cast(field.dataType).alias(field.name)
+
+    if kind in ("left", "full"):
+        alone = _join(left, right, pairs, "left_anti")
+        rows = rows.union(alone.select("*", *[null(f) for f in added]))
+    if kind in ("right", "full"):
+        alone = _join(right, left, [(b, a) for a, b in pairs], "left_anti")
+        keys = [F.col(f"`{f.name}`") if f.name in shared else null(f) for f in left.schema.fields]
+        rows = rows.union(alone.select(*keys, *[F.col(f"`{f.name}`") for f in added]))
+    return rows
 
 
 def _all(tests) -> Column:

@@ -66,7 +66,7 @@ def _all_sources(step: dict, logic: dict, datasets: Datasets) -> list[DataFrame]
 
 def _join(df, logic, step, datasets, context):
     left, right = (_named(datasets, logic.get(side), step) for side in ("left", "right"))
-    return join_on(left, right, logic.get("on") or [], logic.get("how") or "inner")
+    return join_on(left, right, logic.get("on") or [], logic.get("how") or "inner", logic.get("skewed"))
 
 
 def _union(df, logic, step, datasets, context):

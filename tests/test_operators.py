@@ -4,6 +4,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyline.errors import ConfigError, UnknownColumn, UnknownOperation
 from tallyline.operators import aggregates, filters, joins, project, sets
@@ -79,6 +80,12 @@ def test_joins_on_a_shared_name(sides, how):
     assert got.columns == ["k", "v", "w"]
     want = left.join(right, "k", how)
     assert _values(got, "k", "v", "w") == _values(want, "k", "v", "w")
+    for skewed in (True, False):
+        other = joins.join_on(left, right, ["k"], how, skewed)
+        assert _values(other, "k", "v", "w") == _values(want, "k", "v", "w")
+    pairs = joins.join_on(left, right.withColumnRenamed("k", "j"), [["k", "j"]], how, True)
+    want = left.join(right.withColumnRenamed("k", "j"), left.k == F.col("j"), how)
+    assert pairs.columns == ["k", "v", "j", "w"] and _values(pairs, *pairs.columns) == _values(want, *want.columns)
 
 
 def test_full_join_of_a_frame_with_itself(sides):
@@ -195,3 +202,33 @@ def test_union_of_many(spark):
     got = sets.union_all(frames)
     assert got.columns == ["c0", "c1"] and got.count() == 4
     assert sets.union_all([frames[0]] * 3, distinct=True).count() == 1
+
+
+def test_outer_join_with_the_same_name_on_both_sides(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    right = spark.createDataFrame([(2, "c"), (3, "d")], "j int, v string")
+    got = joins.join_on(left, right, [["k", "j"]], "full")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == [(1, "a", None, None), (2, "b", 2, "c"), (None, None, 3, "d")]
+
+
+def test_frequent_keys_are_split(spark):
+    """A key with most of the rows on both sides: no task of the join gets them all."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(0, 60_000, 1, 8).selectExpr("if(id % 3 > 0, -1, id) as k", "uuid() as v")
+        right = spark.range(0, 2_000, 1, 2).selectExpr("id * 30 as k", "id as w").union(spark.range(1).selectExpr("-1L", "7L"))
+        got = joins.join_on(left, right, ["k"], "full")
+        assert got.filter("k = -1").count() == 40_000
+        got.collect()
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
