@@ -124,12 +124,22 @@ def delivery_check(
     )
 
 
+def _matches(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, which may be a glob, and what it finds there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, list(fs.globStatus(target) or [])
+
+
 def file_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path, which may be a glob, names at least one file or folder."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
-    return found is not None and len(found) > 0
+    """Whether a path names at least one file or folder."""
+    return bool(_matches(spark, path)[1])
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes below a path; 0 if there is nothing."""
+    fs, found = _matches(spark, path) if path else (None, [])
+    return sum(fs.getContentSummary(status.getPath()).getLength() for status in found)
 
 
 def demand(gate: DataFrame, what: str, samples: int = 5) -> None:

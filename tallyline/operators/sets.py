@@ -23,18 +23,37 @@ def _order(df: DataFrame, key: str | dict | tuple, ascending: bool) -> Column:
     return col.asc() if ascending else col.desc()
 
 
-def sort_rows(df: DataFrame, keys: Sequence[str | dict | tuple], ascending: bool = True) -> DataFrame:
+# Copies of one row that travel as one counted row.
+CHUNK = 10_000
+
+
+def sort_rows(
+    df: DataFrame,
+    keys: Sequence[str | dict | tuple],
+    ascending: bool = True,
+    copies: bool = False,
+) -> DataFrame:
     """Global order; NULLs come first ascending, last descending.
 
     A key may carry its own direction. Rows with equal keys are ordered by a
     hash of the row: the result is reproducible, and the range partitioner can
-    cut inside a key that holds a large share of the rows.
+    cut inside a key that holds a large share of the rows. Where whole rows may
+    repeat that often, ``copies`` counts them before the shuffle, sorts chunks
+    of counted rows, and writes them out again after it.
     """
     if not keys:
         raise ConfigError("a sort needs at least one key")
     order = [_order(df, key, ascending) for key in keys]
-    spread = [f.name for f in df.schema.fields if not _holds_map(f.dataType)]
-    return df.orderBy(*order, F.xxhash64(*[F.col(f"`{c}`") for c in spread]))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if not _holds_map(f.dataType)]
+    if not copies:
+        return df.orderBy(*order, F.xxhash64(*hashed))
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    last = F.floor((F.col("_n") - 1) / CHUNK).cast("bigint")
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    placed = chunks.orderBy(*order, F.xxhash64(*hashed), "_chunk")
+    size = F.least(F.lit(CHUNK), F.col("_n") - F.col("_chunk") * CHUNK).cast("int")
+    return placed.select(*columns, F.explode(F.array_repeat(F.lit(1), size)).alias("_n")).drop("_n")
 
 
 def _holds_map(dtype: T.DataType) -> bool:
@@ -69,10 +88,11 @@ def first_rows(df: DataFrame, keys: Sequence[str], n: int = 5) -> DataFrame:
 
 
 def sort_step(df: DataFrame, logic: dict) -> DataFrame:
-    """The sort of a description: ``key``/``keys`` with one direction, or ``order_by``."""
+    """The sort of a description: ``key``/``keys`` with one direction, or ``order_by``; ``copies``."""
     if "ascending" in logic:
         ascending = bool(logic["ascending"])
     else:
         ascending = "desc" not in str(logic.get("order") or "asc").lower()
     keys = logic.get("order_by") or logic.get("keys") or logic.get("key") or []
-    return sort_rows(df, [keys] if isinstance(keys, (str, dict)) else list(keys), ascending)
+    keys = [keys] if isinstance(keys, (str, dict)) else list(keys)
+    return sort_rows(df, keys, ascending, bool(logic.get("copies")))

@@ -16,6 +16,7 @@ from tallyline.functions.naming import column_name, find_column, quoted
 from tallyline.operators import gates
 from tallyline.plans import checked
 from tallyline.plans.steps import Context, apply_step, order_steps, step_alias
+from tallyline.session import size_shuffles
 from tallyline.sinks import writers
 from tallyline.sinks.records import output_columns
 from tallyline.sources import paths, readers
@@ -154,6 +155,9 @@ class Flow:
 
     def load(self) -> dict[str, DataFrame]:
         """All inputs, and the checks that belong to them."""
+        if self.context.live:
+            found = [self._path(paths.input_path, node) for node in self.config["Inputs"].values()]
+            size_shuffles(self.spark, sum(gates.size_of(self.spark, path) for path in found))
         for name, node in self.config["Inputs"].items():
             source = self.read(name, node)
             self.context.sources[name] = source

@@ -56,16 +56,19 @@ def _last_line(edges: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Text lines with the file they come from; a carriage return at the end is dropped."""
-    part = F.col("_metadata.file_path")
-    folder = F.substring(part, F.lit(1), F.length(part) - F.length("_metadata.file_name") - 1)
+    """Text lines with the file they come from; line ends may be LF, CR LF or CR."""
+    name, part = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    folder = F.substring(part, F.lit(1), F.length(part) - F.length(name) - 1)
     return spark.read.text(path).select(
-        F.regexp_replace("value", r"\r$", "").alias("value"),
-        F.when(F.col("_metadata.file_name").startswith("part-"), folder).otherwise(part).alias(FILE),
-        part.alias(PART),
+        "value", F.when(name.startswith("part-"), folder).otherwise(part).alias(FILE), part.alias(PART)
     )
 
 
+def _whole_file(part: Column) -> Column:
+    """``_file`` from ``_part``, for the few rows where parts have been reduced to edges."""
+    return F.regexp_replace(part, "/part-[^/]*$", "")
+
+
 def drop_blank(lines: DataFrame) -> DataFrame:
     return lines.filter(F.length(F.trim("value")) > 0)
 
@@ -88,10 +91,8 @@ def split(
     if header_count <= 1 and trailer_count <= 1:
         edges = _outer_lines(numbered, header_count, trailer_count)
     else:
-        first = [F.col(PART).asc(), F.col("_id").asc()]
-        last = [F.col(PART).desc(), F.col("_id").desc()]
-        sides = [_edge(numbered, first, header_count, "H"), _edge(numbered, last, trailer_count, "T")]
-        edges = reduce(DataFrame.union, [s for s, n in zip(sides, (header_count, trailer_count)) if n])
+        counts = (("H", header_count), ("T", trailer_count))
+        edges = reduce(DataFrame.union, [_edge(numbered, n, side) for side, n in counts if n])
     if stage:
         path = scratch_dir(spark, "edges")
         edges.write.parquet(path)
@@ -106,9 +107,13 @@ def split(
 
 
 def _outer_lines(numbered: DataFrame, header_count: int, trailer_count: int) -> DataFrame:
-    """First and last line per file in one pass: two lines per file and task are shuffled."""
-    line = F.struct(PART, "_id", "value")
-    ends = numbered.groupBy(FILE).agg(F.min(line).alias("first"), F.max(line).alias("last"))
+    """First and last line per file in one pass: two lines per part file and task are shuffled."""
+    line = F.struct("_id", "value")
+    parts = numbered.groupBy(PART).agg(F.min(line).alias("low"), F.max(line).alias("high"))
+    ends = parts.groupBy(_whole_file(F.col(PART)).alias(FILE)).agg(
+        F.min(F.struct(PART, "low")).getField("low").alias("first"),
+        F.max(F.struct(PART, "high")).getField("high").alias("last"),
+    )
 
     def edge(end: str, side: str) -> Column:
         return F.struct(
@@ -122,15 +127,19 @@ def _outer_lines(numbered: DataFrame, header_count: int, trailer_count: int) ->
     return edges.filter(~twice).select(FILE, "e.*")
 
 
-def _edge(numbered: DataFrame, order: list[Column], count: int, side: str) -> DataFrame:
-    """The ``count`` first lines per file in the given order.
+def _edge(numbered: DataFrame, count: int, side: str) -> DataFrame:
+    """The ``count`` outermost lines of each file at one end.
 
-    Spark keeps only ``count`` lines per file and task before the shuffle
-    (WindowGroupLimit), however long the file is. The rank grows towards the
-    end of the file.
+    First per part file, where Spark keeps only ``count`` lines per task before
+    the shuffle (WindowGroupLimit), however long the file is; then per file.
+    The rank grows towards the end of the file.
     """
-    window = Window.partitionBy(FILE).orderBy(*order)
-    ranked = numbered.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= count)
+    turn = F.asc if side == "H" else F.desc
+    within = Window.partitionBy(PART).orderBy(turn("_id"))
+    few = numbered.select(PART, "_id", "value").withColumn("_n", F.row_number().over(within))
+    few = few.filter(F.col("_n") <= count).withColumn(FILE, _whole_file(F.col(PART)))
+    across = Window.partitionBy(FILE).orderBy(turn(PART), turn("_id"))
+    ranked = few.withColumn("_n", F.row_number().over(across)).filter(F.col("_n") <= count)
     rank = F.col("_n") if side == "H" else -F.col("_n")
     return ranked.select(FILE, F.lit(side).alias("_side"), rank.alias("_rank"), "_id", "value")
 

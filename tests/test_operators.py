@@ -197,6 +197,19 @@ def test_sort_cuts_inside_a_hot_key(spark):
     assert max(parts) < 20_000 / 2
 
 
+def test_sort_with_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(sets, "CHUNK", 100)
+    rows = spark.range(0, 5_000, 1, 4).selectExpr("if(id % 2 = 0, 7, id) as k", "'x' as v")
+    got = sets.sort_step(rows, {"key": "k", "order": "desc", "copies": True})
+    assert [tuple(r) for r in got.collect()] == sorted((tuple(r) for r in rows.collect()), reverse=True)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = sets.sort_rows(rows.filter("k = 7"), ["k"], copies=True).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(parts) == 2_501 and max(parts) < 1_300
+
+
 def test_union_of_many(spark):
     frames = [spark.createDataFrame([(i,)], f"c{i % 2} int") for i in range(4)]
     got = sets.union_all(frames)
