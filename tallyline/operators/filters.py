@@ -46,9 +46,15 @@ def _typed_pair(col: Column, dtype: T.DataType, value) -> tuple[Column, Column]:
         return col, F.lit(value)
     if isinstance(value, str) and isinstance(dtype, T.NumericType):
         try:
-            return col, F.lit(Decimal(value.strip()))
+            number = Decimal(value.strip())
         except InvalidOperation:
             return col, F.lit(None).cast(dtype)
+        # A literal of the column's own kind, so that the comparison can reach the scan.
+        if isinstance(dtype, (T.FloatType, T.DoubleType)) or not number.is_finite():
+            return col, F.lit(float(number))
+        if isinstance(dtype, T.IntegralType) and number == int(number):
+            return col, F.lit(int(number))
+        return col, F.lit(number)
     if isinstance(value, str) and not isinstance(dtype, T.StringType):
         return col, F.lit(value).try_cast(dtype)
     return col, F.lit(value)

@@ -36,9 +36,11 @@ def test_entry(spark):
 
 
 def test_filters_reach_the_scan(spark, sf_dir):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     plan = QUERIES["filter_compare"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = plan[plan.index("PushedFilters") :]
-    for part in ("GreaterThan(o_totalprice", "LessThanOrEqual(o_custkey", "EqualTo(o_orderstatus"):
+    for part in ("GreaterThan(o_totalprice", "LessThanOrEqual(o_custkey", "EqualTo(o_orderstatus", "GreaterThanOrEqual(o_custkey,3)"):
         assert part in pushed
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_totalprice:double>" in plan
 
