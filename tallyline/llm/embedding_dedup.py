@@ -231,13 +231,15 @@ def near_vectors(
     )
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    rooted = (
+    rooted = cut(
         reps.join(links, "node", "left")
         .join(roots, "node", "left")
-        .select("vec", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+        .select("vec", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")),
+        "roots",
     )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("vec", "n_links", "component_id", F.lit(True).alias("found"))
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    # Of written tables, so that the last join shuffles both sides by itself and Spark can split a hot vector.
+    classes = cut(rooted.join(named, "root").select("vec", "n_links", "component_id", F.lit(True).alias("found")), "classes")
     return rows.join(classes, "vec", "left").select(
         "id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -59,12 +59,14 @@ def drop_shared_lines(
     lines = cut(
         base.select("id", "th", F.explode(F.array_compact(hashed)).alias("x")).select("id", "th", "x.*"), "lines"
     )
-    frequent = (
+    # Written, so that the join below shuffles both sides by itself and Spark can split a hot key.
+    frequent = cut(
         lines.groupBy("h1", "h2", "id")
         .agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
-        .filter(F.col("n") >= min_docs)
+        .filter(F.col("n") >= min_docs),
+        "frequent",
     )
     dropped = (
         lines.join(frequent, ["h1", "h2"])

@@ -171,7 +171,7 @@ def near_pairs(marks: DataFrame, most: int = 2) -> DataFrame:
                 )
 
     dealt = cut(marks.select("fp").mapInArrow(deal, "shard int, fp long"), "shards")
-    blocks = dealt.groupBy("shard").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("blocks"))
+    blocks = cut(dealt.groupBy("shard").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("blocks")), "blocks")
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -209,13 +209,16 @@ def near_groups(
     kept = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = cut(kept.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = components(near_pairs(nodes, most))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return (
-        kept.join(rooted.select("fp", "root"), "fp").join(named, "root").select("id", "fp", "component_id")
+    rooted = cut(
+        nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+            "fp", "least", F.coalesce("root", "fp").alias("root")
+        ),
+        "roots",
     )
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    # Of written tables, so that joins shuffle both sides by themselves and Spark can split a hot fingerprint.
+    classes = cut(rooted.join(named, "root").select("fp", "component_id"), "classes")
+    return kept.join(classes, "fp").select("id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
