@@ -225,7 +225,6 @@ def _deliveries(spark, sf_dir):
         ORDER_HEADER,
         ORDER_TRAILER,
         keep_file=True,
-        stage=True,
     )
 
 
@@ -295,13 +294,12 @@ _HOLIDAY_SQL = "(VALUES (DATE '1995-01-02'), (DATE '1995-01-03'), (DATE '1998-07
     SELECT CAST(day AS VARCHAR) AS day FROM (
       SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day
       EXCEPT SELECT day FROM {_HOLIDAY_SQL}
-      EXCEPT SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderpriority = '1-URGENT')
+      EXCEPT SELECT CAST(o_orderdate AS DATE) FROM orders)
     """
 )
 def delivery_gaps(spark, sf_dir):
     """VA22 CA2: days of the calendar on which nothing arrived."""
-    urgent = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
-    gaps = gates.delivery_gaps(urgent, "o_orderdate", date(1995, 1, 1), date(2001, 12, 31), _HOLIDAYS)
+    gaps = gates.delivery_gaps(table(spark, sf_dir, "orders"), "o_orderdate", date(1995, 1, 1), date(2001, 12, 31), _HOLIDAYS)
     return gaps.select(F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
@@ -418,14 +416,14 @@ def control_begin(spark, sf_dir):
 @register(
     """
     SELECT count(*) AS RECORDS, '20260306' AS EFFECTIVE, '20260331' AS MONTH_END, 'ORDERS' AS SOURCE
-    FROM orders WHERE o_orderstatus = 'P'
+    FROM orders
     """
 )
 def control_header_dates(spark, sf_dir):
     """CT5: dates and text of the file's header line."""
-    base = deliver_orders(spark, sf_dir, "P")
+    base = deliver_orders(spark, sf_dir, F.lit("20260306"))
     source = readers.read_fixed(
-        spark, f"{base}/DAILY/20260306/ORDERS.DAT", ORDER_LAYOUT, 1, 1, ORDER_HEADER, stage=True
+        spark, f"{base}/DAILY/20260306/ORDERS.DAT", ORDER_LAYOUT, 1, 1, ORDER_HEADER
     )
     return control.control_row(
         source.data,

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.catalog.registry import table
+from tallyline.functions.fixed import format_lines
 from tallyline.session import scratch_dir
-from tallyline.sinks import writers
 from tallyline.sources.layout import FieldSpec, Layout
 
 ORDER_LAYOUT = Layout.of(
@@ -68,22 +68,35 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def deliver_orders(spark: SparkSession, sf_dir: str, only: str = "") -> str:
-    """Write one positional file per order status below a dated folder; returns the base folder."""
+def delivery_day(status: Column) -> Column:
+    """The day an order is delivered on; any other status comes with the last ones."""
+    return F.when(status == "F", "20260304").when(status == "O", "20260305").otherwise("20260306")
+
+
+def deliver_orders(spark: SparkSession, sf_dir: str, day: Column | None = None) -> str:
+    """Write the positional file of each delivery day below a dated folder, in one pass; returns the base folder.
+
+    Header, data and trailer lines of all days are one union, so in each day's folder the part
+    with the header has the lowest number and the part with the trailer the highest.
+    """
     base = scratch_dir(spark, "deliveries")
-    for status, day in DELIVERIES.items():
-        if only and status != only:
-            continue
-        rows = order_records(spark, sf_dir).filter(F.col("STATUS") == status)
-        writers.write_fixed(
-            rows.withColumn("DELIVERY", F.lit(day)),
-            f"{base}/DAILY/{day:%Y%m%d}/ORDERS.DAT",
-            ORDER_LAYOUT,
-            header=ORDER_HEADER,
-            trailer=ORDER_TRAILER,
-            header_count=1,
-            trailer_count=1,
-        )
+    records = order_records(spark, sf_dir)
+    orders = records.withColumn("DELIVERY", delivery_day(F.col("STATUS")) if day is None else day)
+    ends = orders.groupBy("DELIVERY").agg(F.count(F.lit(1)).alias("REC_COUNT"), F.sum("TOTAL").alias("TOTAL_AMT"))
+    ends = ends.select(
+        "*", F.lit("H").alias("H"), F.lit("T").alias("T"), F.col("DELIVERY").alias("FILE_DATE"), F.lit("ORDERS").alias("SRC_ID")
+    )
+    keep = ("DELIVERY",)
+    header = format_lines(ends.withColumn("REC_TYPE", F.col("H")), ORDER_HEADER, keep=keep).coalesce(1)
+    trailer = format_lines(ends.withColumn("REC_TYPE", F.col("T")), ORDER_TRAILER, keep=keep).coalesce(1)
+    lines = header.union(format_lines(orders, ORDER_LAYOUT, keep=keep)).union(trailer)
+    lines.write.partitionBy("DELIVERY").text(f"{base}/written")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(path(f"{base}/written/DELIVERY=*")):
+        target = path(f"{base}/DAILY/{folder.getPath().getName().split('=')[1]}")
+        fs.mkdirs(target)
+        fs.rename(folder.getPath(), path(target, "ORDERS.DAT"))
     return base
 
 

@@ -106,7 +106,7 @@ def _delivered(spark, sf_dir, holidays=()):
     node = {**FILE_NODE, "source_path": base}
     paths = input_paths_between(node, days[0], days[-1], list(holidays))
     return readers.read_fixed(
-        spark, paths, ORDER_LAYOUT, 1, 1, ORDER_HEADER, ORDER_TRAILER, keep_file=True, stage=True
+        spark, paths, ORDER_LAYOUT, 1, 1, ORDER_HEADER, ORDER_TRAILER, keep_file=True
     )
 
 
@@ -201,7 +201,7 @@ def skip_delimited(spark, sf_dir):
     """SC3 SK3: delimited text between blank header and trailer lines."""
     path = scratch_dir(spark, "delimited")
     writers.write_delimited(table(spark, sf_dir, "customer"), path, ";", header_count=2, trailer_count=1)
-    return readers.read_delimited_segments(spark, path, _CUSTOMER_FIELDS, 2, 1, ";", stage=True)
+    return readers.read_delimited_segments(spark, path, _CUSTOMER_FIELDS, 2, 1, ";")
 
 
 @register(_CUSTOMERS)
@@ -267,7 +267,7 @@ def width_check(spark, sf_dir):
 @register(_ORDER_COLUMNS)
 def offset_shift(spark, sf_dir):
     """SC9: starts counted through all record groups, record length not declared."""
-    shifted = Layout.of([FieldSpec(f.name, f.type, f.start + 120, f.length, f.precision, format=f.format) for f in ORDER_LAYOUT])
+    shifted = Layout.of([FieldSpec(f.name, f.type, f.start + 120, f.length, f.precision, format=f.format) for f in ORDER_LAYOUT], continued=True)
     lines = format_lines(order_records(spark, sf_dir), ORDER_LAYOUT)
     return _shown(parse_lines(lines, shifted, as_types=True))
 

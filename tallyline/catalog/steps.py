@@ -166,25 +166,23 @@ def join_shared_names(spark, sf_dir):
     return joined.select("l_orderkey", "l_linenumber", "o_orderstatus")
 
 
-_BUILDING = "(SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING')"
+_NAMED = "(SELECT c_custkey, c_name FROM customer)"
 
 
-def _building(spark, sf_dir):
-    return _customers(spark, sf_dir).filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey", "c_name")
+def _named(spark, sf_dir):
+    return _customers(spark, sf_dir).select("c_custkey", "c_name")
 
 
-def _finished(spark, sf_dir):
-    orders = _orders(spark, sf_dir)
-    late = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")
-    return orders.filter(late).select("o_orderkey", "o_custkey")
+def _ordered(spark, sf_dir):
+    return _orders(spark, sf_dir).select("o_orderkey", "o_custkey")
 
 
-_FINISHED = "(SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')"
+_ORDERED = "(SELECT o_orderkey, o_custkey FROM orders)"
 
 
 def _outer(how):
     def run(spark, sf_dir):
-        left, right = _finished(spark, sf_dir), _building(spark, sf_dir)
+        left, right = _ordered(spark, sf_dir), _named(spark, sf_dir)
         joined = joins.join_on(left, right, [["o_custkey", "c_custkey"]], how)
         text = [F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_custkey", "c_custkey")]
         return joined.select(*text, "c_name")
@@ -196,7 +194,7 @@ def _outer_sql(how):
     return f"""
     SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
            CAST(c_custkey AS VARCHAR) AS c_custkey, c_name
-    FROM {_FINISHED} {how} JOIN {_BUILDING} ON o_custkey = c_custkey
+    FROM {_ORDERED} {how} JOIN {_NAMED} ON o_custkey = c_custkey
     """
 
 
@@ -210,31 +208,31 @@ for _how in ("left", "right", "full"):
 @register(
     f"""
     SELECT coalesce(o.key, c.key) AS key, CAST(o_orderkey AS VARCHAR) AS o_orderkey, c_name
-    FROM (SELECT o_custkey AS key, o_orderkey FROM {_FINISHED}) o
-    FULL JOIN (SELECT c_custkey AS key, c_name FROM {_BUILDING}) c ON o.key = c.key
+    FROM (SELECT o_custkey AS key, o_orderkey FROM {_ORDERED}) o
+    FULL JOIN (SELECT c_custkey AS key, c_name FROM {_NAMED}) c ON o.key = c.key
     """
 )
 def join_full_shared(spark, sf_dir):
     """JO2 JO5: full outer join on a shared name; the key comes from whichever side has it."""
-    left = _finished(spark, sf_dir).withColumnRenamed("o_custkey", "key")
-    right = _building(spark, sf_dir).withColumnRenamed("c_custkey", "key")
+    left = _ordered(spark, sf_dir).withColumnRenamed("o_custkey", "key")
+    right = _named(spark, sf_dir).withColumnRenamed("c_custkey", "key")
     joined = joins.join_on(left, right, ["key"], "outer")
     return joined.select("key", F.col("o_orderkey").cast("string").alias("o_orderkey"), "c_name")
 
 
-@register(f"SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM {_FINISHED})")
+@register(f"SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM {_ORDERED})")
 def join_semi(spark, sf_dir):
     """JO3."""
     pair = [["c_custkey", "o_custkey"]]
-    joined = joins.join_on(_customers(spark, sf_dir), _finished(spark, sf_dir), pair, "left_semi")
+    joined = joins.join_on(_customers(spark, sf_dir), _ordered(spark, sf_dir), pair, "left_semi")
     return joined.select("c_custkey", "c_name")
 
 
-@register(f"SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM {_FINISHED})")
+@register(f"SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM {_ORDERED})")
 def join_anti(spark, sf_dir):
     """JO3."""
     pair = [["c_custkey", "o_custkey"]]
-    joined = joins.join_on(_customers(spark, sf_dir), _finished(spark, sf_dir), pair, "left_anti")
+    joined = joins.join_on(_customers(spark, sf_dir), _ordered(spark, sf_dir), pair, "left_anti")
     return joined.select("c_custkey", "c_name")
 
 

@@ -22,16 +22,8 @@ def is_blank(text: Column) -> Column:
 
 
 def cut(line: Column, field: FieldSpec, offset: int = 0) -> Column:
-    """The trimmed text of a field.
-
-    With an ``offset`` the layout counts through all record groups. A line that
-    ends before the first declared start holds only this record, so its fields
-    are read from the shifted positions.
-    """
-    if not offset:
-        return F.trim(F.substring(line, field.start, field.length))
-    start = F.when(F.length(line) <= offset, F.lit(field.start - offset)).otherwise(F.lit(field.start))
-    return F.trim(F.substring(line, start, F.lit(field.length)))
+    """The trimmed text of a field; ``offset`` is what the layout counts before this record."""
+    return F.trim(F.substring(line, field.start - offset, field.length))
 
 
 def typed(text: Column, field: FieldSpec) -> Column:
@@ -121,8 +113,11 @@ def scaled_digits(value: Column, precision: int, dtype: T.DataType | None = None
     if isinstance(dtype, T.DecimalType) and dtype.precision + precision < 38:
         width = min(38, dtype.precision - dtype.scale + precision + 1)
         return (value * factor).cast(T.DecimalType(width, 0)).cast("string")
-    whole = value.try_cast(T.DecimalType(38 - precision, precision)) * factor
-    return whole.cast(T.DecimalType(38, 0)).cast("string")
+    whole = (value.try_cast(T.DecimalType(38 - precision, precision)) * factor).cast(T.DecimalType(38, 0))
+    # What no decimal can hold is longer than any field, so that it meets the rule for numbers too long.
+    return F.when(value.isNotNull() & whole.isNull(), F.rpad(value.cast("string"), 400, "~")).otherwise(
+        whole.cast("string")
+    )
 
 
 def field_text(value: Column, field: FieldSpec, dtype: T.DataType | None = None) -> Column:
@@ -131,7 +126,8 @@ def field_text(value: Column, field: FieldSpec, dtype: T.DataType | None = None)
         return scaled_digits(value, field.precision, dtype)
     if field.is_numeric:
         if field.kind in INTEGER_WORDS and isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
-            value = value.try_cast(T.DecimalType(38, 0))
+            whole = value.try_cast(T.DecimalType(38, 0)).cast("string")
+            return F.when(value.isNotNull() & whole.isNull(), F.rpad(value.cast("string"), 400, "~")).otherwise(whole)
     elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         default = "yyyyMMdd" if isinstance(dtype, T.DateType) or field.kind == "date" else "yyyyMMddHHmmss"
         return F.date_format(value, date_pattern(field.format, default))

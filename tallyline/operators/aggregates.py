@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tallyline.errors import ConfigError, UnknownOperation
 from tallyline.functions.naming import column_name, hyphen_safe, require_column
-from tallyline.operators.filters import parse_condition, split_members
+from tallyline.operators.filters import EXACT, parse_condition, split_members
 
 # The words for each aggregate.
 AGGREGATE_WORDS = {
@@ -50,7 +50,7 @@ def aggregate_column(df: DataFrame, spec: dict) -> Column:
     source = require_column(df.columns, field)
     value = F.col(f"`{source}`")
     if name in ("sum", "avg") and isinstance(df.schema[source].dataType, T.StringType):
-        value = value.try_cast("decimal(28,6)")
+        value = value.try_cast(EXACT)
     if name == "count":
         out = F.count(value) if test is None else F.count_if(test)
     elif name == "sum":

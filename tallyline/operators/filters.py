@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from decimal import Decimal, InvalidOperation
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,34 +31,36 @@ OPERATION_WORDS = {
 _MEANING = {word: name for name, words in OPERATION_WORDS.items() for word in words}
 
 
-def _typed_pair(col: Column, dtype: T.DataType, value) -> tuple[Column, Column]:
-    """Column and literal in one type.
+# Numbers in text: 20 digits before the point and 18 after it are kept.
+EXACT = "decimal(38,18)"
+
+
+def _typed_pair(col: Column, dtype: T.DataType, value) -> tuple[Column, Column, bool]:
+    """Column and literal in one type, and whether the column had to be cast for it.
 
     Text compared with a number is read as a number; text that is none becomes
     NULL and so matches nothing. A text literal takes the type of the column.
     """
     if isinstance(value, bool) or value is None:
-        return col, F.lit(value)
+        return col, F.lit(value), False
     if isinstance(value, (int, float, Decimal)):
         if isinstance(dtype, T.StringType):
-            wanted = "bigint" if isinstance(value, int) else "double"
-            # Amounts have decimals even when the limit has none.
-            return col.try_cast("decimal(38,6)" if wanted == "bigint" else wanted), F.lit(value)
-        return col, F.lit(value)
+            return col.try_cast("double" if isinstance(value, float) else EXACT), F.lit(value), True
+        return col, F.lit(value), False
     if isinstance(value, str) and isinstance(dtype, T.NumericType):
         try:
             number = Decimal(value.strip())
         except InvalidOperation:
-            return col, F.lit(None).cast(dtype)
+            return col, F.lit(None).cast(dtype), False
         # A literal of the column's own kind, so that the comparison can reach the scan.
         if isinstance(dtype, (T.FloatType, T.DoubleType)) or not number.is_finite():
-            return col, F.lit(float(number))
+            return col, F.lit(float(number)), False
         if isinstance(dtype, T.IntegralType) and number == int(number):
-            return col, F.lit(int(number))
-        return col, F.lit(number)
+            return col, F.lit(int(number)), False
+        return col, F.lit(number), False
     if isinstance(value, str) and not isinstance(dtype, T.StringType):
-        return col, F.lit(value).try_cast(dtype)
-    return col, F.lit(value)
+        return col, F.lit(value).try_cast(dtype), False
+    return col, F.lit(value), False
 
 
 def condition(df: DataFrame, field: str, operation: str = "==", value=None) -> Column:
@@ -77,7 +80,7 @@ def condition(df: DataFrame, field: str, operation: str = "==", value=None) -> C
         values = list(value) if isinstance(value, (list, tuple, set)) else [value]
         member = is_member(col, dtype, values)
         return member if meaning == "in" else ~member
-    left, right = _typed_pair(col, dtype, value)
+    left, right, _ = _typed_pair(col, dtype, value)
     compare = {
         "==": left == right,
         "!=": left != right,
@@ -94,9 +97,9 @@ def is_member(col: Column, dtype: T.DataType, values: Sequence) -> Column:
     if not values:
         return F.lit(False)
     pairs = [_typed_pair(col, dtype, v) for v in values]
-    if all(str(left) == str(col) for left, _ in pairs):
-        return col.isin([right for _, right in pairs])
-    tests = [left == right for left, right in pairs]
+    if not any(cast for _, _, cast in pairs):
+        return col.isin([right for _, right, _ in pairs])
+    tests = [left == right for left, right, _ in pairs]
     combined = tests[0]
     for test in tests[1:]:
         combined = combined | test
@@ -146,7 +149,7 @@ def parse_condition(df: DataFrame, text: str) -> Column:
     try:
         test = F.expr(hyphen_safe(text, df.columns))
         df.select(test)
-    except Exception as problem:
+    except AnalysisException as problem:
         raise ConfigError(f"condition {text!r} cannot be read: {problem}") from problem
     return test
 

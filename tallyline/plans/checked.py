@@ -16,7 +16,7 @@ from tallyline.plans.steps import Context, step_alias
 from tallyline.session import scratch_dir
 from tallyline.sinks import incidents, writers
 from tallyline.sources import paths, segments
-from tallyline.sources.layout import Layout
+from tallyline.sources.layout import Layout, positions_continued
 from tallyline.sources.readers import RAW
 
 
@@ -94,7 +94,11 @@ def check_previous_file(df, logic, step, name, node, context) -> None:
 
 def check_header_date(spark, path: str, node: dict, field: str, label: str, context: Context) -> None:
     """Compare the header date of a previous delivery with the previous business day."""
-    layout = Layout.of(node.get("header_fields") or [], int(node.get("record_length") or 0))
+    layout = Layout.of(
+        node.get("header_fields") or [],
+        int(node.get("record_length") or 0),
+        continued=positions_continued(node, "header_fields"),
+    )
     spec = next((f for f in layout if f.name == field or f.column == field.replace("-", "_")), None)
     if spec is None:
         raise ConfigError(f"{label}: {field!r} is no header field")
@@ -106,13 +110,16 @@ def check_header_date(spark, path: str, node: dict, field: str, label: str, cont
         context.settings.get("usa_holidays"),
         spec.format or "yyyyMMdd",
     )
-    rows = gate.limit(1000).collect()
-    bad = [r for r in rows if not r.ok]
-    if bad or not rows:
-        actual = f"{bad[0].status}:{bad[0].actual}" if bad else "EMPTY_FILE"
-        expected = bad[0].expected if bad else None
-        report(spark, context, label, "prev_day_check_failed", expected=expected, actual=actual)
-        raise GateFailed(f"{label}: header date of {path}: expected {expected}, found {actual}")
+    found = gate.agg(
+        F.count(F.lit(1)).alias("headers"),
+        F.count_if(~F.col("ok")).alias("bad"),
+        F.min(F.when(~F.col("ok"), F.concat_ws(":", "status", "actual"))).alias("actual"),
+        F.min("expected").alias("expected"),
+    ).first()
+    if found.bad or not found.headers:
+        actual = found.actual if found.bad else "EMPTY_FILE"
+        report(spark, context, label, "prev_day_check_failed", expected=found.expected, actual=actual)
+        raise GateFailed(f"{label}: header date of {path}: expected {found.expected}, found {actual}")
 
 
 def check_record_count(spark, actual: int, logic, label, name, node, context) -> None:
@@ -138,7 +145,9 @@ def write_checked(annotated: DataFrame, invalid: int, logic, label, name, node,
     where = paths.validation_paths(logic, context.run_date, context.interface, context.settings)
     layout = None
     if node.get("fields") and str(node.get("format") or "").lower() == "fixed":
-        layout = Layout.of(node["fields"], int(node.get("record_length") or 0))
+        layout = Layout.of(
+            node["fields"], int(node.get("record_length") or 0), continued=positions_continued(node, "fields")
+        )
     if invalid:
         rejected = annotated.filter(~F.col(VALID))
         if where["error"]:

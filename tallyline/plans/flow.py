@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+from contextlib import nullcontext
 from datetime import date, datetime
 from pathlib import Path
 
@@ -16,11 +17,11 @@ from tallyline.functions.naming import column_name, find_column, quoted
 from tallyline.operators import gates
 from tallyline.plans import checked
 from tallyline.plans.steps import Context, apply_step, order_steps, step_alias
-from tallyline.session import size_shuffles
+from tallyline.session import scratch_scope, sized_shuffles
 from tallyline.sinks import writers
 from tallyline.sinks.records import output_columns
 from tallyline.sources import paths, readers
-from tallyline.sources.layout import Layout
+from tallyline.sources.layout import Layout, positions_continued
 from tallyline.sources.readers import Source
 
 LOG = logging.getLogger(__name__)
@@ -99,8 +100,8 @@ class Flow:
         """One input by its format."""
         kind = str(node.get("format") or "cobol").lower()
         path = self._path(paths.input_path, node)
-        length = int(node.get("record_length") or 0)
-        layout = Layout.of(node.get("fields") or [], length).data_fields() if node.get("fields") else None
+        layout = _layout(node, "fields")
+        layout = layout.data_fields() if layout is not None else None
         if not path or not gates.file_exists(self.spark, path):
             if self.missing == "empty" and layout is not None:
                 return Source(readers.empty_like(self.spark, layout))
@@ -118,7 +119,7 @@ class Flow:
             if head or tail:
                 return Source(
                     readers.read_delimited_segments(
-                        self.spark, path, layout, head, tail, sep, names, quote, self.context.live
+                        self.spark, path, layout, head, tail, sep, names, quote
                     )
                 )
             return Source(readers.read_delimited(self.spark, path, layout, sep, names, quote))
@@ -129,9 +130,9 @@ class Flow:
                 layout,
                 head,
                 tail,
-                Layout.of(node["header_fields"], length) if node.get("header_fields") else None,
-                Layout.of(node["trailer_fields"], length) if node.get("trailer_fields") else None,
-                stage=self.context.live,
+                _layout(node, "header_fields"),
+                _layout(node, "trailer_fields"),
+                tuple(node["record_marks"]) if node.get("record_marks") else None,
             )
             if layout is not None:
                 self.context.raw[name] = readers.typed_fixed(source.data, layout, keep_raw=True)
@@ -155,9 +156,6 @@ class Flow:
 
     def load(self) -> dict[str, DataFrame]:
         """All inputs, and the checks that belong to them."""
-        if self.context.live:
-            found = [self._path(paths.input_path, node) for node in self.config["Inputs"].values()]
-            size_shuffles(self.spark, sum(gates.size_of(self.spark, path) for path in found))
         for name, node in self.config["Inputs"].items():
             source = self.read(name, node)
             self.context.sources[name] = source
@@ -173,8 +171,7 @@ class Flow:
     def _previous_day(self, name: str, node: dict) -> None:
         field = paths.text_of(node["prev_day_check"], "header_date_field")
         if all(f.get("name") != field for f in node.get("header_fields") or []):
-            LOG.warning("input %s: %r is no header field, previous day not checked", name, field)
-            return
+            raise ConfigError(f"input {name!r}: the previous day is to be checked, but {field!r} is no header field")
         c = self.context
         day = previous_business_day(c.run_date, c.settings.get("usa_holidays"))
         path = paths.reader_path(paths.input_path_on(node, day, self.base_path, c.interface, c.settings))
@@ -186,7 +183,7 @@ class Flow:
     def check_count_file(self, name: str, node: dict) -> bool:
         """Compare rows read with the count file; a difference is only logged."""
         path = self._path(paths.count_file_path, node)
-        layout = Layout.of(node["control_fields"]) if node.get("control_fields") else None
+        layout = Layout.of(node["control_fields"], continued=False) if node.get("control_fields") else None
         expected = readers.read_count_file(self.spark, path, layout)
         row = gates.count_gate(self.datasets[name], expected).first()
         if not row.ok:
@@ -235,23 +232,20 @@ class Flow:
         head, tail = int(node.get("header_count") or 0), int(node.get("trailer_count") or 0)
         if kind in ("fixed", "text", "cobol", "ebcdic"):
             shown, layout, map_by = self._positional(df, name, node)
+            records = {
+                "header": _layout(node, "header_fields", layout.width),
+                "trailer": _layout(node, "trailer_fields", layout.width),
+                "header_count": head,
+                "trailer_count": tail,
+                "map_by": map_by,
+                "on_overflow": node.get("on_overflow") or "error",
+                "run_date": self.context.run_date,
+            }
             if kind in ("cobol", "ebcdic"):
-                writers.write_ebcdic(shown, target, layout, mode)
+                encoding = (node.get("cobrix") or {}).get("encoding") or "Cp037"
+                writers.write_ebcdic(shown, target, layout, mode, encoding, **records)
             else:
-                length = int(node.get("record_length") or 0) or layout.width
-                writers.write_fixed(
-                    shown,
-                    target,
-                    layout,
-                    mode,
-                    header=Layout.of(node["header_fields"], length) if node.get("header_fields") else None,
-                    trailer=Layout.of(node["trailer_fields"], length) if node.get("trailer_fields") else None,
-                    header_count=head,
-                    trailer_count=tail,
-                    map_by=map_by,
-                    on_overflow=node.get("on_overflow") or "error",
-                    run_date=self.context.run_date,
-                )
+                writers.write_fixed(shown, target, layout, mode, **records)
         else:
             shown = self._named_columns(df, name, node)
             if kind == "parquet":
@@ -296,7 +290,7 @@ class Flow:
         """Columns under the names of the layout; by position if no name fits at all."""
         if not node.get("fields"):
             raise ConfigError(f"output {name!r}: a positional file needs fields")
-        layout = Layout.of(node["fields"], int(node.get("record_length") or 0)).data_fields()
+        layout = _layout(node, "fields").data_fields()
         wanted = {column_name(w) for w in self._wanted(node)}
         sources = dict(output_columns(df, [c for c in layout.columns if c in wanted]))
         if not any(sources.values()):
@@ -329,15 +323,29 @@ class Flow:
             self.context.run_date,
         )
 
-    def run(self, dry_run: bool = False) -> dict[str, DataFrame]:
-        """Build, check, write. A dry run counts each output instead of writing anything."""
+    def run(self, dry_run: bool = False, keep: bool = False) -> dict[str, DataFrame]:
+        """Build, check, write. A dry run counts each output instead of writing anything.
+
+        Intermediate tables go at the end of the run, and the frames returned with them, unless they
+        are to be kept; files of the outputs stay.
+        """
         self.context.live = not dry_run
-        self.build()
-        outputs = {n: o for n, o in self.config["Outputs"].items() if isinstance(o, dict)}
-        if dry_run:
+        found = [self._path(paths.input_path, node) for node in self.config["Inputs"].values()]
+        size = sum(gates.size_of(self.spark, path) for path in found)
+        with sized_shuffles(self.spark, size), nullcontext() if keep else scratch_scope(self.spark):
+            self.build()
+            outputs = {n: o for n, o in self.config["Outputs"].items() if isinstance(o, dict)}
             for name, node in outputs.items():
-                LOG.info("output %s: %s rows", name, self.output_frame(name, node).count())
-            return self.made
-        for name, node in outputs.items():
-            self.write(name, node)
+                if dry_run:
+                    LOG.info("output %s: %s rows", name, self.output_frame(name, node).count())
+                else:
+                    self.write(name, node)
         return self.made
+
+
+def _layout(node: dict, section: str, width: int = 0) -> Layout | None:
+    """The layout of one kind of record, if its fields are declared."""
+    if not node.get(section):
+        return None
+    length = int(node.get("record_length") or 0) or width
+    return Layout.of(node[section], length, continued=positions_continued(node, section))

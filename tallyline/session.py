@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -50,38 +51,72 @@ def pin_split_planning(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
 
 
-def size_shuffles(spark: SparkSession, input_bytes: int, target: int = 256 << 20) -> int:
-    """Set the number of shuffle partitions for an amount of data, and return it.
+@contextmanager
+def sized_shuffles(spark: SparkSession, input_bytes: int, target: int = 256 << 20) -> Iterator[int]:
+    """Shuffle partitions for an amount of data, for the jobs started inside; yields their number.
 
     AQE merges partitions that turn out small, but never splits an even plan
-    that started with too few.
+    that started with too few. The session gets its own setting back at the end.
     """
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key, None)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     partitions = max(least, -(-input_bytes // target))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
-    return partitions
+    spark.conf.set(key, str(partitions))
+    try:
+        yield partitions
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+# Scratch folders handed out inside a ``scratch_scope``, innermost last.
+_scopes: list[list[str]] = []
 
 
 def _scratch_root(spark: SparkSession) -> str:
-    """One folder per application below ``spark.checkpoint.dir``.
+    """One folder per application below ``spark.checkpoint.dir``, else below the warehouse.
 
-    Only a local master may go without that setting; it then uses the temporary
-    folder of the machine.
+    Both are shared by all executors. The file system deletes the folder when the application ends.
     """
     parent = spark.conf.get("spark.checkpoint.dir", None)
-    if not parent:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        parent = tempfile.gettempdir()
+    parent = parent or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{parent.rstrip('/')}/tallyline-{spark.sparkContext.applicationId}"
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for an intermediate table, reachable from all executors."""
-    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    root = _scratch_root(spark)
+    fs, target = _file_system(spark, root)
+    if not fs.exists(target):
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables made inside; frames that read them end with it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            fs, target = _file_system(spark, path)
+            fs.delete(target, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; frames made from them end with it."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    fs, target = _file_system(spark, _scratch_root(spark))
+    fs.delete(target, True)

@@ -56,12 +56,14 @@ def load_plan(df: DataFrame, logic: dict) -> tuple[str, dict[str, str]]:
     word = (logic.get("load_mode") or "APPEND").strip().upper()
     if word not in LOAD_MODES:
         raise UnknownOperation(f"load mode {word!r}")
+    connections = int(logic.get("connections") or 0)
+    if connections < 1:
+        raise ConfigError("a table load needs the number of connections the database can take")
     mode = dict(LOAD_MODES[word])
     options = {
         "dbtable": f"{schema}.{table}" if schema else table,
         "batchsize": str(int(logic.get("batch_size") or BATCH_SIZE)),
-        # Connections opened at once; Spark merges partitions beyond that.
-        "numPartitions": str(int(logic.get("connections") or 16)),
+        "numPartitions": str(connections),
     }
     save = mode.pop("mode")
     if "truncate" in mode:
@@ -86,6 +88,8 @@ def load_table(
 ) -> None:
     """Write rows to a table. INSERT wants it empty before.
 
+    ``connections`` tasks write at once. Rows are dealt to them evenly by a shuffle; without it Spark would run
+    the whole plan before the write in so few tasks.
     A retried task repeats its inserts unless the table has a unique key, as
     with any JDBC write.
     """
@@ -97,4 +101,4 @@ def load_table(
         )
         if not probe():
             raise GateFailed(f"table {options['dbtable']} is not empty")
-    df.write.format("jdbc").mode(save).options(**options).save()
+    df.repartition(int(options["numPartitions"])).write.format("jdbc").mode(save).options(**options).save()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +23,12 @@ def _expression(df: DataFrame, text: str, run_date: date | None) -> Column:
     try:
         df.agg(value)
         return value
-    except Exception:
+    except AnalysisException:
         pass
     first = F.first(value)
     try:
         df.agg(first)
-    except Exception as problem:
+    except AnalysisException as problem:
         raise ConfigError(f"expression {text!r} cannot be read: {problem}") from problem
     return first
 
@@ -80,8 +81,8 @@ def fixed_file(
 ) -> DataFrame:
     """All lines of a positional file, in order.
 
-    A union keeps its inputs' partitions in sequence and part files are named
-    by partition, so the part files in name order are the file: header first,
+    A union keeps its inputs' partitions in sequence and part files are numbered
+    by partition, so the part files in the order of their numbers are the file: header first,
     data as ``df`` orders it, trailer last. No shuffle is needed for that.
     """
     lines = format_lines(df, layout, map_by, on_overflow)

@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.errors import UnknownOperation
+from tallyline.errors import ConfigError, UnknownOperation
 from tallyline.functions.packed import encode_text
 from tallyline.operators.control import ControlField, control_file
 from tallyline.sinks.records import delimited_file, fixed_file
@@ -54,6 +54,7 @@ def write_delimited(
 ) -> None:
     """Delimited text with names; with header or trailer lines one file in parts."""
     if header_count or trailer_count:
+        _refuse_append(mode, {"header_count": header_count, "trailer_count": trailer_count})
         lines = delimited_file(df, sep, header_count, trailer_count, quote)
         lines.write.mode(write_mode(mode)).text(path)
         return
@@ -63,15 +64,23 @@ def write_delimited(
 
 def write_fixed(df: DataFrame, path: str, layout: Layout, mode: str = "overwrite", **records) -> None:
     """Positional lines; ``records`` as for ``fixed_file``."""
+    _refuse_append(mode, records)
     fixed_file(df, layout, **records).write.mode(write_mode(mode)).text(path)
 
 
+def _refuse_append(mode: str, records: dict) -> None:
+    """Parts of two writes in one folder would mix, and with them the header of one and the data of the other."""
+    if write_mode(mode) == "append" and (records.get("header_count") or records.get("trailer_count")):
+        raise ConfigError("a file with header or trailer records cannot be appended to: write each to a folder of its own")
+
+
 def write_ebcdic(
-    df: DataFrame, path: str, layout: Layout, mode: str = "overwrite", encoding: str = "Cp037"
+    df: DataFrame, path: str, layout: Layout, mode: str = "overwrite", encoding: str = "Cp037", **records
 ) -> None:
-    """Positional records in EBCDIC bytes, one per row of a binary column."""
-    records = fixed_file(df, layout).select(encode_text(F.col("value"), encoding).alias("record"))
-    records.write.mode(write_mode(mode)).parquet(path)
+    """Positional records in EBCDIC bytes, one per row of a binary column; ``records`` as for ``fixed_file``."""
+    _refuse_append(mode, records)
+    lines = fixed_file(df, layout, **records).select(encode_text(F.col("value"), encoding).alias("record"))
+    lines.write.mode(write_mode(mode)).parquet(path)
 
 
 def write_single(lines: DataFrame, folder: str, name: str) -> str:

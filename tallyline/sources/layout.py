@@ -109,8 +109,18 @@ class Layout:
 
     @classmethod
     def of(
-        cls, fields: Iterable[FieldSpec | dict], record_length: int = 0, record_type: str = "DATA"
+        cls,
+        fields: Iterable[FieldSpec | dict],
+        record_length: int = 0,
+        record_type: str = "DATA",
+        continued: bool | None = None,
     ) -> Layout:
+        """Place the fields one after the other where no start is given.
+
+        A first start beyond 1 means that positions run on through several record groups
+        (``continued``), or that a record begins with a gap. With a record length the
+        length tells; without one the caller has to say.
+        """
         placed: list[FieldSpec] = []
         cursor = 1
         for i, field in enumerate(fields):
@@ -130,8 +140,12 @@ class Layout:
         if shift > 0 and record_length and shift >= int(record_length):
             layout = replace(layout, fields=tuple(replace(f, start=f.start - shift) for f in placed))
         elif shift > 0 and not record_length:
-            # Without a declared length each line decides: see functions.fixed.cut.
-            layout = replace(layout, offset=shift)
+            if continued is None:
+                raise ConfigError(
+                    f"the first field starts at {layout.first}: declare the record length, or whether "
+                    "positions are continued from other records"
+                )
+            layout = replace(layout, offset=shift if continued else 0)
         return layout
 
     def __iter__(self) -> Iterator[FieldSpec]:
@@ -189,3 +203,24 @@ class Layout:
                 rule.update(format="DATE", date_format=f.format or "yyyyMMdd")
             out.append({**rule, **common})
         return out
+
+
+# The kinds of record of a file, in the order in which positions may run on.
+RECORD_GROUPS = ("header_fields", "fields", "trailer_fields")
+
+
+def positions_continued(node: dict, section: str) -> bool | None:
+    """Whether a record's positions run on from another kind of record: as declared, else as the layouts show.
+
+    They do if its first field starts behind all fields of the kinds before it; of records
+    before it without fields it is known only that there are some. None: nothing tells.
+    """
+    if node.get("positions_continued") is not None:
+        return bool(node["positions_continued"])
+    first = min((int(f.get("start") or 0) for f in node.get(section) or []), default=0)
+    before = RECORD_GROUPS[: RECORD_GROUPS.index(section)]
+    ends = [
+        int(f.get("start") or 0) + int(f.get("length") or 0) for group in before for f in node.get(group) or []
+    ]
+    bare = not ends and bool(before) and int(node.get("header_count") or 0) > 0
+    return True if first > 1 and (bare or ends and first >= max(ends)) else None

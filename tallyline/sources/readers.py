@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 from dataclasses import dataclass
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,36 +82,36 @@ def read_delimited_segments(
     sep: str = ",",
     header: bool = True,
     quote: str = '"',
-    stage: bool = False,
 ) -> DataFrame:
     """Delimited text between header and trailer lines that are not data.
 
-    With ``header`` the line after the header lines holds the names. The lines
-    left are parsed where they were read. Columns not declared stay text.
+    With ``header`` the line after the header lines holds the names, the same in
+    every file: columns are taken by position, so a file of another order is an error. The
+    lines left are parsed where they were read. Columns not declared stay text.
     """
-    lines = segments.read_lines(spark, path)
+    parted = segments.split(segments.read_lines(spark, path), header_count + int(header), trailer_count)
     if header:
-        names = next(csv.reader([_line_at(lines, header_count)], delimiter=sep, quotechar=quote))
+        names = next(csv.reader([_names_line(parted.header, header_count + 1)], delimiter=sep, quotechar=quote))
     elif layout is not None:
         names = layout.columns
     else:
         raise ConfigError("delimited text without names needs declared fields")
-    body = segments.split(lines, header_count + int(header), trailer_count, stage).data
+    body = parted.data
     schema = T.StructType([T.StructField(column_name(n), T.StringType()) for n in names])
     row = F.from_csv("value", schema.toDDL(), {"sep": sep, "quote": quote})
     frame = body.select(row.alias("r")).select("r.*")
     return cast_fields(frame, layout) if layout is not None else frame
 
 
-def _line_at(lines: DataFrame, position: int) -> str:
-    """One of the first lines, from the first part files; nothing is scanned."""
-    top: list[str] = []
-    for file in sorted(lines.inputFiles()):
-        reader = lines.sparkSession.read
-        top += [r.value for r in reader.text(unquote(file)).head(position + 1 - len(top))]
-        if len(top) > position:
-            return top[position].rstrip("\r")
-    raise ConfigError(f"no line of names after {position} header line(s)")
+def _names_line(edges: DataFrame, rank: int) -> str:
+    """The line of names that all files have; two different ones are looked at, not all."""
+    line = F.rtrim(F.col("value"), F.lit("\r"))
+    found = edges.filter(F.col("_rank") == rank).select(line.alias("value")).distinct().take(2)
+    if not found:
+        raise ConfigError(f"no line of names after {rank - 1} header line(s)")
+    if len(found) > 1:
+        raise ConfigError(f"files differ in their names: {found[0].value!r}, {found[1].value!r}")
+    return found[0].value
 
 
 def read_fixed(
@@ -125,7 +124,6 @@ def read_fixed(
     trailer_layout: Layout | None = None,
     marks: tuple[str, str] | None = None,
     keep_file: bool = False,
-    stage: bool = False,
 ) -> Source:
     """Positional text files, each with its own header and trailer lines.
 
@@ -135,7 +133,7 @@ def read_fixed(
     if marks:
         seg = segments.by_mark(lines, *marks)
     else:
-        seg = segments.split(lines, header_count, trailer_count, stage)
+        seg = segments.split(lines, header_count, trailer_count)
     keep = (FILE,) if keep_file else ()
     if layout is None or not len(layout):
         data = seg.data.select(*keep, "value")
@@ -231,16 +229,19 @@ def empty_like(spark: SparkSession, layout: Layout) -> DataFrame:
 def read_count_file(
     spark: SparkSession, path: str, layout: Layout | None = None
 ) -> DataFrame:
-    """The record count a control file declares, one row with ``expected``.
+    """The record count that control files declare, one row with ``expected``; several files add up.
 
-    Without a layout the first line is the number. With one, the field named
-    like a count holds it, else the first field.
+    Without a layout the first line of a file is the number. With one, the field named
+    like a count holds it, else the first field. One file without a number makes it NULL.
     """
-    lines = segments.drop_blank(segments.read_lines(spark, path)).limit(1)
+    lines = segments.drop_blank(segments.read_lines(spark, path)).withColumn("_id", F.monotonically_increasing_id())
+    first = lines.groupBy(FILE, segments.PART).agg(F.min_by("value", "_id").alias("value"))
     if layout is None or not len(layout):
-        return lines.select(F.trim("value").try_cast("bigint").alias("expected"))
-    f = count_field(layout) or layout.fields[0]
-    return lines.select(cut(F.col("value"), f, layout.offset).try_cast("bigint").alias("expected"))
+        number = F.trim("value")
+    else:
+        number = cut(F.col("value"), count_field(layout) or layout.fields[0], layout.offset)
+    counts = first.select(number.try_cast("bigint").alias("n"))
+    return counts.agg(F.when(F.count("n") == F.count(F.lit(1)), F.sum("n")).alias("expected"))
 
 
 def count_field(layout: Layout) -> FieldSpec | None:

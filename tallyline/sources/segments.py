@@ -1,21 +1,22 @@
 """Header lines, data lines and trailer lines of text files.
 
 A file has its first ``h`` lines as header and its last ``t`` as trailer. Lines
-get an id that grows within each file (partition number and position in it), so
-the edge lines of a file are those with the lowest and highest ids. Only edge
-lines are ever shuffled; data lines stay in the tasks that read them.
+get an id that counts up inside a split (partition number and position in it).
+One pass finds the first id and the number of lines of every split of a file:
+two numbers, so nothing is sorted and no text moves. The ids of the edge
+lines follow from those; their texts are fetched by a second scan. The small tables are
+written to the shared folder, so Spark knows their size when it plans the joins.
 
 The part files of one Spark-written folder are one file, in the order of their
-names; any other file stands for itself.
+part numbers; any other file stands for itself.
 
-Two scans are made: one to find the edges, one for the data. Files whose lines
-name their record type in a fixed position need a single scan: ``by_mark``.
+Files whose lines name their record type in a fixed position need a single scan: ``by_mark``.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,9 +27,7 @@ from tallyline.sources.layout import FieldSpec, Layout
 
 FILE = "_file"
 PART = "_part"
-# Edge ids are 8-byte keys; this many make a hash table of some 30 MB. With
-# more, the join is left to Spark, which shuffles on the unique id: no skew.
-BROADCAST_EDGES = 500_000
+_SPLIT_BITS = 33
 
 
 @dataclass
@@ -65,83 +64,95 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _whole_file(part: Column) -> Column:
-    """``_file`` from ``_part``, for the few rows where parts have been reduced to edges."""
+    """``_file`` from ``_part``."""
     return F.regexp_replace(part, "/part-[^/]*$", "")
 
 
+def part_order(path: Column) -> Column:
+    """What sorts the part files of a folder as they were written: part number, file counter, name.
+
+    Spark pads the number to five digits only, so names alone do not sort.
+    """
+    name = F.substring_index(path, "/", -1)
+    number = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("bigint")
+    counter = F.regexp_extract(name, r"-c(\d+)[^-]*$", 1).try_cast("bigint")
+    return F.struct(number.alias("number"), counter.alias("counter"), name.alias("name"))
+
+
+def part_key(path: str) -> tuple:
+    """The same order for a path held by the driver."""
+    name = path.rsplit("/", 1)[-1]
+    found = [re.search(p, name) for p in (r"^part-(\d+)", r"-c(\d+)[^-]*$")]
+    return (*[int(m.group(1)) if m else -1 for m in found], name)
+
+
 def drop_blank(lines: DataFrame) -> DataFrame:
     return lines.filter(F.length(F.trim("value")) > 0)
 
 
-def split(
-    lines: DataFrame, header_count: int = 0, trailer_count: int = 0, stage: bool = False
-) -> Segments:
-    """Cut the lines of every file by count. ``lines`` comes from ``read_lines``.
-
-    With ``stage`` the edges are found once and kept as a table of one row per
-    edge line in the shared folder; otherwise each use of them scans again.
-    """
+def split(lines: DataFrame, header_count: int = 0, trailer_count: int = 0) -> Segments:
+    """Cut the lines of every file by count. ``lines`` comes from ``read_lines``."""
     if not header_count and not trailer_count:
         nothing = lines.select(FILE, "value").limit(0)
         return Segments(nothing, drop_blank(lines).select(FILE, "value"), nothing, 0, 0)
-    spark = lines.sparkSession
-    pin_split_planning(spark)
+    pin_split_planning(lines.sparkSession)
     numbered = lines.withColumn("_id", F.monotonically_increasing_id())
-
-    if header_count <= 1 and trailer_count <= 1:
-        edges = _outer_lines(numbered, header_count, trailer_count)
-    else:
-        counts = (("H", header_count), ("T", trailer_count))
-        edges = reduce(DataFrame.union, [_edge(numbered, n, side) for side, n in counts if n])
-    if stage:
-        path = scratch_dir(spark, "edges")
-        edges.write.parquet(path)
-        edges = spark.read.schema(edges.schema).parquet(path)
-
-    ids = edges.select("_id")
-    if len(lines.inputFiles()) * (header_count + trailer_count) <= BROADCAST_EDGES:
-        ids = F.broadcast(ids)
-    data = numbered.join(ids, "_id", "left_anti").select(FILE, "value")
-    header, trailer = (edges.filter(F.col("_side") == side).drop("_id", "_side") for side in "HT")
+    edges = _staged(_edge_ids(numbered, header_count, trailer_count), "edges")
+    texts = _staged(numbered.select("_id", "value").join(edges, "_id"), "edge-lines")
+    data = numbered.join(edges.select("_id").distinct(), "_id", "left_anti").select(FILE, "value")
+    header, trailer = (
+        texts.filter(F.col("_side") == side).select(FILE, "_rank", "value") for side in "HT"
+    )
     return Segments(header, drop_blank(data), trailer, header_count, trailer_count)
 
 
-def _outer_lines(numbered: DataFrame, header_count: int, trailer_count: int) -> DataFrame:
-    """First and last line per file in one pass: two lines per part file and task are shuffled."""
-    line = F.struct("_id", "value")
-    parts = numbered.groupBy(PART).agg(F.min(line).alias("low"), F.max(line).alias("high"))
-    ends = parts.groupBy(_whole_file(F.col(PART)).alias(FILE)).agg(
-        F.min(F.struct(PART, "low")).getField("low").alias("first"),
-        F.max(F.struct(PART, "high")).getField("high").alias("last"),
-    )
+def _staged(frame: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
-    def edge(end: str, side: str) -> Column:
-        return F.struct(
-            F.lit(side).alias("_side"), F.lit(1).alias("_rank"), f"{end}._id", f"{end}.value"
-        )
 
-    wanted = [edge("first", "H")] * header_count + [edge("last", "T")] * trailer_count
-    edges = ends.select(FILE, F.explode(F.array(*wanted)).alias("e"), F.col("first._id").alias("top"))
-    # A file of one line has a header and nothing after it.
-    twice = (F.col("e._side") == "T") & (F.col("e._id") == F.col("top")) & F.lit(bool(header_count))
-    return edges.filter(~twice).select(FILE, "e.*")
+def _first(n: Column) -> Column:
+    """Rows 0 to n - 1 as ``_k``."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("_k")
 
 
-def _edge(numbered: DataFrame, count: int, side: str) -> DataFrame:
-    """The ``count`` outermost lines of each file at one end.
+def _edge_ids(numbered: DataFrame, header_count: int, trailer_count: int) -> DataFrame:
+    """Ids of the first and last lines of each file: ``_file``, ``_side``, ``_rank``, ``_id``.
 
-    First per part file, where Spark keeps only ``count`` lines per task before
-    the shuffle (WindowGroupLimit), however long the file is; then per file.
-    The rank grows towards the end of the file.
+    Lines of a file in one split have ids in a row. Splits of a file come in the order of
+    its parts; a header that ends in a later split than it began takes the rest from there. The rank
+    grows towards the end of the file. A line that is both is a header line.
     """
-    turn = F.asc if side == "H" else F.desc
-    within = Window.partitionBy(PART).orderBy(turn("_id"))
-    few = numbered.select(PART, "_id", "value").withColumn("_n", F.row_number().over(within))
-    few = few.filter(F.col("_n") <= count).withColumn(FILE, _whole_file(F.col(PART)))
-    across = Window.partitionBy(FILE).orderBy(turn(PART), turn("_id"))
-    ranked = few.withColumn("_n", F.row_number().over(across)).filter(F.col("_n") <= count)
-    rank = F.col("_n") if side == "H" else -F.col("_n")
-    return ranked.select(FILE, F.lit(side).alias("_side"), rank.alias("_rank"), "_id", "value")
+    runs = numbered.groupBy(PART, F.shiftright("_id", _SPLIT_BITS).alias("_split")).agg(
+        F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n")
+    )
+    placed = runs.withColumn(FILE, _whole_file(F.col(PART))).withColumn("_order", part_order(F.col(PART)))
+    ahead = Window.partitionBy(FILE).orderBy("_order", "_split")
+    behind = Window.partitionBy(FILE).orderBy(F.desc("_order"), F.desc("_split"))
+    others = lambda w: F.coalesce(
+        F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    counted = placed.select(
+        FILE, "_low", "_n", others(ahead).alias("_before"), others(behind).alias("_after")
+    ).filter((F.col("_before") < header_count) | (F.col("_after") < trailer_count))
+    heads = F.least(F.col("_n"), F.lit(header_count) - F.col("_before"))
+    tops = counted.filter(heads > 0).select("*", heads.alias("_take")).select(
+        FILE, "_low", "_before", _first(F.col("_take"))
+    )
+    header = tops.select(
+        FILE, F.lit("H").alias("_side"), (F.col("_before") + F.col("_k") + 1).alias("_rank"), (F.col("_low") + F.col("_k")).alias("_id")
+    )
+    tails = F.least(F.col("_n"), F.lit(trailer_count) - F.col("_after"))
+    # Lines that the header has taken are no trailer.
+    tails = F.least(tails, F.col("_n") - F.greatest(F.lit(0), F.least(F.col("_n"), heads)))
+    ends = counted.filter(tails > 0).select("*", tails.alias("_take")).select(
+        FILE, "_low", "_n", "_after", _first(F.col("_take"))
+    )
+    trailer = ends.select(
+        FILE, F.lit("T").alias("_side"), (-F.col("_after") - F.col("_k") - 1).alias("_rank"), (F.col("_low") + F.col("_n") - 1 - F.col("_k")).alias("_id")
+    )
+    return header.union(trailer)
 
 
 def by_mark(lines: DataFrame, header: str = "H", trailer: str = "T", at: int = 1) -> Segments:

@@ -96,11 +96,30 @@ def test_plain_cut(spark):
 def test_absolute_starts(spark):
     fields = [FieldSpec("A", start=121, length=3), FieldSpec("B", start=124, length=2)]
     short = spark.createDataFrame([("ABCDE",)], "value string")
-    for layout in (Layout.of(fields), Layout.of(fields, 5)):
+    for layout in (Layout.of(fields, continued=True), Layout.of(fields, 5)):
         assert tuple(parse_lines(short, layout).first()) == ("ABC", "DE")
     full = spark.createDataFrame([("x" * 120 + "ABCDE",)], "value string")
-    for layout in (Layout.of(fields), Layout.of(fields, 200)):
+    for layout in (Layout.of(fields, continued=False), Layout.of(fields, 200)):
         assert tuple(parse_lines(full, layout).first()) == ("ABC", "DE")
+    with pytest.raises(ConfigError):
+        Layout.of(fields)
+
+
+def test_all_lines_of_a_layout_are_cut_alike(spark):
+    layout = Layout.of([FieldSpec("A", start=11, length=5)], continued=True)
+    lines = spark.createDataFrame([("ABCDEFGHIJ",), ("KLMNOPQRSTUVWXYZ",)], "value string")
+    assert sorted(r.A for r in parse_lines(lines, layout).collect()) == ["ABCDE", "KLMNO"]
+
+
+def test_doubles_beyond_decimals_are_an_overflow(spark):
+    frame = spark.createDataFrame([(1e37,), (float("nan"),), (None,)], "N double")
+    for field in (FieldSpec("N", "decimal", length=12, precision=2), FieldSpec("N", "long", length=12)):
+        layout = Layout.of([field])
+        for row in ("1e37", "'NaN'"):
+            with pytest.raises(Exception, match="exceeds 12 characters"):
+                format_lines(frame.filter(f"N = double({row})"), layout).collect()
+        shown = [r.value for r in format_lines(frame, layout, on_overflow="null").collect()]
+        assert shown == [" " * 12] * 3
 
 
 def test_gaps_overlaps_and_missing_columns(spark):

@@ -168,7 +168,7 @@ def _text(folder):
 
 def test_bank_batch(spark, bank, tmp_path):
     flow = Flow(spark, _config(tmp_path), RUN, name="bank")
-    flow.run()
+    flow.run(keep=True)
     lines = _text(tmp_path / "out" / "OUT.DAT")
     assert [len(x) for x in lines] == [120] * 7 and not lines[0].strip() and not lines[-1].strip()
     assert lines[1:-1] == [_line(*r) for r in ROWS]
@@ -211,6 +211,47 @@ def test_previous_day_header_must_match(spark, bank, tmp_path):
     assert spark.read.parquet(table).first().kind == "prev_day_check_failed"
 
 
+def test_all_previous_headers_are_looked_at(spark, tmp_path):
+    from tallyline.plans.checked import check_header_date
+    from tallyline.plans.steps import Context
+
+    for k in range(1_500):
+        day = "20260303" if k == 1_495 else "20260304"
+        (tmp_path / f"f{k:05d}").write_text(f"{day}\ndata\n")
+    node = {"header_count": 1, "header_fields": [{"name": "DAY", "type": "STRING", "length": 8}]}
+    context = Context(run_date=RUN, run_time=datetime(2026, 3, 5))
+    with pytest.raises(GateFailed, match="MISMATCH:20260303"):
+        check_header_date(spark, str(tmp_path), node, "DAY", "s", context)
+    (tmp_path / "f01495").write_text("20260304\ndata\n")
+    check_header_date(spark, str(tmp_path), node, "DAY", "s", context)
+
+
+def test_previous_day_without_its_field_raises(spark, bank, tmp_path):
+    config = _config(tmp_path)
+    config["Inputs"]["BATCH"]["prev_day_check"] = {"enabled": True, "header_date_field": "NO-SUCH"}
+    with pytest.raises(ConfigError, match="NO-SUCH"):
+        Flow(spark, config, RUN).run()
+
+
+def test_run_leaves_no_intermediate_tables(spark, bank, tmp_path):
+    from tallyline.session import _file_system, _scratch_root, sized_shuffles
+
+    fs, root = _file_system(spark, _scratch_root(spark))
+    count = lambda: len(fs.listStatus(root)) if fs.exists(root) else 0
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before, setting = count(), spark.conf.get(key, None)
+    Flow(spark, _config(tmp_path), RUN).run()
+    assert count() == before and spark.conf.get(key, None) == setting
+    with sized_shuffles(spark, 10 << 30) as n:
+        assert n == 40 and spark.conf.get(key) == "40"
+
+
+def test_appending_between_records_is_refused(spark, tmp_path):
+    layout = Layout.of([{"name": "K", "type": "LONG", "length": 8}])
+    with pytest.raises(ConfigError):
+        writers.write_fixed(spark.range(1).toDF("K"), str(tmp_path / "x"), layout, "append", header_count=1)
+
+
 def test_previous_day_skips_holidays(spark, bank, tmp_path):
     bank("20260303", folder="20260303")
     settings = {"usa_holidays": [{"active": True, "date": "2026-03-04"}]}
@@ -244,7 +285,7 @@ def test_modes_without_abort(spark, bank, tmp_path):
     bank(rows=ROWS + BAD, trailer=TRAILER.replace("T00000005", "T00000007"))
     for mode, n in (("FLAG", 7), ("DROP", 5), ("ABORT", 7)):
         flow = Flow(spark, _config(tmp_path, fail_mode=mode, abort_on_invalid=False), RUN)
-        made = flow.run()["CHECKED"]
+        made = flow.run(keep=True)["CHECKED"]
         assert made.count() == n
         assert ("_is_valid" in made.columns) == (mode == "FLAG")
     errors = spark.read.parquet(str(tmp_path / "error"))
@@ -369,14 +410,14 @@ def test_config_sections():
 
 def test_table_load_plans(spark):
     rows = spark.createDataFrame([], "a string, b decimal(18,4), c date, d boolean, e array<int>")
-    base = {"host": "h", "service_name": "s", "schema": "sc", "table": "t"}
+    base = {"host": "h", "service_name": "s", "schema": "sc", "table": "t", "connections": 4}
     save, options = jdbc.load_plan(rows, base)
     assert save == "append" and options["dbtable"] == "sc.t" and options["batchsize"] == "10000"
     assert options["url"] == "jdbc:oracle:thin:@//h:1521/s"
     assert jdbc.load_plan(rows, {**base, "load_mode": "truncate_insert"})[1]["truncate"] == "true"
     save, options = jdbc.load_plan(rows, {**base, "load_mode": "REPLACE"})
     assert save == "overwrite" and "`b` DECIMAL(18,4)" in options["createTableColumnTypes"]
-    for bad in ({**base, "table": ""}, {"table": "t"}):
+    for bad in ({**base, "table": ""}, {"table": "t"}, {**base, "connections": 0}):
         with pytest.raises(ConfigError):
             jdbc.load_plan(rows, bad)
     with pytest.raises(UnknownOperation):
@@ -435,7 +476,7 @@ def test_bad_digits_are_found_and_kept(spark, bank, tmp_path):
     (folder / "BATCH.DAT").write_text("\n".join(lines) + "\n")
     config = _config(tmp_path, fail_mode="DROP", abort_on_invalid=False, error_dataset_name="BAD.DAT")
     flow = Flow(spark, config, RUN)
-    made = flow.run()["CHECKED"]
+    made = flow.run(keep=True)["CHECKED"]
     assert _text(tmp_path / "error" / "BAD.DAT") == [bad]
     assert made.count() == 5 and not [c for c in made.columns if c.startswith("_")]
     config = _config(tmp_path, fail_mode="FLAG")

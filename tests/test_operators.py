@@ -245,3 +245,13 @@ def test_frequent_keys_are_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_small_numbers_in_text(spark):
+    from tallyline.operators.aggregates import aggregate
+    from tallyline.operators.filters import filter_rows
+
+    rates = spark.createDataFrame([("0.0000004",), ("0.0000005",), ("-0.1",)], "RATE string")
+    assert filter_rows(rates, [{"field": "RATE", "operation": ">", "value": 0}]).count() == 2
+    total = aggregate(rates.filter("RATE like '0%'"), [], [{"field": "RATE", "op": "sum", "alias": "s"}]).first().s
+    assert float(total) == 0.0000009

@@ -5,7 +5,8 @@ from compare import connect, differences
 
 import __spark_entry__ as driver
 
-QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
+# Queries of the training-data operators have tests of their own.
+from tallyline.catalog import ORACLE, QUERIES  # noqa: E402
 
 
 @pytest.fixture(scope="module")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tallyline.sources import segments
 from tallyline.sources.layout import FieldSpec, Layout
@@ -77,9 +78,48 @@ def test_marks_need_no_counting(spark, tmp_path):
     assert "Exchange" not in plan and "Join" not in plan
 
 
-def test_only_edges_are_shuffled(spark, tmp_path):
+def test_data_is_not_sorted_to_find_edges(spark, tmp_path):
     _write(tmp_path / "x.dat", ["H", "D", "T"])
     seg = segments.split(segments.read_lines(spark, str(tmp_path)), 3, 2)
     plan = seg.data._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
-    assert "SinglePartition" not in plan
+    assert "BroadcastHashJoin" in plan and "SinglePartition" not in plan and "Sort" not in plan
+    numbered = segments.read_lines(spark, str(tmp_path)).withColumn("_id", F.monotonically_increasing_id())
+    plan = segments._edge_ids(numbered, 3, 2)._jdf.queryExecution().sparkPlan().toString()
+    # Below the last partial aggregate, next to the scan, nothing sorts.
+    assert "Sort" not in plan[plan.index("partial_") :]
+
+
+def test_part_numbers_beyond_five_digits(spark, tmp_path):
+    folder = tmp_path / "OUT.DAT"
+    folder.mkdir()
+    parts = {0: ["H"], 1: ["D1"], 99_999: ["D2"], 100_000: ["D3"], 100_001: ["D4", "T"]}
+    for number, lines in parts.items():
+        _write(folder / f"part-{number:05d}-ab12-c000.txt", lines)
+    _write(folder / "part-100000-ab12-c001.txt", ["D3b"])
+    seg = segments.split(segments.read_lines(spark, str(folder)), 1, 1)
+    assert _values(seg.header) == ["H"] and _values(seg.trailer) == ["T"]
+    assert _values(seg.data) == ["D1", "D2", "D3", "D3b", "D4"]
+    seg = segments.split(segments.read_lines(spark, str(folder)), 2, 3)
+    assert [r.value for r in seg.header.orderBy("_rank").collect()] == ["H", "D1"]
+    assert [r.value for r in seg.trailer.orderBy("_rank").collect()] == ["D3b", "D4", "T"]
+
+
+def test_files_of_other_names_raise(spark, tmp_path):
+    from tallyline.errors import ConfigError
+    from tallyline.sources.readers import read_delimited_segments
+
+    _write(tmp_path / "a.csv", ["top", "x,y", "1,2"])
+    _write(tmp_path / "b.csv", ["top", "y,x", "1,2"])
+    with pytest.raises(ConfigError):
+        read_delimited_segments(spark, str(tmp_path), header_count=1)
+    assert read_delimited_segments(spark, str(tmp_path / "a.csv"), header_count=1).collect() == [("1", "2")]
+
+
+def test_count_files_add_up(spark, tmp_path):
+    from tallyline.sources.readers import read_count_file
+
+    _write(tmp_path / "a", ["", " 3 ", "9"])
+    _write(tmp_path / "b", ["4"])
+    assert read_count_file(spark, str(tmp_path)).first().expected == 7
+    _write(tmp_path / "c", ["none"])
+    assert read_count_file(spark, str(tmp_path)).first().expected is None
