@@ -251,8 +251,14 @@ def _scored(rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
 
 
 def _some(rows: DataFrame, most: int, *columns: str) -> list:
-    """A bounded sample: the rows with the smallest hashes of their features."""
-    return rows.orderBy(F.xxhash64("x", "m"), *columns).limit(most).select("x", "m", *columns).collect()
+    """A bounded sample: rows with the smallest hashes of their features.
+
+    A first cut by the hash leaves few more than that, however many rows and partitions there are.
+    """
+    n, span = rows.count(), 1 << 30
+    at = F.pmod(F.xxhash64("x", "m"), F.lit(span))
+    few = rows if n <= most else rows.filter(at < int(span * min(1.0, (1.2 * most + 100) / n)))
+    return few.orderBy(at, *columns).limit(most).select("x", "m", *columns).collect()
 
 
 def score_quality(
@@ -265,10 +271,11 @@ def score_quality(
     score is one half, and a document is kept at ``threshold`` or more. Null texts count as
     empty, null metadata as values of their own. Repeated rows get the same score. An empty table gives an empty result.
 
-    Counts for the choice of text marks cover all labelled documents. Each fit takes at most ``FIT_ROWS`` labelled rows and,
-    in each of ``ROUNDS`` rounds, ``PSEUDO_ROWS`` rows of either class on which the other view is sure to ``CONFIDENT``,
-    drawn from all unlabelled documents. Texts are read once for their features, which are
-    written; rounds read those. A view that is never sure teaches nothing.
+    Classifiers, and the text marks they look at, are fitted on the labelled documents with the ``FIT_ROWS`` smallest
+    hashes of their ids and, in each of ``ROUNDS`` rounds, ``PSEUDO_ROWS`` rows of either class on which the other view is
+    sure to ``CONFIDENT``, drawn from all unlabelled documents. The texts stay where they are read: only
+    ids and features, a few hundred bytes a document, are shuffled. Features are written once; rounds
+    read those. A view that is never sure teaches nothing.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -281,11 +288,16 @@ def score_quality(
         .groupBy("id")
         .agg(F.min("y").alias("y"))
     )
-    marks = _choose_marks(rows.join(known, "id").select("t", "y"))
+    there = rows.select("id").distinct()
+    chosen = cut(
+        known.join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS), "labelled"
+    )
+    # At most FIT_ROWS ids and labels, whatever the size of the tables.
+    chosen = F.broadcast(chosen)
+    marks = _choose_marks(rows.join(chosen, "id").select("t", "y"))
     features = cut(_features(rows, marks), "features")
-    seen = features.join(known, "id", "left").select("x", "m", "y")
-    pool = cut(seen.filter("y IS NULL").select("x", "m"), "pool")
-    fitted = _some(seen.filter("y IS NOT NULL"), FIT_ROWS, "y")
+    pool = cut(features.join(known.select("id"), "id", "left_anti").select("x", "m"), "pool")
+    fitted = _some(features.join(chosen, "id"), FIT_ROWS, "y")
     y = np.array([r.y for r in fitted], dtype=np.float32)
     base = {"x": ([bytes(r.x) for r in fitted], y), "m": ([r.m for r in fitted], y)}
     none = ([], np.zeros(0, np.float32))
