@@ -320,12 +320,10 @@ def count_file_gate(spark, sf_dir):
 
 @register(
     """
-    SELECT lpad(CAST((o_orderkey + 1) * 100 AS VARCHAR),
-                CAST(greatest(12, length(CAST((o_orderkey + 1) * 100 AS VARCHAR))) AS INTEGER), '0') AS AMOUNT,
-           strftime(DATE '2026-03-10' - CAST(o_orderkey % 10000 AS INTEGER), '%Y%m%d') AS VALUE_DATE,
-           'A' AS STATUS, 'D' AS REC_TYPE,
-           rpad('SAMPLE' || lpad(CAST(o_orderkey + 1 AS VARCHAR),
-                CAST(greatest(3, length(CAST(o_orderkey + 1 AS VARCHAR))) AS INTEGER), '0'), 20, ' ') AS NOTE
+    SELECT lpad(CAST((o_orderkey + 1) * 100 % 1000000000000 AS VARCHAR), 12, '0') AS AMOUNT,
+           strftime(DATE '2026-03-10' - CAST(o_orderkey % 365 AS INTEGER), '%Y%m%d') AS VALUE_DATE,
+           CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS ACTIVE,
+           chr(CAST(65 + (o_orderkey + 1) % 26 AS INTEGER)) AS KIND
     FROM orders
     """
 )
@@ -333,11 +331,10 @@ def sample_rows(spark, sf_dir):
     """SC22: plausible rows from field definitions, one per order."""
     layout = Layout.of(
         [
-            FieldSpec("REC-TYPE", length=1),
             FieldSpec("AMOUNT", "decimal", length=12, precision=2),
-            FieldSpec("VALUE-DATE", length=8),
-            FieldSpec("STATUS", length=1),
-            FieldSpec("NOTE", length=20),
+            FieldSpec("VALUE-DATE", "date", length=8),
+            FieldSpec("ACTIVE", "boolean", length=5),
+            FieldSpec("KIND", length=1),
         ]
     )
     return sample_over(table(spark, sf_dir, "orders"), "o_orderkey", layout, RUN_DATE)

@@ -1,0 +1,32 @@
+"""What a frame's plan consists of, for operators that would otherwise evaluate it more than once."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+
+# Nodes that add next to nothing to a scan.
+_LIGHT = {"Project", "Filter", "SubqueryAlias"}
+_SOURCES = {"LogicalRelation", "Relation", "LocalRelation", "Range", "DataSourceV2ScanRelation"}
+
+
+def _nodes(plan) -> Iterator:
+    yield plan
+    children = plan.children()
+    for k in range(children.size()):
+        yield from _nodes(children.apply(k))
+
+
+def is_plain_scan(df: DataFrame) -> bool:
+    """Whether evaluating the frame is reading one table, with columns computed and rows dropped."""
+    kinds = {node.getClass().getSimpleName() for node in _nodes(df._jdf.queryExecution().optimizedPlan())}
+    return bool(kinds & _SOURCES) and kinds <= _LIGHT | _SOURCES
+
+
+def is_sorted(df: DataFrame) -> bool:
+    """Whether the rows come in a global order: a sort, below nothing but columns and filters."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.getClass().getSimpleName() in _LIGHT | {"Generate"}:
+        node = node.children().apply(0)
+    return node.getClass().getSimpleName() == "Sort" and bool(getattr(node, "global")())

@@ -127,7 +127,9 @@ def _from_header(df: DataFrame, sql: str, header: DataFrame | None) -> Column |
             day = F.last_day(day)
         # A text that is no date is passed on as it stands.
         value = F.coalesce(F.date_format(day, pattern), raw)
-    one = header.select(value.alias("v")).agg(F.max("v").alias("v"))
+    found = header.select(value.alias("v"))
+    differ = F.raise_error(F.lit(f"{sql}: the headers of several files differ")).cast("string")
+    one = found.agg(F.when(F.min("v") != F.max("v"), differ).otherwise(F.max("v")).alias("v"))
     return F.coalesce(one.scalar(), F.lit(""))
 
 

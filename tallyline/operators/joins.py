@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyline.errors import ConfigError, UnknownOperation
 from tallyline.functions.naming import require_column
+from tallyline.functions.plan import is_plain_scan
+from tallyline.session import scratch_dir
 
 # The words for each kind of join.
 HOW_WORDS = {
@@ -40,8 +42,9 @@ def join_on(
 
     Spark splits a frequent key on both sides of an inner join, only on the
     kept side of a left or right join, and not at all in a full join. With
-    ``skewed`` an outer join is built from joins that can be split, at the
-    price of reading the kept side again: by default only the full join is.
+    ``skewed`` an outer join is built from joins that can be split; by default only the full join is.
+    These read a side twice: unless it is a plain table scan, it is evaluated once and written to
+    the shared folder first.
     """
     kind = _HOW.get(how.strip().lower())
     if kind is None:
@@ -53,7 +56,7 @@ def join_on(
         names = (key, key) if isinstance(key, str) else tuple(key)[:2]
         pairs.append((require_column(left.columns, names[0]), require_column(right.columns, names[1])))
     if kind in ("left", "right", "full") and (kind == "full" if skewed is None else skewed):
-        return _outer(left, right, pairs, kind)
+        return _outer(_once(left), _once(right), pairs, kind)
     return _join(left, right, pairs, kind)
 
 
@@ -78,6 +81,15 @@ def _join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], kind:
     return joined.select(*out)
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """The frame itself if it is a plain scan, else its rows as a table."""
+    if is_plain_scan(df):
+        return df
+    path = scratch_dir(df.sparkSession, "side")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _outer(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], kind: str) -> DataFrame:
     """An outer join as the matching rows, and the rows of each kept side without a partner."""
     shared = {a for a, b in pairs if a == b}

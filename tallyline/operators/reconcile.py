@@ -4,15 +4,14 @@ Rows are paired by key. Rows that agree in every cell are paired with each
 other first, by counting copies, so equal tables meet only as counts. What is
 left over on both sides is paired within its key in a fixed order.
 
-Nothing here depends on how many rows share a key: copies are counted in the
-map tasks, positions within a key are found bucket by bucket, and the pairing
-works on slices of at most ``SLICE`` positions.
+Keys with one row a side are paired in one aggregation. For the others no task depends on
+how many rows share a key: copies are counted in the map tasks, positions within a key are found
+in buckets of about ``BUCKET_ROWS`` rows, and the pairing works on slices of at most ``SLICE`` positions.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,36 +20,17 @@ from pyspark.sql import types as T
 
 from tallyline.errors import ConfigError
 from tallyline.functions.naming import quoted, require_column
+from tallyline.operators.sets import numbered
 
 SLICE = 1_000_000
-# Hex digits of the row hash that make a bucket: 4096 buckets per key and side.
-BUCKET_DIGITS = 3
-
-# How strongly a column name suggests a key.
-_KEY_WHOLE = (("id", 100), ("key", 100), ("pk", 90))
-_KEY_ENDS = (
-    (("_id", "_key"), 90),
-    (("_no", "_num", "_code", "_ref", "_seq"), 80),
-)
-_KEY_PARTS = (
-    (("id", "key", "acct", "cust"), 70),
-    (("no", "num", "code", "ref", "seq"), 50),
-)
-
-
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)$"
-# Numbers of up to this many characters keep all their digits in decimal(38, 18).
-_SHORT = 19
-# Applied in turn to the text of a number: plus sign, leading zeros, bare point,
-# trailing zeros, trailing point, negative zero.
-_STRIPS = (
-    (r"^\+", ""),
-    (r"^(-?)0+(?=\d)", "$1"),
-    (r"^(-?)\.", "$10."),
-    (r"(\.\d*?)0+$", "$1"),
-    (r"\.$", ""),
-    (r"^-0$", "0"),
-)
+BUCKET_ROWS = 100_000
+
+# Text that is a number; an exponent of more than four digits makes it text.
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,4})?$"
+# Parts of it: sign, digits before and after the point, exponent.
+_PARTS = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$"
+# decimal(38, 18) holds numbers without exponent of up to this many characters whole; a quicker way to the same text.
+_QUICK = 19
 
 
 _PLAIN = (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -75,12 +55,10 @@ def normal_text(text: Column, dtype: T.DataType) -> Column:
         return _short_number(text) if dtype.scale else text
     # Only text that starts with a sign, a point or a digit can be a number.
     maybe = F.ascii(text).between(ord("+"), ord("9"))
+    quick = (F.length(text) <= _QUICK) & ~text.rlike("[eE]")
     short = _short_number(text.try_cast("decimal(38,18)").cast("string"))
-    long = F.when(text.rlike(_NUMBER), _stripped(text))
     return (
-        F.when(~maybe, text)
-        .when(F.length(text) <= _SHORT, F.coalesce(short, text))
-        .otherwise(F.coalesce(long, text))
+        F.when(~maybe | ~text.rlike(_NUMBER), text).when(quick, F.coalesce(short, text)).otherwise(_written_out(text))
     )
 
 
@@ -89,55 +67,60 @@ def _short_number(text: Column) -> Column:
     return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
-def _stripped(text: Column) -> Column:
-    for pattern, kept in _STRIPS:
-        text = F.regexp_replace(text, pattern, kept)
-    return text
-
-
-def normal_name(name: str) -> str:
-    """A column name without case, marks and separators' spelling."""
-    text = re.sub(r"\s*\(\*\)\s*|\*", "", name.strip().lower())
-    text = re.sub(r"[\s\-._,;:]+", "_", text)
-    text = re.sub(r"_+", "_", re.sub(r"[^a-z0-9_]", "", text)).strip("_")
-    return text or name.strip().lower()
-
-
-def match_columns(expected: Sequence[str], produced: Sequence[str]) -> dict[str, str | None]:
-    """Expected column to produced column: by spelling-free name, then by letters and digits."""
-    loose = lambda c: re.sub(r"[^a-z0-9]", "", c.lower())
-    by_name = {normal_name(c): c for c in produced if not c.startswith("_")}
-    by_loose = {loose(c): c for c in reversed([p for p in produced if not p.startswith("_")])}
-    return {
-        c: by_name.get(normal_name(c)) or by_loose.get(loose(c))
-        for c in expected
-        if not c.startswith("_")
-    }
-
-
-def key_score(name: str) -> int:
-    """How much a name looks like a key; 0 for not at all."""
-    text = normal_name(name)
-    for whole, score in _KEY_WHOLE:
-        if text == whole:
-            return score
-    for ends, score in _KEY_ENDS:
-        if text.endswith(ends):
-            return score
-    for parts, score in _KEY_PARTS:
-        if any(part in text for part in parts):
-            return score
-    return 0
-
-
-def choose_key(matched: dict[str, str | None]) -> list[str]:
-    """The best-scoring column both sides have, else the first if both have it, else none."""
+def _written_out(number: Column) -> Column:
+    """A number of any length without exponent, leading or trailing zeros."""
+    sign, whole, part, exponent = (F.regexp_extract(number, _PARTS, k) for k in (1, 2, 3, 4))
+    digits, zero = F.concat(whole, part), F.lit("0")
+    # Where the point stands among the digits, which are filled up with zeros to reach it.
+    point = F.length(whole) + F.coalesce(exponent.try_cast("int"), F.lit(0))
+    filled = F.concat(F.repeat(zero, F.greatest(F.lit(0), -point)), digits)
+    filled = F.rpad(filled, F.greatest(F.length(filled), point), "0")
+    at = F.greatest(F.lit(0), point)
+    before = F.ltrim(F.substring(filled, F.lit(1), at), zero)
+    after = F.rtrim(F.substring(filled, at + 1, F.length(filled)), zero)
+    value = F.concat(F.when(before == "", "0").otherwise(before), F.when(after == "", "").otherwise(F.concat(F.lit("."), after)))
+    return F.when((sign == "-") & (value != "0"), F.concat(F.lit("-"), value)).otherwise(value)
+
+
+def spelling(name: str) -> str:
+    """What two spellings of a column have in common: its letters and digits, without case."""
+    return "".join(c for c in name.casefold() if c.isalnum())
+
+
+def match_columns(
+    expected: Sequence[str], produced: Sequence[str], mapping: Mapping[str, str] | None = None
+) -> dict[str, str | None]:
+    """The produced column of each expected one, None where there is none.
+
+    Entries of ``mapping`` come first; then a column of that name, then one spelled alike. Several that are spelled
+    alike are an error, which an entry of the mapping settles.
+    """
+    given = dict(mapping or {})
+    if unknown := [n for n in given.values() if n not in produced]:
+        raise ConfigError(f"mapped to columns that are not there: {unknown}")
+    alike: dict[str, list[str]] = {}
+    for name in produced:
+        alike.setdefault(spelling(name), []).append(name)
+    found: dict[str, str | None] = {}
+    for name in expected:
+        hits = [given[name]] if name in given else [name] if name in produced else alike.get(spelling(name), [])
+        if len(hits) > 1:
+            raise ConfigError(f"{name!r} could be any of {hits}")
+        found[name] = hits[0] if hits else None
+    return found
+
+
+def choose_key(expected: DataFrame, matched: Mapping[str, str | None]) -> list[str]:
+    """The column both sides have that tells most expected rows apart, of equal ones the first.
+
+    Distinct values are estimated in one pass, to about five percent.
+    """
     usable = [c for c, other in matched.items() if other]
-    best = max(usable, key=key_score, default=None)
-    if best is not None and key_score(best) > 0:
-        return [best]
-    first = next(iter(matched), None)
-    return [first] if first is not None and matched[first] else []
+    if not usable:
+        return []
+    counts = expected.agg(*[F.approx_count_distinct(F.col(quoted(c))).alias(str(k)) for k, c in enumerate(usable)])
+    row = counts.first()
+    return [usable[max(range(len(usable)), key=lambda k: (row[k], -k))]]
 
 
 @dataclass
@@ -172,7 +155,35 @@ class Reconciliation:
         Columns: ``type``, the structs ``expected`` and ``generated`` (NULL
         where there is none), and how many ``copies`` of the pair there are.
         """
-        runs = self._runs()
+        rest = self._rest()
+        per_key = rest.groupBy(*self._keys()).agg(
+            *[F.count_if(F.col("_side") == side).alias(f"_m{side}") for side in "eg"],
+            *[
+                F.max(F.when(F.col("_side") == side, F.struct("_n", "_hash", "_row"))).alias(f"_{side}")
+                for side in "eg"
+            ],
+        )
+        single = (F.col("_me") <= 1) & (F.col("_mg") <= 1)
+        pairs = self._single_pairs(per_key.filter(single))
+        several = per_key.filter(~single).select(*self._keys(), "_me", "_mg")
+        return pairs.unionByName(self._paired_runs(self._runs(rest, several)))
+
+    def _single_pairs(self, per_key: DataFrame) -> DataFrame:
+        """Keys with one row a side at most: the pair, and what one side has more of."""
+        zero = F.lit(0).cast("bigint")
+        n_e, n_g = (F.coalesce(F.col(f"_{s}._n"), zero) for s in "eg")
+        row_e, row_g = F.col("_e._row"), F.col("_g._row")
+        part = lambda kind, e, g, n: F.struct(
+            F.lit(kind).alias("type"), e.alias("expected"), g.alias("generated"), n.alias("copies")
+        )
+        parts = F.array(
+            part("cells", row_e, row_g, F.least(n_e, n_g)),
+            part("only_in_expected", row_e, F.when(F.lit(False), row_g), n_e - F.least(n_e, n_g)),
+            part("only_in_generated", F.when(F.lit(False), row_e), row_g, n_g - F.least(n_e, n_g)),
+        )
+        return per_key.select(F.explode(parts).alias("p")).select("p.*").filter("copies > 0")
+
+    def _paired_runs(self, runs: DataFrame) -> DataFrame:
         at = [*self.keys, "_slice"]
         # Both borders of a run are points where a pair may begin or end.
         border = F.explode(F.array("_lo", "_hi"))
@@ -228,21 +239,32 @@ class Reconciliation:
     def _keys(self) -> list[Column]:
         return [F.col(quoted(k)) for k in self.keys]
 
-    def _runs(self) -> DataFrame:
-        """Left-over rows as runs of positions within their key, cut into slices.
-
-        Distinct rows of one key and side follow each other in hash order; a
-        row with n copies takes n positions.
-        """
+    def _rest(self) -> DataFrame:
+        """Distinct rows that one side has more often, with their surplus."""
         more = F.col("_ne") - F.col("_ng")
-        rest = self.counted.filter(more != 0).select(
+        return self.counted.filter(more != 0).select(
             *self._keys(),
             F.struct(*[F.col(quoted(c)) for c in self.columns]).alias("_row"),
             F.when(more > 0, "e").otherwise("g").alias("_side"),
             F.abs(more).alias("_n"),
             F.md5(F.concat_ws("\x01", *[F.col(quoted(c)) for c in self.columns])).alias("_hash"),
         )
-        rest = rest.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+
+    def _runs(self, rest: DataFrame, several: DataFrame) -> DataFrame:
+        """Left-over rows of keys with several as runs of positions within their key, cut into slices.
+
+        Distinct rows of one key and side follow each other in hash order; a
+        row with n copies takes n positions. Buckets are ranges of the hash, more of them for keys with more rows.
+        """
+        if self.keys:
+            rest = rest.join(several, self.keys)
+        else:
+            sizes = [several.select(F.max(c)).scalar() for c in ("_me", "_mg")]
+            rest = rest.withColumns(dict(zip(("_me", "_mg"), sizes))).filter(F.col("_me").isNotNull())
+        size = F.when(F.col("_side") == "e", F.col("_me")).otherwise(F.col("_mg"))
+        hashed = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("bigint")
+        buckets = F.ceil(size / BUCKET_ROWS).cast("bigint")
+        rest = rest.withColumn("_bucket", F.shiftright(hashed * buckets, 32))
         group = [*self.keys, "_side"]
         before = (
             Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -280,18 +302,21 @@ class Reconciliation:
 
 
 def reconcile(
-    expected: DataFrame, produced: DataFrame, keys: Sequence[str] | None = None
+    expected: DataFrame,
+    produced: DataFrame,
+    keys: Sequence[str] | None = None,
+    columns: Mapping[str, str] | None = None,
 ) -> Reconciliation:
     """Compare ``produced`` with ``expected`` on the expected columns.
 
-    Produced columns are found by similar names; one that is missing compares
-    as blank. Without ``keys`` the most key-like column is taken.
+    ``columns`` maps expected to produced columns; others are found by spelling, and one that is
+    missing compares as blank. Without ``keys`` the column that tells most expected rows apart is taken.
     """
-    matched = match_columns(expected.columns, produced.columns)
+    matched = match_columns(expected.columns, produced.columns, columns)
     if not matched:
         raise ConfigError("the expected rows have no columns to compare")
     columns = list(matched)
-    chosen = [require_column(columns, k) for k in keys] if keys is not None else choose_key(matched)
+    chosen = [require_column(columns, k) for k in keys] if keys is not None else choose_key(expected, matched)
     if missing := [k for k in chosen if not matched[k]]:
         raise ConfigError(f"the produced rows lack the key columns {missing}")
     sources = {"_ne": {c: c for c in columns}, "_ng": matched}
@@ -312,3 +337,19 @@ def reconcile(
         .agg(F.sum("_ne").alias("_ne"), F.sum("_ng").alias("_ng"))
     )
     return Reconciliation(columns, chosen, counted)
+
+
+def reconcile_in_order(
+    expected: DataFrame,
+    produced: DataFrame,
+    order: Sequence[str],
+    produced_order: Sequence[str] | None = None,
+    columns: Mapping[str, str] | None = None,
+) -> Reconciliation:
+    """Compare the rows of two tables without a key, the n-th with the n-th in the given orders.
+
+    Positions are the key, so a row that is missing moves all behind it, as in a comparison of files.
+    """
+    at = "_position"
+    sides = [numbered(expected, order, at), numbered(produced, produced_order or order, at)]
+    return reconcile(*sides, [at], columns)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.errors import ConfigError
 from tallyline.functions.naming import require_column
+from tallyline.session import scratch_dir
 
 
 def _order(df: DataFrame, key: str | dict | tuple, ascending: bool) -> Column:
@@ -31,22 +32,24 @@ def sort_rows(
     df: DataFrame,
     keys: Sequence[str | dict | tuple],
     ascending: bool = True,
-    copies: bool = False,
+    copies: bool = True,
 ) -> DataFrame:
     """Global order; NULLs come first ascending, last descending.
 
     A key may carry its own direction. Rows with equal keys are ordered by a
     hash of the row: the result is reproducible, and the range partitioner can
-    cut inside a key that holds a large share of the rows. Where whole rows may
-    repeat that often, ``copies`` counts them before the shuffle, sorts chunks
-    of counted rows, and writes them out again after it.
+    cut inside a key that holds a large share of the rows. Repeated rows are counted in the map tasks,
+    sorted as chunks of counted rows and written out again, so that one row
+    that makes up much of the table spreads as well. ``copies=False`` saves that where rows are
+    known to differ; rows with maps, which cannot be counted, go without.
     """
     if not keys:
         raise ConfigError("a sort needs at least one key")
     order = [_order(df, key, ascending) for key in keys]
     columns = [F.col(f"`{c}`") for c in df.columns]
-    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if not _holds_map(f.dataType)]
-    if not copies:
+    plain = [f.name for f in df.schema.fields if not _holds_map(f.dataType)]
+    hashed = [F.col(f"`{n}`") for n in plain]
+    if not copies or len(plain) < len(columns):
         return df.orderBy(*order, F.xxhash64(*hashed))
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     last = F.floor((F.col("_n") - 1) / CHUNK).cast("bigint")
@@ -56,6 +59,23 @@ def sort_rows(
     return placed.select(*columns, F.explode(F.array_repeat(F.lit(1), size)).alias("_n")).drop("_n")
 
 
+def numbered(df: DataFrame, keys: Sequence[str | dict | tuple], name: str) -> DataFrame:
+    """Add the position of each row in an order, from 1, as column ``name``.
+
+    Rows are sorted across tasks and written once; those of a range are counted on
+    from the rows of the ranges before it. The running total is over one number a range.
+    """
+    placed = sort_rows(df, keys).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_id"))
+    path = scratch_dir(df.sparkSession, "numbered")
+    placed.write.parquet(path)
+    placed = df.sparkSession.read.schema(placed.schema).parquet(path)
+    ranges = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"), F.min("_id").alias("_low"))
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.select("_range", "_low", F.coalesce(before, F.lit(0)).alias("_before"))
+    position = F.col("_before") + F.col("_id") - F.col("_low") + 1
+    return placed.join(starts, "_range").select(*[F.col(f"`{c}`") for c in df.columns], position.alias(name))
+
+
 def _holds_map(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.MapType):
         return True
@@ -95,4 +115,4 @@ def sort_step(df: DataFrame, logic: dict) -> DataFrame:
         ascending = "desc" not in str(logic.get("order") or "asc").lower()
     keys = logic.get("order_by") or logic.get("keys") or logic.get("key") or []
     keys = [keys] if isinstance(keys, (str, dict)) else list(keys)
-    return sort_rows(df, keys, ascending, bool(logic.get("copies")))
+    return sort_rows(df, keys, ascending, bool(logic.get("copies", True)))

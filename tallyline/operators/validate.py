@@ -6,12 +6,13 @@ everywhere: only the not-null rule objects to it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline.errors import ConfigError, UnknownColumn, UnknownOperation
 from tallyline.functions.fixed import is_blank
@@ -36,12 +37,29 @@ NUMBER_TYPES = {
     "bigint": "bigint",
     "double": "double",
     "float": "float",
-    "decimal": "double",
-    "number": "double",
+    "decimal": "decimal",
+    "number": "decimal",
 }
-_TEXT_TYPES = ("string", "str", "text", "")
+# Digits with at most one point and a sign; casts alone would take NaN, 12D and 12f for numbers.
+_DECIMAL_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)$"
+_FLOAT_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _MODES = {"FLAG": "FLAG", "FLAGGED": "FLAG", "DROP": "DROP", "ABORT": "ABORT"}
 
+# What is said about a field that fails.
+SAYS = {
+    "missing": "must not be null or empty",
+    "number": "is not a valid {kind}",
+    "date": "is not a valid date (expected: {pattern})",
+    "timestamp": "is not a valid timestamp (expected: {pattern})",
+    "length": "exceeds max length {limit}",
+    "date_format": "does not match date format '{pattern}'",
+    "pattern": "does not match pattern '{pattern}'",
+    "format": "is not a valid {form} value",
+    "list": "is not in the list",
+    "range": "is not in the range {bounds}",
+    "size": "does not have a length in the range {bounds}",
+}
+
 
 @dataclass(frozen=True)
 class Check:
@@ -52,92 +70,139 @@ class Check:
     code: str
 
 
-def _text(df: DataFrame, column: str) -> Column:
-    """What a field reads as: the text it came from where that was kept."""
-    return F.col(f"`{RAW}{column}`") if RAW + column in df.columns else F.col(f"`{column}`").cast("string")
+@dataclass(frozen=True)
+class Subject:
+    """The field a rule looks at: as a column, as the text it came from, and what the rule says."""
+
+    rule: dict
+    name: str
+    column: Column
+    text: Column
+    dtype: T.DataType
 
+    @property
+    def given(self) -> Column:
+        """Blank text counts as missing, which only the not-null rule objects to."""
+        return ~is_blank(self.text)
 
-def _checks(df: DataFrame, rule: dict, column: str) -> list[Check]:
-    text = _text(df, column)
-    blank = is_blank(text)
-    field = column_name(rule["field"])
-    code = rule.get("code") or "E001"
-    kind = str(rule.get("data_type") or "string").lower()
-    form = str(rule.get("format") or "any").lower()
-    found: list[Check] = []
-
-    def fails(test: Column, message: str) -> None:
-        found.append(Check(test, f"'{field}' {message}", code))
-
-    if not rule.get("nullable", True):
-        fails(blank, "must not be null or empty")
-
-    if kind in NUMBER_TYPES:
-        fails(~blank & F.trim(text).try_cast(NUMBER_TYPES[kind]).isNull(), f"is not a valid {kind}")
-    elif kind == "date":
-        shown = rule.get("date_format") or "yyyyMMdd"
-        parsed = F.try_to_date(text, date_pattern(shown))
-        fails(~blank & parsed.isNull(), f"is not a valid date (expected: {shown})")
-    elif kind == "timestamp":
-        shown = rule.get("date_format") or "yyyyMMdd HH:mm:ss"
-        parsed = F.try_to_timestamp(text, F.lit(date_pattern(shown)))
-        fails(~blank & parsed.isNull(), f"is not a valid timestamp (expected: {shown})")
-    elif kind not in _TEXT_TYPES:
-        raise UnknownOperation(f"rule type {kind!r} of {field}")
-
-    if rule.get("max_length") not in (None, ""):
-        limit = int(rule["max_length"])
-        fails(F.coalesce(F.length(text) > limit, F.lit(False)), f"exceeds max length {limit}")
-
-    if form == "date":
-        shown = rule.get("date_format") or rule.get("pattern") or "yyyyMMdd"
-        parsed = F.try_to_date(text, date_pattern(shown))
-        fails(~blank & parsed.isNull(), f"does not match date format '{shown}'")
-    elif form == "regex":
-        if rule.get("pattern"):
-            fails(~blank & ~text.rlike(rule["pattern"]), f"does not match pattern '{rule['pattern']}'")
-    elif form in FORMAT_PATTERNS:
-        fails(~blank & ~text.rlike(FORMAT_PATTERNS[form]), f"is not a valid {form} value")
-    elif form != "any":
-        raise UnknownOperation(f"rule format {form!r} of {field}")
-
-    if rule.get("check"):
-        found += _named_check(df, rule, column, field, code)
-    return found
-
-
-def _named_check(df: DataFrame, rule: dict, column: str, field: str, code: str) -> list[Check]:
-    """The rules written as ``check`` with ``params``."""
+    def fails(self, test: Column, says: str, **words) -> Check:
+        message = f"'{self.name}' {SAYS[says].format(**words)}"
+        return Check(test, message, self.rule.get("code") or "E001")
+
+    def unless(self, passes: Column, says: str, **words) -> Check:
+        """Fails where a value is given that does not pass."""
+        return self.fails(self.given & ~F.coalesce(passes, F.lit(False)), says, **words)
+
+
+def _subject(df: DataFrame, rule: dict, column: str) -> Subject:
     col = F.col(f"`{column}`")
-    text = _text(df, column)
-    blank = is_blank(text)
-    name = str(rule["check"]).lower()
-    params = rule.get("params") or {}
-    if name == "not_null":
-        return [Check(blank, f"'{field}' must not be null or empty", code)]
-    if name == "regex":
-        pattern = params.get("pattern") or rule.get("pattern") or ""
-        return [Check(~blank & ~text.rlike(pattern), f"'{field}' does not match pattern '{pattern}'", code)]
-    if name == "in_list":
-        values = list(params.get("values") or [])
-        member = is_member(col, df.schema[column].dataType, values)
-        return [Check(~blank & ~F.coalesce(member, F.lit(False)), f"'{field}' is not in the list", code)]
+    kept = RAW + column
+    text = F.col(f"`{kept}`") if kept in df.columns else col.cast("string")
+    return Subject(rule, column_name(rule["field"]), col, text, df.schema[column].dataType)
+
+
+def _is_number(text: Column, kind: str) -> Column:
+    value = F.trim(text)
+    if kind == "decimal":
+        return value.rlike(_DECIMAL_TEXT)
+    if kind in ("double", "float"):
+        return value.rlike(_FLOAT_TEXT) & value.try_cast(kind).isNotNull()
+    return value.try_cast(kind).isNotNull()
+
+
+def _number_type(kind: str) -> Callable[[Subject], Check]:
+    return lambda s: s.unless(_is_number(s.text, NUMBER_TYPES[kind]), "number", kind=kind)
+
+
+def _date_type(s: Subject, says: str = "date", *keys: str) -> Check:
+    pattern = next((s.rule[k] for k in ("date_format", *keys) if s.rule.get(k)), "yyyyMMdd")
+    return s.unless(F.try_to_date(s.text, date_pattern(pattern)).isNotNull(), says, pattern=pattern)
+
+
+def _timestamp_type(s: Subject) -> Check:
+    pattern = s.rule.get("date_format") or "yyyyMMdd HH:mm:ss"
+    parsed = F.try_to_timestamp(s.text, F.lit(date_pattern(pattern)))
+    return s.unless(parsed.isNotNull(), "timestamp", pattern=pattern)
+
+
+def _matching(s: Subject, pattern: str) -> Check | None:
+    return s.unless(s.text.rlike(pattern), "pattern", pattern=pattern) if pattern else None
+
+
+def _named_format(form: str) -> Callable[[Subject], Check]:
+    return lambda s: s.unless(s.text.rlike(FORMAT_PATTERNS[form]), "format", form=form)
+
+
+def _in_list(s: Subject) -> Check:
+    values = list((s.rule.get("params") or {}).get("values") or [])
+    return s.unless(is_member(s.column, s.dtype, values), "list")
+
+
+def _between(s: Subject, measured: Column, says: str) -> Check:
+    params = s.rule.get("params") or {}
     low, high = params.get("min"), params.get("max")
-    if name == "in_range":
-        measured: Column = F.trim(col.cast("string")).try_cast("double")
-        what = "is not in the range"
-    elif name == "length":
-        measured = F.length(text).cast("double")
-        what = "does not have a length in the range"
-    else:
-        raise UnknownOperation(f"rule check {name!r} of {field}")
     inside = measured.isNotNull()
     if low is not None:
         inside = inside & (measured >= F.lit(float(low)))
     if high is not None:
         inside = inside & (measured <= F.lit(float(high)))
-    bounds = f"{'' if low is None else low}..{'' if high is None else high}"
-    return [Check(~blank & ~F.coalesce(inside, F.lit(False)), f"'{field}' {what} {bounds}", code)]
+    shown = f"{'' if low is None else low}..{'' if high is None else high}"
+    return s.unless(inside, says, bounds=shown)
+
+
+def _in_range(s: Subject) -> Check:
+    text = F.trim(s.column.cast("string"))
+    return _between(s, F.when(_is_number(text, "double"), text).try_cast("double"), "range")
+
+
+_Builder = Callable[[Subject], "Check | None"]
+# What each word of a rule asks for. A word that asks for nothing has None.
+_BY_TYPE: dict[str, _Builder | None] = {
+    **dict.fromkeys(("string", "str", "text", ""), None),
+    **{kind: _number_type(kind) for kind in NUMBER_TYPES},
+    "date": _date_type,
+    "timestamp": _timestamp_type,
+}
+_BY_FORMAT: dict[str, _Builder | None] = {
+    "any": None,
+    "date": lambda s: _date_type(s, "date_format", "pattern"),
+    "regex": lambda s: _matching(s, s.rule.get("pattern") or ""),
+    **{form: _named_format(form) for form in FORMAT_PATTERNS},
+}
+_BY_CHECK: dict[str, _Builder | None] = {
+    "": None,
+    "not_null": lambda s: s.fails(~s.given, "missing"),
+    "regex": lambda s: _matching(s, (s.rule.get("params") or {}).get("pattern") or s.rule.get("pattern") or ""),
+    "in_list": _in_list,
+    "in_range": _in_range,
+    "length": lambda s: _between(s, F.length(s.text).cast("double"), "size"),
+}
+
+
+def _builder(table: dict[str, _Builder | None], word: str, what: str, field: str) -> _Builder | None:
+    if word not in table:
+        raise UnknownOperation(f"rule {what} {word!r} of {field}")
+    return table[word]
+
+
+def _checks(df: DataFrame, rule: dict, column: str) -> list[Check]:
+    """The checks of one rule: presence, type, length, format, named check."""
+    s = _subject(df, rule, column)
+    word = lambda key, default: str(rule.get(key) or default).lower()
+    parts = [
+        None if rule.get("nullable", True) else _BY_CHECK["not_null"],
+        _builder(_BY_TYPE, word("data_type", "string"), "type", s.name),
+        None if rule.get("max_length") in (None, "") else _max_length,
+        _builder(_BY_FORMAT, word("format", "any"), "format", s.name),
+        _builder(_BY_CHECK, word("check", ""), "check", s.name),
+    ]
+    found = [part(s) for part in parts if part is not None]
+    return [check for check in found if check is not None]
+
+
+def _max_length(s: Subject) -> Check:
+    limit = int(s.rule["max_length"])
+    return s.fails(F.coalesce(F.length(s.text) > limit, F.lit(False)), "length", limit=limit)
 
 
 def compile_rules(df: DataFrame, rules: Sequence[dict], on_missing: str = "raise") -> list[Check]:
@@ -172,23 +237,28 @@ def passes(checks: Sequence[Check]) -> Column:
     return ~F.coalesce(bad, F.lit(False))
 
 
+def _told(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """Every row with its messages, worked out once.
+
+    They come out of a generator of one value, which the optimiser neither repeats in
+    the filters behind it nor merges with them.
+    """
+    return df.select("*", F.explode(F.array(messages(checks))).alias(ERRORS))
+
+
 def annotate(df: DataFrame, rules: Sequence[dict], on_missing: str = "raise") -> DataFrame:
     """Add the messages and the verdict to every row."""
-    told = df.select("*", messages(compile_rules(df, rules, on_missing)).alias(ERRORS))
+    told = _told(df, compile_rules(df, rules, on_missing))
     return told.select("*", (F.col(ERRORS) == "").alias(VALID))
 
 
 def split_valid(
     df: DataFrame, rules: Sequence[dict], on_missing: str = "raise"
 ) -> tuple[DataFrame, DataFrame]:
-    """Valid rows as they came, and the others with their messages.
-
-    Messages are built only for rows that failed.
-    """
+    """Valid rows as they came, and the others with their messages."""
     checks = compile_rules(df, rules, on_missing)
-    good = passes(checks)
-    bad = df.filter(~good).select("*", messages(checks).alias(ERRORS), F.lit(False).alias(VALID))
-    return df.filter(good), bad
+    bad = _told(df, checks).filter(F.col(ERRORS) != "").select("*", F.lit(False).alias(VALID))
+    return df.filter(passes(checks)), bad
 
 
 def fail_mode(word: str | None) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Observation
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyline.errors import ConfigError, GateFailed, InvalidRows
 from tallyline.functions.dates import previous_business_day
 from tallyline.functions.naming import quoted
+from tallyline.functions.plan import is_sorted
 from tallyline.operators import gates
 from tallyline.operators.validate import ERRORS, VALID, annotate, fail_mode
 from tallyline.plans.steps import Context, step_alias
@@ -17,7 +19,11 @@ from tallyline.session import scratch_dir
 from tallyline.sinks import incidents, writers
 from tallyline.sources import paths, segments
 from tallyline.sources.layout import Layout, positions_continued
-from tallyline.sources.readers import RAW
+from tallyline.sources.readers import COUNT_WORDS, RAW
+
+
+LOG = logging.getLogger(__name__)
+_AT = "_at_"
 
 
 def report(spark, context: Context, step: str, kind: str, **what) -> None:
@@ -32,9 +38,9 @@ def run_validate(
 ) -> DataFrame:
     """A validate step with all it has to do; returns what it hands on, in the given columns.
 
-    The rows of an input are read and checked once: annotated rows go to a
-    table in the shared folder, counted by the same write, and every file of
-    the step and the steps after it are made from that table.
+    The rows are read and checked once: annotated rows go to a table in the shared folder,
+    counted by the same write, and every file of the step and the steps after it are made
+    from that table. Rows that came in a sorted order are sorted by it again when they are read.
     """
     found = [context.input_node(n) for n in step.get("source_inputs") or []]
     name, node = next((f for f in found if f), ("", {}))
@@ -45,18 +51,20 @@ def run_validate(
     seen = Observation()
     counters = [F.count(F.lit(1)).alias("total"), F.count_if(~F.col(VALID)).alias("invalid")]
     annotated = annotate(df, logic.get("rules") or [], logic.get("on_missing", "raise"))
-    counted = annotated.observe(seen, *counters)
-    if name:
-        path = scratch_dir(df.sparkSession, "checked")
-        counted.write.partitionBy(VALID).parquet(path)
-        annotated = df.sparkSession.read.schema(annotated.schema).parquet(path)
-    else:
-        # Rows made by steps may be in an order the outputs must keep: no detour.
-        counted.write.format("noop").mode("overwrite").save()
+    in_order = is_sorted(df)
+    if in_order:
+        annotated = annotated.withColumn(_AT, F.monotonically_increasing_id())
+    path = scratch_dir(df.sparkSession, "checked")
+    annotated.observe(seen, *counters).write.partitionBy(VALID).parquet(path)
+    annotated = df.sparkSession.read.schema(annotated.schema).parquet(path)
+    if in_order:
+        annotated = annotated.orderBy(_AT).drop(_AT)
     counts = seen.get
 
     if logic.get("record_count_check") and logic.get("record_count_trailer_field"):
         check_record_count(df.sparkSession, counts["total"], logic, label, name, node, context)
+    elif name in context.sources:
+        warn_of_count(counts["total"], logic, label, node, context.sources[name].trailer)
     write_checked(annotated, counts["invalid"], logic, label, name, node, context)
     if mode == "FLAG":
         return annotated.select(*columns, ERRORS, VALID)
@@ -140,6 +148,19 @@ def check_record_count(spark, actual: int, logic, label, name, node, context) ->
         raise GateFailed(f"{label}: trailer announces {expected} rows, read {actual}")
 
 
+def warn_of_count(actual: int, logic, label, node, trailer: DataFrame | None) -> bool | None:
+    """Compare with the trailer field that is named like a count, if there is one; a difference is only logged."""
+    field = next((c for c in trailer.columns if any(w in c.lower() for w in COUNT_WORDS)), None) if trailer is not None else None
+    if field is None:
+        return None
+    lines = [int(node.get(key) or 0) for key in ("header_count", "trailer_count")]
+    announced = gates.trailer_count(trailer, field, logic.get("count_basis") or "inclusive", *lines)
+    expected = gates.announced_total(announced).first().expected
+    if expected != actual:
+        LOG.warning("%s: trailer field %s announces %s rows, read %s", label, field, expected, actual)
+    return expected == actual
+
+
 def write_checked(annotated: DataFrame, invalid: int, logic, label, name, node, context) -> None:
     """Rejected rows first; then, unless they end the run, valid rows and the control file."""
     where = paths.validation_paths(logic, context.run_date, context.interface, context.settings)
@@ -152,7 +173,8 @@ def write_checked(annotated: DataFrame, invalid: int, logic, label, name, node,
         rejected = annotated.filter(~F.col(VALID))
         if where["error"]:
             _write_rows(rejected, where["error"], where["error_name"], layout)
-        samples = [r[0] for r in rejected.select(ERRORS).limit(incidents.SAMPLES).collect()]
+        # The first messages in their own order, so that every run shows the same.
+        samples = [r[0] for r in rejected.select(ERRORS).orderBy(ERRORS).limit(incidents.SAMPLES).collect()]
         report(annotated.sparkSession, context, label, "validation", expected=0, actual=invalid, samples=samples)
         if logic.get("abort_on_invalid", True):
             raise InvalidRows(label, invalid, samples)

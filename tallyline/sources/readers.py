@@ -244,6 +244,10 @@ def read_count_file(
     return counts.agg(F.when(F.count("n") == F.count(F.lit(1)), F.sum("n")).alias("expected"))
 
 
+# What marks the name of a field as a count.
+COUNT_WORDS = ("count", "cnt")
+
+
 def count_field(layout: Layout) -> FieldSpec | None:
     """The first field whose name says it is a count."""
-    return next((f for f in layout if "count" in f.name.lower() or "cnt" in f.name.lower()), None)
+    return next((f for f in layout if any(w in f.name.lower() for w in COUNT_WORDS)), None)

@@ -255,3 +255,35 @@ def test_small_numbers_in_text(spark):
     assert filter_rows(rates, [{"field": "RATE", "operation": ">", "value": 0}]).count() == 2
     total = aggregate(rates.filter("RATE like '0%'"), [], [{"field": "RATE", "op": "sum", "alias": "s"}]).first().s
     assert float(total) == 0.0000009
+
+
+def test_texts_that_casts_take_for_numbers(spark):
+    from tallyline.operators.validate import ERRORS, annotate
+
+    texts = ["1.5", "-3", "+.5", "7.", "NaN", "Infinity", "12D", "12f", "1e5", "", " 4 ", "1_000"]
+    rows = spark.createDataFrame([(t,) for t in texts], "A string")
+    good = lambda kind: {r.A for r in annotate(rows, [{"field": "A", "data_type": kind}]).collect() if not r[ERRORS]}
+    assert good("decimal") == good("number") == {"1.5", "-3", "+.5", "7.", "", " 4 "}
+    assert good("double") == {"1.5", "-3", "+.5", "7.", "", " 4 ", "1e5"}
+    assert good("long") == {"-3", "", " 4 "}
+
+
+def test_full_join_evaluates_derived_sides_once(spark):
+    from tallyline.operators.joins import join_on
+
+    calls = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda v: calls.add(1) or v, "long")
+    left = spark.range(20, numPartitions=1).groupBy("id").count().select(count("id").alias("a"))
+    joined = join_on(left, spark.range(10, 30).toDF("b"), [["a", "b"]], "full")
+    assert joined.count() == 30 and calls.value == 20
+
+
+def test_sorted_copies_spread(spark):
+    from tallyline.operators.sets import merge_rows, numbered
+
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, id, -1L) as k")
+    found = [r.k for r in merge_rows([rows, rows], ["k"]).collect()]
+    assert found == sorted(found) and len(found) == 60_000
+    places = numbered(rows, ["k"], "n").collect()
+    assert sorted(r.n for r in places) == list(range(1, 30_001))
+    assert all(a.k <= b.k for a, b in zip(*[iter(sorted(places, key=lambda r: r.n))] * 2))

@@ -32,6 +32,7 @@ def _brute(expected, produced, key):
 @pytest.mark.parametrize("slice_size,seed,keys", [(1_000_000, 1, ["k"]), (7, 2, ["k"]), (3, 3, ["k", "v"]), (5, 4, [])])
 def test_against_brute_force(spark, monkeypatch, slice_size, seed, keys):
     monkeypatch.setattr(module, "SLICE", slice_size)
+    monkeypatch.setattr(module, "BUCKET_ROWS", slice_size)
     rng = random.Random(seed)
     make = lambda: (rng.choice("aaaab"), rng.choice("xyzw"), rng.choice("pq"))
     expected = [make() for _ in range(150)]
@@ -93,12 +94,45 @@ def test_normal_values(spark):
     assert got == ["1.5", "15000000", "3"]
 
 
-def test_names_and_keys():
-    matched = match_columns(["SUM-CUST-ID", "ACCT-NO (*)", "Other", "_row"], ["sum_cust_id", "Acct No", "x"])
+def test_one_rule_for_numbers_of_all_lengths(spark):
+    same = ["1e5", "1.00000000000000000000e5", "100000", "+0100000.000000000000000000000", "10000000e-2", "0.00001E+10"]
+    tiny = ["1e-7", "0.0000001", "0.00000000000000000000001e16", ".0000001000"]
+    frame = spark.createDataFrame([(v,) for v in same + tiny + ["1e99999", "-0e5", "NaN", "12D"]], "v string")
+    shown = [r[0] for r in frame.select(normal_text(F.col("v"), frame.schema["v"].dataType)).collect()]
+    assert set(shown[: len(same)]) == {"100000"} and set(shown[len(same) : len(same) + len(tiny)]) == {"0.0000001"}
+    assert shown[-4:] == ["1e99999", "0", "NaN", "12D"]
+
+
+def test_names_and_keys(spark):
+    matched = match_columns(["SUM-CUST-ID", "ACCT-NO (*)", "Other"], ["sum_cust_id", "Acct No", "x"])
     assert matched == {"SUM-CUST-ID": "sum_cust_id", "ACCT-NO (*)": "Acct No", "Other": None}
-    assert choose_key(matched) == ["SUM-CUST-ID"]
-    assert choose_key({"colour": "colour", "size": "size"}) == ["colour"]
-    assert choose_key({"colour": None, "size": "size"}) == []
+    assert match_columns(["a"], ["x", "A"], {"a": "x"}) == {"a": "x"}
+    for bad in ((["a b"], ["a_b", "A-B"], None), (["a"], ["b"], {"a": "c"})):
+        with pytest.raises(ConfigError):
+            match_columns(*bad)
+    rows = spark.range(50).selectExpr("id % 3 as colour", "id as size", "'x' as note")
+    assert choose_key(rows, {"colour": "colour", "size": "SIZE", "note": None}) == ["size"]
+    assert choose_key(rows, {"colour": None}) == []
+
+
+def test_unique_keys_are_paired_in_one_step(spark):
+    rows = [("k1", "a"), ("k1", "a"), ("k1", "a"), ("k2", "b"), ("k3", "c")]
+    made = [("k1", "z"), ("k2", "b"), ("k4", "d")]
+    found = reconcile(spark.createDataFrame(rows, "k string, v string"), spark.createDataFrame(made, "k string, v string"), ["k"])
+    got = {(r.type, r.expected and tuple(r.expected), r.generated and tuple(r.generated), r.copies) for r in found.differences().collect()}
+    assert got == {
+        ("cells", ("k1", "a"), ("k1", "z"), 1), ("only_in_expected", ("k1", "a"), None, 2),
+        ("only_in_expected", ("k3", "c"), None, 1), ("only_in_generated", None, ("k4", "d"), 1),
+    }
+
+
+def test_by_position(spark):
+    from tallyline.operators.reconcile import reconcile_in_order
+
+    rows = spark.range(40).selectExpr("id as at", "concat('v', id % 5) as v")
+    made = rows.selectExpr("at + 7 as at", "if(at = 11, 'w', v) as v")
+    cell = reconcile_in_order(rows, made, ["at"], columns={"v": "v"}).cells().filter("col = 'v'").collect()
+    assert [(r.key, r.expected, r.generated) for r in cell] == [("12", "v1", "w")]
 
 
 def test_missing_columns(spark):
