@@ -177,7 +177,7 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, penalty: float = 1e-4) -
 
 def _calibrate(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Intercept and slopes that turn held-out margins into probabilities (Platt); one column of z a view."""
-    x = np.concatenate([np.ones((len(z), 1)), z.reshape(len(z), -1)], axis=1)
+    x = np.column_stack([np.ones(len(z)), z])
     w = np.zeros(x.shape[1])
     if not len(y) or y.min() == y.max():
         # One class only, or none: its smoothed share, whatever the margin.
