@@ -193,18 +193,16 @@ def near_vectors(
     size = min(MOST_BLOCK, max(LEAST_BLOCK, count // 16))
     parts = max(1, -(-count // size))
     ranged = ordered.repartitionByRange(parts, "cell", "at", "node").sortWithinPartitions("cell", "at", "node")
-    # A range partition may be larger than wished: it is cut into intervals of at most MOST_BLOCK rows.
     ranged = cut(
         ranged.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "ordered"
     )
-    piece = F.floor((F.col("seq") - F.shiftleft(F.col("part").cast("long"), 33)) / MOST_BLOCK)
-    ranged = ranged.withColumn("piece", piece)
-    numbered = cut(_number(ranged.select("part", "piece").distinct()), "numbers")
-    ranged = ranged.join(numbered.select("part", "piece", "block"), ["part", "piece"])
+    ranged = ranged.join(_starts(ranged), "part").withColumn(
+        "block", F.floor((F.col("before") + F.col("seq") - F.col("low")) / size)
+    )
     bounds = [F.min(F.get("at", F.lit(k))).alias(f"lo{k}") for k in range(axes)]
     bounds += [F.max(F.get("at", F.lit(k))).alias(f"hi{k}") for k in range(axes)]
     blocks = cut(ranged.groupBy("block").agg(*bounds), "blocks")
-    pairs = _interval_pairs(blocks, axes, eps, numbered.count())
+    pairs = _interval_pairs(blocks, axes, eps, max(1, -(-count // size)))
     sides = ranged.select("block", "node", "vec", "at", "cell", "n")
     left = sides.join(pairs, sides["block"] == pairs["a"]).withColumn("side", F.lit(0))
     right = sides.join(pairs.filter("a <> b"), sides["block"] == F.col("b")).withColumn("side", F.lit(1))
@@ -247,9 +245,9 @@ def near_vectors(
     )
 
 
-def _number(names: DataFrame) -> DataFrame:
-    """Number the intervals from 0 in sequence order: counts by range partition, then a running total."""
-    pieces = names.groupBy("part").agg(F.max("piece").alias("last"))
-    before = F.sum(F.col("last") + 1).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = pieces.select("part", F.coalesce(before, F.lit(0)).alias("start"))
-    return names.join(starts, "part").select("part", "piece", (F.col("start") + F.col("piece")).cast("long").alias("block"))
+def _starts(ordered: DataFrame) -> DataFrame:
+    """For each range partition its first id and the rows before it, so that intervals are cut by places in
+    the whole sequence, however many partitions it was sorted in; a row a partition."""
+    counts = ordered.groupBy("part").agg(F.count("*").alias("rows"), F.min("seq").alias("low"))
+    before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return cut(counts.select("part", "low", F.coalesce(before, F.lit(0)).alias("before")), "starts")
