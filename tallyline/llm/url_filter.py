@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import row_struct
+from tallyline.llm.common import ascii_lower, row_struct
 
 ALLOW, BLOCK = "allow", "block"
 # A rule list is held by the driver; up to this many entries its index goes to every executor.
@@ -53,12 +53,8 @@ def split_url(url: Column) -> tuple[Column, Column]:
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     none = url.isNull()
-    return (
-        F.when(none, "").otherwise(F.translate(host, upper, upper.lower())),
-        F.when(none, "").otherwise(path),
-    )
+    return F.when(none, "").otherwise(ascii_lower(host)), F.when(none, "").otherwise(path)
 
 
 def _local(spark: SparkSession, rows: list[tuple], types: dict[str, pa.DataType]) -> DataFrame:
