@@ -18,7 +18,7 @@ from tallyline.llm.common import cut, small_batches
 FIT_ROWS, PSEUDO_ROWS = 12_000, 4_000
 # Text marks (words, beginnings, endings) that are features; metadata buckets.
 MARKS, BUCKETS = 1_024, 256
-ROUNDS, CONFIDENT, FOLDS = 2, 0.95, 5
+ROUNDS, CONFIDENT, FOLDS, HELD_OUT = 2, 0.95, 5, 2_000
 _STATS = 12
 _symbols = re.compile(r"[^\w\s.,;:'\"()\-?]").findall
 
@@ -193,13 +193,27 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _cut_between(scores: np.ndarray, y: np.ndarray) -> float:
+    """The score that best parts the classes, both weighing the same: the middle of the widest gap that does so."""
+    if not len(y) or y.min() == y.max():
+        return 0.5
+    order = np.argsort(scores)
+    s, good = np.r_[0.0, scores[order], 1.0], y[order]
+    # Below the k-th gap lie k rows.
+    right = np.r_[0, np.cumsum(1 - good)] / (1 - good).sum() + (1 - np.r_[0, np.cumsum(good)] / good.sum())
+    gaps = np.where(right >= right[np.diff(s) > 0].max() - 1e-12, np.diff(s), 0)
+    k = int(gaps.argmax())
+    return float((s[k] + s[k + 1]) / 2)
+
+
 @dataclass
 class Model:
-    """Weights of both views, and the calibrations of each and of both together."""
+    """Weights of both views, the calibrations of each and of both together, and where scores are cut."""
 
     weights: dict[str, np.ndarray]
     alone: dict[str, np.ndarray]
     both: np.ndarray
+    threshold: float
 
     def margins(self, view: str, rows: list) -> np.ndarray:
         return _MATRIX[view](rows) @ self.weights[view]
@@ -215,20 +229,31 @@ class Model:
 
 
 def _train(seen: dict[str, tuple[list, np.ndarray]], extra: dict[str, tuple[list, np.ndarray]]) -> Model:
-    """Fit both views on labels and the other view's pseudo-labels; calibrate on labelled rows held out fold by fold."""
+    """Fit both views on labels and the other view's pseudo-labels; calibrate on labelled rows held out fold by fold.
+
+    As many of ``FOLDS`` folds are held out, one after the other, as give ``HELD_OUT`` rows, all if none do.
+    """
     weights, margins = {}, {}
     y = seen["x"][1]
-    fold = np.arange(len(y)) % FOLDS == 0
+    fold = np.arange(len(y)) % FOLDS
+    used = min(FOLDS, -(-HELD_OUT * FOLDS // max(1, len(y))))
+    tried = fold < used
     for view in ("x", "m"):
         rows, labels = seen[view]
         more, guesses = extra[view]
         x = _MATRIX[view](rows) if rows else np.zeros((0, _MATRIX[view]([]).shape[1]), np.float32)
         added = _MATRIX[view](more) if more else x[:0]
-        held = fit(np.concatenate([x[~fold], added]), np.concatenate([labels[~fold], guesses]))
-        margins[view] = x[fold] @ held
+        out = np.zeros(len(y))
+        for k in range(used):
+            held = fit(np.concatenate([x[fold != k], added]), np.concatenate([labels[fold != k], guesses]))
+            out[fold == k] = x[fold == k] @ held
+        margins[view] = out[tried]
         weights[view] = fit(np.concatenate([x, added]), np.concatenate([labels, guesses]))
-    alone = {v: _calibrate(margins[v], y[fold]) for v in margins}
-    return Model(weights, alone, _calibrate(np.c_[margins["x"], margins["m"]], y[fold]))
+    alone = {v: _calibrate(margins[v], y[tried]) for v in margins}
+    z = np.c_[margins["x"], margins["m"]]
+    both = _calibrate(z, y[tried])
+    scores = _sigmoid(np.column_stack([np.ones(len(z)), z]) @ both)
+    return Model(weights, alone, both, _cut_between(scores, y[tried]))
 
 
 def _scored(rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
@@ -262,14 +287,14 @@ def _some(rows: DataFrame, most: int, *columns: str) -> list:
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, label: str = "y", columns: Columns = Columns(), threshold: float = 0.5
+    docs: DataFrame, labels: DataFrame, label: str = "y", columns: Columns = Columns(), threshold: float | None = None
 ) -> DataFrame:
     """``id``, ``p_text``, ``p_meta``, ``score``, ``kept`` of every row.
 
     ``labels``: id and a label, 1 for documents worth keeping and 0 for others; null labels, null ids
     and ids that no document has play no part; an id with several labels is good only if all are. Without any label every
-    score is one half, and a document is kept at ``threshold`` or more. Null texts count as
-    empty, null metadata as values of their own. Repeated rows get the same score. An empty table gives an empty result.
+    score is one half. A document is kept at ``threshold`` or more; unset, that is the score that best parts the labelled rows held
+    out of the fit (one half if they have one class). Null texts count as empty, null metadata as values of their own. Repeated rows get the same score. An empty table gives an empty result.
 
     Classifiers, and the text marks they look at, are fitted on the labelled documents with the ``FIT_ROWS`` smallest
     hashes of their ids and, in each of ``ROUNDS`` rounds, ``PSEUDO_ROWS`` rows of either class on which the other view is
@@ -316,4 +341,5 @@ def score_quality(
             given = [bytes(r.x) if view == "x" else r.m for r in good + bad]
             extra[view] = (given, np.array([1.0] * len(good) + [0.0] * len(bad), dtype=np.float32))
         model = _train(base, extra)
-    return _scored(features, model, ["id"]).withColumn("kept", F.col("score") >= threshold)
+    least = model.threshold if threshold is None else threshold
+    return _scored(features, model, ["id"]).withColumn("kept", F.col("score") >= F.lit(float(least)))
