@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyline.errors import ConfigError, UnknownOperation
 from tallyline.functions.naming import require_column
 from tallyline.functions.plan import is_plain_scan
-from tallyline.session import scratch_dir
+from tallyline.session import staged
 
 # The words for each kind of join.
 HOW_WORDS = {
@@ -83,11 +83,7 @@ def _join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], kind:
 
 def _once(df: DataFrame) -> DataFrame:
     """The frame itself if it is a plain scan, else its rows as a table."""
-    if is_plain_scan(df):
-        return df
-    path = scratch_dir(df.sparkSession, "side")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df if is_plain_scan(df) else staged(df, "side")
 
 
 def _outer(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], kind: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from tallyline.errors import ConfigError
 from tallyline.functions.naming import quoted, require_column
 from tallyline.operators.sets import numbered
+from tallyline.session import staged
 
 SLICE = 1_000_000
 BUCKET_ROWS = 100_000
@@ -155,7 +156,8 @@ class Reconciliation:
         Columns: ``type``, the structs ``expected`` and ``generated`` (NULL
         where there is none), and how many ``copies`` of the pair there are.
         """
-        rest = self._rest()
+        # What differs is looked at from several sides: it is worked out once and written.
+        rest = staged(self._rest(), "differing")
         per_key = rest.groupBy(*self._keys()).agg(
             *[F.count_if(F.col("_side") == side).alias(f"_m{side}") for side in "eg"],
             *[

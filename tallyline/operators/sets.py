@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tallyline.errors import ConfigError
 from tallyline.functions.naming import require_column
-from tallyline.session import scratch_dir
+from tallyline.session import staged
 
 
 def _order(df: DataFrame, key: str | dict | tuple, ascending: bool) -> Column:
@@ -66,9 +66,7 @@ def numbered(df: DataFrame, keys: Sequence[str | dict | tuple], name: str) -> Da
     from the rows of the ranges before it. The running total is over one number a range.
     """
     placed = sort_rows(df, keys).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_id"))
-    path = scratch_dir(df.sparkSession, "numbered")
-    placed.write.parquet(path)
-    placed = df.sparkSession.read.schema(placed.schema).parquet(path)
+    placed = staged(placed, "numbered")
     ranges = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"), F.min("_id").alias("_low"))
     before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = ranges.select("_range", "_low", F.coalesce(before, F.lit(0)).alias("_before"))

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the plans of this package rely on. AQE splits skewed join
 # partitions even where that costs one more shuffle downstream.
@@ -104,6 +104,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def staged(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a written table: evaluated once, of a size Spark knows."""
+    path = scratch_dir(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Delete the intermediate tables made inside; frames that read them end with it."""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.fixed import cut, parse_lines
-from tallyline.session import pin_split_planning, scratch_dir
+from tallyline.session import pin_split_planning, staged
 from tallyline.sources.layout import FieldSpec, Layout
 
 FILE = "_file"
@@ -97,8 +97,8 @@ def split(lines: DataFrame, header_count: int = 0, trailer_count: int = 0) -> Se
         return Segments(nothing, drop_blank(lines).select(FILE, "value"), nothing, 0, 0)
     pin_split_planning(lines.sparkSession)
     numbered = lines.withColumn("_id", F.monotonically_increasing_id())
-    edges = _staged(_edge_ids(numbered, header_count, trailer_count), "edges")
-    texts = _staged(numbered.select("_id", "value").join(edges, "_id"), "edge-lines")
+    edges = staged(_edge_ids(numbered, header_count, trailer_count), "edges")
+    texts = staged(numbered.select("_id", "value").join(edges, "_id"), "edge-lines")
     data = numbered.join(edges.select("_id").distinct(), "_id", "left_anti").select(FILE, "value")
     header, trailer = (
         texts.filter(F.col("_side") == side).select(FILE, "_rank", "value") for side in "HT"
@@ -106,12 +106,6 @@ def split(lines: DataFrame, header_count: int = 0, trailer_count: int = 0) -> Se
     return Segments(header, drop_blank(data), trailer, header_count, trailer_count)
 
 
-def _staged(frame: DataFrame, name: str) -> DataFrame:
-    path = scratch_dir(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def _first(n: Column) -> Column:
     """Rows 0 to n - 1 as ``_k``."""
     return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("_k")
