@@ -11,7 +11,7 @@ in buckets of about ``BUCKET_ROWS`` rows, and the pairing works on slices of at
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,19 +68,40 @@ def _short_number(text: Column) -> Column:
     return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _written_out(number: Column) -> Column:
     """A number of any length without exponent, leading or trailing zeros."""
     sign, whole, part, exponent = (F.regexp_extract(number, _PARTS, k) for k in (1, 2, 3, 4))
-    digits, zero = F.concat(whole, part), F.lit("0")
-    # Where the point stands among the digits, which are filled up with zeros to reach it.
-    point = F.length(whole) + F.coalesce(exponent.try_cast("int"), F.lit(0))
-    filled = F.concat(F.repeat(zero, F.greatest(F.lit(0), -point)), digits)
-    filled = F.rpad(filled, F.greatest(F.length(filled), point), "0")
-    at = F.greatest(F.lit(0), point)
-    before = F.ltrim(F.substring(filled, F.lit(1), at), zero)
-    after = F.rtrim(F.substring(filled, at + 1, F.length(filled)), zero)
-    value = F.concat(F.when(before == "", "0").otherwise(before), F.when(after == "", "").otherwise(F.concat(F.lit("."), after)))
-    return F.when((sign == "-") & (value != "0"), F.concat(F.lit("-"), value)).otherwise(value)
+    read = F.struct(sign.alias("sign"), whole.alias("whole"), part.alias("part"), exponent.alias("exponent"))
+    zero = F.lit("0")
+
+    def placed(r: Column) -> Column:
+        # Where the point stands among the digits, which are filled up with zeros to reach it.
+        point = F.length(r["whole"]) + F.coalesce(r["exponent"].try_cast("int"), F.lit(0))
+        return _with(F.struct(r["sign"].alias("sign"), F.concat(r["whole"], r["part"]).alias("digits"), point.alias("point")), filled)
+
+    def filled(r: Column) -> Column:
+        left = F.concat(F.repeat(zero, F.greatest(F.lit(0), -r["point"])), r["digits"])
+        at = F.greatest(F.lit(0), r["point"])
+        return _with(F.struct(r["sign"].alias("sign"), left.alias("left"), at.alias("at")), cut)
+
+    def cut(r: Column) -> Column:
+        digits = F.rpad(r["left"], F.greatest(F.length(r["left"]), r["at"]), "0")
+        before = F.ltrim(F.substring(digits, F.lit(1), r["at"]), zero)
+        after = F.rtrim(F.substring(digits, r["at"] + 1, F.length(digits)), zero)
+        return _with(F.struct(r["sign"].alias("sign"), before.alias("before"), after.alias("after")), shown)
+
+    def shown(r: Column) -> Column:
+        whole = F.when(r["before"] == "", "0").otherwise(r["before"])
+        value = F.when(r["after"] == "", whole).otherwise(F.concat(whole, F.lit("."), r["after"]))
+        nothing = (r["before"] == "") & (r["after"] == "")
+        return F.when((r["sign"] == "-") & ~nothing, F.concat(F.lit("-"), value)).otherwise(value)
+
+    return _with(read, placed)
 
 
 def spelling(name: str) -> str:
