@@ -1,29 +1,30 @@
 """Find training documents that hold test items, verbatim, paraphrased or edited.
 
-Word n-grams of the items that are rare in the training corpus seed candidate
-passages; a Smith-Waterman alignment of passage and item decides.
+Word n-grams of the items seed candidate passages; a Smith-Waterman alignment
+of passage and item decides, once for each distinct pair.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.common import cut, small_batches
 
-# Words of a seed; corpus occurrences up to which each seed is used; neighbouring seeds of which the rarest is always used.
-GRAM, RARE, WINDOW = 4, 64, 8
+# Words of a seed.
+GRAM = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 # Bits of the filter that items' n-grams are held against: a fixed size, 4 MB.
 FILTER_BITS = 25
-# Words and alignments that a worker remembers.
+# Words that a worker remembers.
 MEMORY = 300_000
 _words = re.compile(r"\w+").findall
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -56,29 +57,35 @@ def grams_of(words: list[str]) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def _item_grams(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """Items of at least GRAM words: ``item``, ``words``, their ``n`` and their distinct ``grams``."""
     kind = benchmark.schema[item_col].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            take, rows = [], []
             for k, text in enumerate(batch.column(1)):
                 words = words_of(text.as_py())
-                grams = grams_of(words).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array([k] * len(grams), pa.int32())),
-                        pa.array(np.arange(len(grams), dtype=np.int32)),
-                        pa.array(grams),
-                        pa.array(np.full(len(grams), len(words), dtype=np.int32)),
-                    ],
-                    ["item", "at", "gram", "words"],
-                )
+                if len(words) >= GRAM:
+                    take.append(k)
+                    rows.append((" ".join(words), len(words), np.unique(grams_of(words)).view(np.int64)))
+            columns = list(zip(*rows)) or [()] * 3
+            types = [pa.string(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(take, pa.int32())), *(pa.array(list(c), t) for c, t in zip(columns, types))],
+                ["item", "words", "n", "grams"],
+            )
 
     return benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("t")).mapInArrow(
-        of, f"item {kind}, at int, gram long, words int"
+        of, f"item {kind}, words string, n int, grams array<long>"
     )
 
 
+def _key(words: str) -> Column:
+    """128 bits that stand for the words."""
+    return F.unhex(F.md5(words))
+
+
 def _filter(grams: DataFrame) -> np.ndarray:
     """A Bloom filter of the items' n-grams, put together by Spark; at most 2^FILTER_BITS / 64 rows come back."""
     mask = (1 << FILTER_BITS) - 1
@@ -178,60 +185,54 @@ def contaminated(
     words. Repeated rows of an id give one row an item, with the best score (of equal ones the
     first place); a null id is an id of its own. Equal items each get their rows. An empty table gives an empty result.
 
-    An item's n-gram is a seed if the corpus holds it at most ``RARE`` times, or if it is the
-    rarest that occurs among ``WINDOW`` neighbours, so items found everywhere keep seeds as well. Only
-    n-grams of items, found by a filter of fixed size, leave the reading of the texts. A seed that is in many passages and many items
-    meets in a join that Spark can split.
+    Every n-gram of an item is a seed, however many passages or items hold it. Equal passages are aligned once with equal
+    items, and only if they share the words that ``least`` takes; the result is joined back to all their documents and
+    item ids. Only n-grams of items, found by a filter of fixed size, leave the reading of the texts. A seed that is in
+    many passages and many items meets in a join that Spark can split.
     """
-    grams = cut(_item_grams(benchmark, item_col, item_text_col), "item-grams")
-    margin = grams.agg(F.max("words")).first()[0] or 1
-    passages = cut(_passages(docs, grams, margin, id_col, text_col), "passages")
-    places = passages.select("passage", F.explode("grams").alias("gram"))
-    occurring = places.groupBy("gram").agg(F.count("*").alias("n"))
-    near = Window.partitionBy("item", F.floor(F.col("at") / WINDOW)).orderBy("n", "at")
-    seeds = (
-        grams.join(occurring, "gram")
-        .withColumn("place", F.row_number().over(near))
-        .filter((F.col("place") == 1) | (F.col("n") <= RARE))
-        .select("gram", "item")
-        .distinct()
+    items = cut(_items(benchmark, item_col, item_text_col).withColumn("kind", _key("words")), "items")
+    kinds = items.groupBy("kind").agg(F.first("words").alias("item_words"), F.first("grams").alias("grams"))
+    seeds = kinds.select("kind", F.explode("grams").alias("gram"))
+    margin = items.agg(F.max("n")).first()[0] or 1
+    passages = cut(
+        _passages(docs, seeds.select("gram"), margin, id_col, text_col).withColumn("text", _key("words")), "passages"
     )
-    found = places.join(seeds, "gram").select("passage", "item").distinct()
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("item_text"))
+    firsts = passages.groupBy("text").agg(F.min("passage").alias("passage")).select("passage")
+    distinct = cut(
+        passages.join(firsts, "passage", "left_semi").select("passage", "text", "words", "grams"), "distinct-passages"
+    )
+    found = distinct.select("passage", F.explode("grams").alias("gram")).join(seeds, "gram").select("passage", "kind").distinct()
     pairs = (
-        found.join(passages.select("passage", "id", "first", "words"), "passage")
-        .alias("p")
-        .join(items.alias("i"), F.col("p.item").eqNullSafe(F.col("i.item")))
-        .select("p.id", "p.item", "p.first", "p.words", "i.item_text")
+        found.join(distinct.select("passage", "text", "words"), "passage")
+        .join(kinds.select("kind", "item_words"), "kind")
+        .select("text", "kind", "words", "item_words")
     )
-    kinds = [f"{n} {pairs.schema[n].dataType.simpleString()}" for n in ("id", "item")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, str], tuple[float, int, int]] = {}
         for batch in batches:
             take, rows = [], []
-            firsts, texts, items = (batch.column(c).to_pylist() for c in ("first", "words", "item_text"))
-            for k, (first, text, item) in enumerate(zip(firsts, texts, items)):
-                if (text, item) not in known:
-                    if len(known) > 2_000:
-                        known.clear()
-                    words = words_of(item)
-                    points, at, end = align(text.split(" "), words)
-                    known[text, item] = (points / (MATCH * len(words)), at, end)
-                share, at, end = known[text, item]
+            for k, (text, item) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                passage, words = text.split(" "), item.split(" ")
+                # No alignment scores more than a match for each word that both have.
+                if (Counter(passage) & Counter(words)).total() / len(words) < least:
+                    continue
+                points, at, end = align(passage, words)
+                share = points / (MATCH * len(words))
                 if share >= least:
                     take.append(k)
-                    rows.append((share, first + at, first + end))
+                    rows.append((share, at, end))
             columns = list(zip(*rows)) or [()] * 3
             kept = pa.array(take, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(kept), batch.column(1).take(kept)]
                 + [pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.int64(), pa.int64()))],
-                ["id", "item", "score", "first_word", "end_word"],
+                ["text", "kind", "score", "at", "end"],
             )
 
-    scored = pairs.mapInArrow(score, f"{', '.join(kinds)}, score double, first_word long, end_word long")
-    best = F.max(F.struct("score", (-F.col("first_word")).alias("at"), "end_word")).alias("b")
-    return scored.groupBy("id", "item").agg(best).select(
+    scored = pairs.mapInArrow(score, "text binary, kind binary, score double, at long, end long")
+    placed = passages.select("text", "id", "first").join(cut(scored, "aligned"), "text").join(items.select("kind", "item"), "kind")
+    first, end = F.col("first") + F.col("at"), F.col("first") + F.col("end")
+    best = F.max(F.struct("score", (-first).alias("at"), end.alias("end_word"))).alias("b")
+    return placed.groupBy("id", "item").agg(best).select(
         "id", "item", F.col("b.score").alias("score"), (-F.col("b.at")).alias("first_word"), "b.end_word"
     )

@@ -171,6 +171,39 @@ def test_decontamination_cases(spark, docs, none):
     assert decontaminate.contaminated(docs, bench).count() == 0
 
 
+def test_decontamination_of_items_that_many_documents_hold(spark):
+    """Over 64 word-for-word copies, over 64 documents of one edited version, and edits of their own, against brute force."""
+    rng = np.random.default_rng(3)
+    items = {f"i{k}": [f"q{k}w{j}" for j in range(36)] for k in range(2)}
+    items["i2"] = list(items["i1"])
+    edited = list(items["i0"])
+    for at in (6, 7, 15, 24, 33):
+        edited[at] = "other"
+    texts = {}
+    for k in range(100):
+        around = [f"d{k}x{j}" for j in range(5)]
+        texts[f"a{k}"] = around + items["i0"]
+        texts[f"b{k}"] = around + edited
+        texts[f"c{k}"] = around + [f"n{j}" if rng.random() < 0.2 else w for j, w in enumerate(items["i1"])]
+        texts[f"d{k}"] = ["same", "words"] + edited
+
+    def grams(words):
+        return {tuple(words[j : j + decontaminate.GRAM]) for j in range(len(words) - decontaminate.GRAM + 1)}
+
+    scores = {
+        (d, i): align_score(words, item) / 72
+        for d, words in texts.items()
+        for i, item in items.items()
+        if grams(words) & grams(item)
+    }
+    expected = {pair: score for pair, score in scores.items() if score >= 0.5}
+    assert all(((f"{k}{n}", "i0") in expected) for k in "abd" for n in range(100))
+    frame = spark.createDataFrame([(d, " ".join(words)) for d, words in texts.items()], "doc_id string, text string")
+    bench = spark.createDataFrame([(i, " ".join(words)) for i, words in items.items()], "item_id string, text string")
+    found = {(r.id, r.item): r.score for r in decontaminate.contaminated(frame, bench).collect()}
+    assert found == pytest.approx(expected)
+
+
 def test_alignment():
     rng = np.random.default_rng(1)
     for _ in range(40):
