@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +16,8 @@ from tallyline.llm.common import cut
 FIT_ROWS, TREES, DEPTH = 20_000, 24, 7
 # Occurrences that make a run of letters a word of the dictionary.
 WORD_COUNT = 5
+# Features that weak labels of true findings are read from: a forest fitted on those labels does without them.
+CONTEXT = ("quoted", "near_credential", "assigned", "before_bucket")
 _RUN = r"[A-Za-z0-9+/_=-]{16,}"
 _CREDENTIAL = r"(?i)(token|secret|passw|pwd|key|auth|bearer|credential)"
 _SAMPLE = r"(?i)(test|example|sample|mock|fixture|demo|doc)"
@@ -122,25 +126,33 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 
 def weak_label(found: DataFrame) -> DataFrame:
-    """Label findings whose kind is plain: ``label`` 1 for a quoted value given to a credential's name, 0 for one that no
-    quote, assignment or credential word is near; others stay unlabelled (null)."""
-    quoted = F.col("word").rlike("^[\"'`]?" + _RUN + "[\"'`]")
-    named = F.col("before").rlike(_CREDENTIAL + r"\S*\s*[:=]$")
-    plain = ~F.col("word").rlike("[\"'`]") & ~F.col("before").rlike("[:=]$") & ~F.concat_ws(" ", "before", "word").rlike(_CREDENTIAL)
-    return found.withColumn("label", F.when(quoted & named, 1.0).when(plain, 0.0))
+    """Label findings whose kind is certain: ``label`` 1 for a quoted value given to a credential's name, 0 for a card
+    number with a valid checksum, a run of dictionary words without a digit and one of under four different characters.
+
+    All others, bare runs among them, and those that are both stay unlabelled (null).
+    """
+    feature = lambda name: F.get("x", F.lit(list(_features()).index(name)))
+    secret = F.col("word").rlike("^[\"'`]?" + _RUN + "[\"'`]") & F.col("before").rlike(_CREDENTIAL + r"\S*\s*[:=]$")
+    card = F.col("candidate").rlike("^[0-9]{16,19}$") & F.call_function("luhn_check", F.col("candidate"))
+    compound = (feature("cover") >= 0.9) & (feature("digits") == 0)
+    other = card | compound | (F.size(F.array_distinct(F.split("candidate", ""))) < 4)
+    return found.withColumn("label", F.when(secret & ~other, 1.0).when(other & ~secret, 0.0))
 
 
-def scan_secrets(found: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
+def scan_secrets(
+    found: DataFrame, labelled: DataFrame, threshold: float = 0.5, without: Sequence[str] = ()
+) -> DataFrame:
     """``id``, ``at``, ``nth``, ``candidate``, ``score`` of the findings that the forest takes for secrets.
 
     ``found``: from ``described``; ``labelled``: rows of the same columns and ``label`` (0, 1 or null for unknown). The
-    forest is fitted on at most ``FIT_ROWS`` of the labelled rows, those of smallest hash, and scores every finding. With no
+    forest is fitted on at most ``FIT_ROWS`` of the labelled rows, those of smallest hash, looks at all features but
+    those named in ``without`` and scores every finding. With no
     labelled rows, or one class only, every score is the smoothed share of true ones. Null texts have no findings, null
     paths count as empty. Repeated rows give repeated findings. An empty table gives an empty result.
     """
     names = list(_features())
     plain = lambda frame: frame.select("*", *[F.get("x", F.lit(k)).alias(f"f_{n}") for k, n in enumerate(names)])
-    vector = VectorAssembler(inputCols=[f"f_{n}" for n in names], outputCol="features", handleInvalid="keep")
+    vector = VectorAssembler(inputCols=[f"f_{n}" for n in names if n not in without], outputCol="features", handleInvalid="keep")
     known = labelled.filter(F.col("label").isNotNull())
     sample = cut(
         known.orderBy(F.xxhash64("candidate", "before", "after", "at"), "candidate").limit(FIT_ROWS).select("x", "label"),

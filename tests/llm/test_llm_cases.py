@@ -273,3 +273,17 @@ def test_secret_cases(spark):
     assert {r.score for r in unlabelled} == {0.5} and len(unlabelled) == found.count()
     empty = secret_scan.described(docs.limit(0))
     assert secret_scan.scan_secrets(empty, secret_scan.weak_label(empty)).count() == 0
+
+
+def test_bare_keys_are_left_to_the_forest(spark):
+    rng = np.random.default_rng(2)
+    key = lambda: "".join("0123456789abcdef"[k] for k in rng.integers(0, 16, size=40))
+    rows = [(k, f'some words token = "{key()}" more words', "src/app.py") for k in range(60)]
+    rows += [(100 + k, f"the number {4539578763621400 + k} is written here", "src/app.py") for k in range(300)]
+    bare = [(1000 + k, f"they saw {key()} somewhere near", "src/app.py") for k in range(5)]
+    found = secret_scan.described(spark.createDataFrame(rows + bare, "doc_id long, text string, source string"))
+    labelled = secret_scan.weak_label(found)
+    labels = {(r.id, r.label) for r in labelled.select("id", "label").collect()}
+    assert {(k, None) for k, _, _ in bare} <= labels and 20 <= sum(label == 0 for _, label in labels) <= 40
+    secrets = secret_scan.scan_secrets(found, labelled, without=secret_scan.CONTEXT).collect()
+    assert {r.id for r in secrets} == {*range(60), *range(1000, 1005)}
