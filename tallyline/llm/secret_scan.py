@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.common import cut
 
-# Labelled findings the forest is fitted on; its trees and their depth.
+# Different labelled findings the forest is fitted on, half of them of either class; its trees and their depth.
 FIT_ROWS, TREES, DEPTH = 20_000, 24, 7
 # Occurrences that make a run of letters a word of the dictionary.
 WORD_COUNT = 5
@@ -145,24 +145,29 @@ def scan_secrets(
     """``id``, ``at``, ``nth``, ``candidate``, ``score`` of the findings that the forest takes for secrets.
 
     ``found``: from ``described``; ``labelled``: rows of the same columns and ``label`` (0, 1 or null for unknown). The
-    forest is fitted on at most ``FIT_ROWS`` of the labelled rows, those of smallest hash, looks at all features but
-    those named in ``without`` and scores every finding. With no
+    forest looks at all features but those named in ``without`` and scores every finding. Labelled rows of equal features
+    and label count as one with a weight; it is fitted on at most ``FIT_ROWS`` / 2 such of either class, those of smallest hash,
+    whose weights add up to the rows of their class. With no
     labelled rows, or one class only, every score is the smoothed share of true ones. Null texts have no findings, null
     paths count as empty. Repeated rows give repeated findings. An empty table gives an empty result.
     """
     names = list(_features())
     plain = lambda frame: frame.select("*", *[F.get("x", F.lit(k)).alias(f"f_{n}") for k, n in enumerate(names)])
-    vector = VectorAssembler(inputCols=[f"f_{n}" for n in names if n not in without], outputCol="features", handleInvalid="keep")
-    known = labelled.filter(F.col("label").isNotNull())
-    sample = cut(
-        known.orderBy(F.xxhash64("candidate", "before", "after", "at"), "candidate").limit(FIT_ROWS).select("x", "label"),
-        "labelled",
+    vector = VectorAssembler(
+        inputCols=[f"f_{n}" for n in names if n not in without], outputCol="features", handleInvalid="keep"
     )
-    n, good = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    known = labelled.filter(F.col("label").isNotNull())
+    kinds = cut(known.groupBy("x", "label").agg(F.count("*").alias("n")), "labelled")
+    total = {r.label: r.n for r in kinds.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    n, good = sum(total.values()), total.get(1.0, 0)
     if 0 < good < n:
+        few = [kinds.filter(F.col("label") == k).orderBy(F.xxhash64("x"), "x").limit(FIT_ROWS // 2) for k in total]
+        sample = cut(few[0].unionByName(few[1]), "sample")
+        held = {r.label: r.n for r in sample.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        share = F.when(F.col("label") == 1, F.lit(total[1.0] / held[1.0])).otherwise(F.lit(total[0.0] / held[0.0]))
         forest = RandomForestClassifier(
-            labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=7, maxBins=32
-        ).fit(vector.transform(plain(sample)))
+            labelCol="label", featuresCol="features", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=7, maxBins=32
+        ).fit(vector.transform(plain(sample.withColumn("weight", F.col("n") * share))))
         scored = forest.transform(vector.transform(plain(found))).withColumn(
             "score", vector_to_array("probability")[1]
         )

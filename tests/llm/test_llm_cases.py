@@ -287,3 +287,12 @@ def test_bare_keys_are_left_to_the_forest(spark):
     assert {(k, None) for k, _, _ in bare} <= labels and 20 <= sum(label == 0 for _, label in labels) <= 40
     secrets = secret_scan.scan_secrets(found, labelled, without=secret_scan.CONTEXT).collect()
     assert {r.id for r in secrets} == {*range(60), *range(1000, 1005)}
+
+
+def test_secret_fit_is_not_filled_by_copies(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "FIT_ROWS", 20)
+    rows = [(k, 'some words token = "a1B2c3D4e5F6a7B8c9D0" more words', "src/app.py") for k in range(50)]
+    rows += [(100 + k, "the number 4539578763621486 is a card", "src/app.py") for k in range(50)]
+    found = secret_scan.described(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    labelled = found.selectExpr("*", "if(id < 100, 1D, 0D) AS label")
+    assert {r.id for r in secret_scan.scan_secrets(found, labelled).collect()} == set(range(50))
