@@ -127,7 +127,7 @@ def meet(
         chunks.select(F.col("block").alias("_block"), struct(chunks).alias("q")), F.col("chunk") == F.col("_block")
     )
     heads = heads.select("chunk", "slice", F.lit(0).alias("kind"), F.lit(0.0).alias("first"), "q", none_b.alias("b"))
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, slices * max(1, chunks.count())))
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), slices * chunks.count()))
     dealt = heads.unionByName(rows).repartition(tasks, "chunk", "slice").sortWithinPartitions("chunk", "slice", "kind", F.desc("first"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

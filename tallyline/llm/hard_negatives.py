@@ -143,57 +143,82 @@ class _Asked:
         return np.where((most >= np.maximum(self.low, self.floor)) & (least <= self.high), most, -np.inf)
 
 
-def _choose(pairs: DataFrame, chunks: DataFrame, zones: DataFrame, probe: bool) -> DataFrame:
-    """``chunk``, ``block`` and ``reach`` of the blocks that requests of a chunk must read, or only the
-    most promising block of each request."""
+def _choose(pairs: DataFrame, chunks: DataFrame, zones: DataFrame) -> DataFrame:
+    """``chunk``, ``block`` and ``reach`` (how far up scores may go for each request, minus infinity where the block cannot
+    matter) of the blocks that some request of a chunk may have to read; ``first`` marks a request's most promising ones."""
 
     def begin(chunk: dict) -> tuple:
         asked, found = _Asked(chunk), {}
-        top, which = np.full(len(asked.own), -np.inf), np.zeros(len(asked.own), np.int64)
+        top, which = np.full(len(asked.own), -np.inf), np.full(len(asked.own), -1)
 
         def take(block: dict) -> None:
             reach = asked.reach(block)
-            number = block["block"].as_py()
-            if probe:
+            if (reach > -np.inf).any():
+                number = block["block"].as_py()
+                found[number] = reach
                 better = reach > top
                 top[better], which[better] = reach[better], number
-            elif (reach > -np.inf).any():
-                found[number] = float(reach.max())
 
         def finish() -> pa.RecordBatch:
-            if probe:
-                found.update((int(n), float(top[which == n].max())) for n in np.unique(which[top > -np.inf]))
-            number = chunk["block"].as_py()
+            number, first = chunk["block"].as_py(), set(which.tolist())
             return pa.RecordBatch.from_pydict({
                 "chunk": pa.array([number] * len(found), pa.int64()), "block": pa.array(list(found), pa.int64()),
-                "reach": pa.array(list(found.values()), pa.float64()),
+                "first": pa.array([n in first for n in found], pa.bool_()), "reach": pa.array(list(found.values()), pa.list_(pa.float64())),
             })
 
         return take, finish
 
-    return cut(meet(pairs, chunks, zones, begin, "chunk long, block long, reach double"), "chosen")
+    schema = "chunk long, block long, first boolean, reach array<double>"
+    return cut(meet(pairs, chunks, zones, begin, schema), "chosen")
+
+
+def _floors(pairs: DataFrame, chunks: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
+    """Per chunk the scores that the last rows that count of its requests have in their most promising blocks: no row
+    below them can count. A task hands on a row, and a chunk has a block a request at most."""
+
+    def begin(chunk: dict) -> tuple:
+        take, best, _ = _reader(chunk, limit)
+        short = np.iinfo(np.int64).max
+
+        def finish() -> pa.RecordBatch:
+            floor = np.where(best.worst == short, -np.inf, -best.worst.astype(np.float64))
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk["block"].as_py()], pa.int64()), "floors": pa.array([floor], pa.list_(pa.float64()))})
+
+        return take, finish
+
+    found = cut(meet(pairs, chunks, blocks, begin, "chunk long, floors array<double>", order="rank"), "floors")
+    none = F.transform(F.get("lists", F.lit(0)), lambda _: F.lit(float("-inf")))
+    highest = F.aggregate("lists", none, lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+    return found.groupBy("chunk").agg(F.collect_list("floors").alias("lists")).select("chunk", highest.alias("floor"))
+
+
+def _reader(chunk: dict, limit: int) -> tuple:
+    """``take`` reads a block for a chunk's requests into ``best``."""
+    asked = _Asked(chunk)
+    best = Best(len(asked.own), limit, np.int64)
+
+    def take(block: dict) -> None:
+        reach = asked.reach(block)
+        wanted = np.nonzero((reach > -np.inf) & (-reach <= best.worst))[0]
+        if not len(wanted):
+            return
+        (ids, null), uids = ids_of(block["id"]), numbers(block["uid"])
+        scores = _products(asked.x[wanted], matrix(block))
+        least = np.maximum(np.maximum(asked.low, asked.floor), -best.worst.astype(np.float64))[wanted]
+        fits = (scores >= least[:, None]) & (scores <= asked.high[wanted][:, None]) & (asked.own[wanted][:, None] != uids)
+        i, j = np.nonzero(fits)
+        kept = first_of_each(i, limit, -scores[i, j], null[j], ids[j], uids[j])
+        i, j = i[kept], j[kept]
+        best.add(wanted[i], -scores[i, j], ids[j], null[j], uids[j])
+
+    return take, best, asked
 
 
 def _read(pairs: DataFrame, chunks: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
     """The best rows of the chosen blocks for each request, most promising blocks first."""
 
     def begin(chunk: dict) -> tuple:
-        asked = _Asked(chunk)
-        best = Best(len(asked.own), limit, np.int64)
-
-        def take(block: dict) -> None:
-            reach = asked.reach(block)
-            wanted = np.nonzero((reach > -np.inf) & (-reach <= best.worst))[0]
-            if not len(wanted):
-                return
-            (ids, null), uids = ids_of(block["id"]), numbers(block["uid"])
-            scores = _products(asked.x[wanted], matrix(block))
-            least = np.maximum(np.maximum(asked.low, asked.floor), -best.worst.astype(np.float64))[wanted]
-            fits = (scores >= least[:, None]) & (scores <= asked.high[wanted][:, None]) & (asked.own[wanted][:, None] != uids)
-            i, j = np.nonzero(fits)
-            kept = first_of_each(i, limit, -scores[i, j], null[j], ids[j], uids[j])
-            i, j = i[kept], j[kept]
-            best.add(wanted[i], -scores[i, j], ids[j], null[j], uids[j])
+        take, best, asked = _reader(chunk, limit)
 
         def finish() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({
@@ -203,7 +228,7 @@ def _read(pairs: DataFrame, chunks: DataFrame, blocks: DataFrame, limit: int) ->
 
         return take, finish
 
-    found = meet(pairs, chunks, blocks, begin, "request long, id long, uid long, score long", order="reach")
+    found = meet(pairs, chunks, blocks, begin, "request long, id long, uid long, score long", order="rank")
     order = Window.partitionBy("request").orderBy(F.desc("score"), F.col("id").asc_nulls_last(), "uid")
     ranked = cut(found, "read").withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= limit)
@@ -216,27 +241,21 @@ def _search(requests: DataFrame, blocks: DataFrame, same: bool, limit: int) -> D
     rows of its own label, or of others. The most promising block of each is read first; the score of its
     last row that counts is the floor under which blocks need not be read.
     """
-    lists = {"request": "long", "uid": "long", "least": "double", "most": "double", "floor": "double"}
+    lists = {"request": "long", "uid": "long", "least": "double", "most": "double"}
     keys = {"dim": "int", "label": "string"}
     count = -(-max(1, requests.count()) // CHUNK)
+    ranged = requests.repartitionByRange(count, "dim", "label", "request").sortWithinPartitions("dim", "label", "request")
+    unbounded = F.transform("least", lambda _: F.lit(float("-inf")))
+    chunks = packed(ranged, keys, lists, "requests", rows=CHUNK)
     zones = blocks.select("block", "dim", "label", "n", "low", "high")
-
-    def chunked(asked: DataFrame) -> DataFrame:
-        ranged = asked.repartitionByRange(count, "dim", "label", "request").sortWithinPartitions("dim", "label", "request")
-        return packed(ranged, keys, lists, "requests", rows=CHUNK)
-
-    def all_pairs(chunks: DataFrame) -> DataFrame:
-        c, z = chunks.select(F.col("block").alias("chunk"), "dim", F.col("label").alias("own")), zones.select("block", "dim", "label")
-        if same:
-            return c.join(z, (c["dim"] == z["dim"]) & (c["own"] == z["label"])).select("chunk", "block")
-        return c.join(z, "dim").filter("own <> label").select("chunk", "block")
-
-    first = chunked(requests.withColumn("floor", F.lit(float("-inf"))))
-    probed = _read(_choose(all_pairs(first), first, zones, True), first, blocks, limit)
-    floors = probed.filter(F.col("rank") == limit).select(F.col("request").alias("_request"), F.col("score").cast("double").alias("floor"))
-    known = requests.join(floors, F.col("request") == F.col("_request"), "left").drop("_request")
-    chunks = chunked(known.withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
-    return _read(_choose(all_pairs(chunks), chunks, zones, False), chunks, blocks, limit)
+    c, z = chunks.select(F.col("block").alias("chunk"), "dim", F.col("label").alias("own")), zones.select("block", "dim", "label")
+    on = (c["dim"] == z["dim"]) & ((c["own"] == z["label"]) if same else (c["own"] != z["label"]))
+    start = chunks.withColumn("floor", unbounded)
+    chosen = _choose(c.join(z, on).select("chunk", "block"), start, zones).withColumn("rank", F.array_max("reach"))
+    floors = cut(_floors(chosen.filter("first"), start, blocks, limit), "floor")
+    bounded = chunks.join(floors.withColumnRenamed("chunk", "block"), "block")
+    needed = chosen.join(floors, "chunk").filter(F.exists(F.zip_with("reach", "floor", lambda r, f: (r > float("-inf")) & (r >= f)), lambda x: x))
+    return _read(needed.select("chunk", "block", "rank"), bounded, blocks, limit)
 
 
 def mine(

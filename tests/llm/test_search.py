@@ -126,7 +126,7 @@ def test_zone_maps_skip_blocks(spark):
     asked = frame.filter("id = 3000").withColumns(ends)
     chunk = blocks.packed(asked, {"dim": "int", "label": "string"}, {"request": "long", "uid": "long", "least": "double", "most": "double", "floor": "double"}, "q")
     pairs = chunk.select(F.col("block").alias("chunk")).crossJoin(packed.select("block"))
-    chosen = hard_negatives._choose(pairs, chunk, packed.select("block", "dim", "label", "n", "low", "high"), False).count()
+    chosen = hard_negatives._choose(pairs, chunk, packed.select("block", "dim", "label", "n", "low", "high")).count()
     assert 4 <= chosen <= packed.count() // 3
 
 
