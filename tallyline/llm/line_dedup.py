@@ -18,6 +18,12 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
+def line_hashes(key: Column) -> list[Column]:
+    """Two 64-bit hashes ``h1`` and ``h2`` of the key's bytes under different seeds: a hash of several columns
+    hands each one's result on as the seed of the next, so the key has to come last."""
+    return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")]
+
+
 def _without(lines: Column, positions: Column) -> Column:
     """Join the runs of lines between dropped positions (ascending, distinct), in time linear in both."""
     before = lambda i: F.coalesce(F.get(positions, i - 1) + 1, F.lit(0))
@@ -53,7 +59,7 @@ def drop_shared_lines(
         keys,
         lambda k, i: F.when(
             F.length(k) >= min_chars,
-            F.struct(i.alias("pos"), F.xxhash64(k).alias("h1"), F.xxhash64(k, F.lit(7)).alias("h2")),
+            F.struct(i.alias("pos"), *line_hashes(k)),
         ),
     )
     lines = cut(
