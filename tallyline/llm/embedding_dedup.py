@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -163,8 +164,8 @@ def near_vectors(
     """``id``, ``n_links`` and ``component_id`` of every row.
 
     Rows link at a cosine of ``cosine`` (over 0) or more, in double precision. Vectors that are null, empty or
-    zero, hold null or non-finite components, or have another length than ``dim`` (unset: the
-    most frequent length, of equally frequent ones the longest) link with nothing. Repeated rows and equal vectors count one by
+    zero, hold null or non-finite components, or have another length than ``dim`` (unset: any) link with nothing;
+    others link with vectors of their own length, and lengths are gone through one by one. Repeated rows and equal vectors count one by
     one. A component's id is its smallest id, or null if none of its rows has one. An empty table gives an empty result.
 
     Equal vectors are one node with a weight. Unit vectors at that cosine are at most
@@ -177,11 +178,20 @@ def near_vectors(
     rows = cut(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vec")), "rows")
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     sound = rows.filter(F.col("vec").isNotNull() & finite & F.exists("vec", lambda v: v != 0))
-    if dim is None:
-        sizes = sound.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("rows"))
-        top = sizes.orderBy(F.desc("rows"), F.desc("n")).first()
-        dim = top.n if top else 1
-    sound = sound.filter(F.size("vec") == dim)
+    lengths = [dim] if dim else [r.n for r in sound.select(F.size("vec").alias("n")).distinct().orderBy("n").collect()]
+    found = [_classes(sound.filter(F.size("vec") == n), n, eps, cosine, axes) for n in lengths]
+    if not found:
+        found = [rows.limit(0).select("vec", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("found"))]
+    classes = functools.reduce(DataFrame.unionByName, found)
+    return rows.join(classes, "vec", "left").select(
+        "id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+    )
+
+
+def _classes(sound: DataFrame, dim: int, eps: float, cosine: float, axes: int) -> DataFrame:
+    """``n_links`` and ``component_id`` of the distinct vectors of one length."""
     reps = cut(
         sound.groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn(
             "node", F.monotonically_increasing_id()
@@ -237,12 +247,7 @@ def near_vectors(
     )
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     # Of written tables, so that the last join shuffles both sides by itself and Spark can split a hot vector.
-    classes = cut(rooted.join(named, "root").select("vec", "n_links", "component_id", F.lit(True).alias("found")), "classes")
-    return rows.join(classes, "vec", "left").select(
-        "id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-    )
+    return cut(rooted.join(named, "root").select("vec", "n_links", "component_id", F.lit(True).alias("found")), "classes")
 
 
 def _starts(ordered: DataFrame) -> DataFrame:
