@@ -21,6 +21,10 @@ from tallyline.llm.common import cut, small_batches
 
 # Words of a seed.
 GRAM = 4
+# An n-gram that more items hold is no seed, unless the item has none that is rarer.
+RARE = 8
+# Items whose lengths have as many digits to this base share a margin.
+LENGTHS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 # Bits of the filter that items' n-grams are held against: a fixed size, 4 MB.
 FILTER_BITS = 25
@@ -102,46 +106,60 @@ def _filter(grams: DataFrame) -> np.ndarray:
     return found.view(np.uint64)
 
 
-def _passages(docs: DataFrame, grams: DataFrame, margin: int, id_col: str, text_col: str) -> DataFrame:
-    """Passages around n-grams of the items: words and where the n-grams stand; one reading of all texts.
+def _seeds(kinds: DataFrame) -> DataFrame:
+    """``kind``, ``gram`` and ``size`` (the item's length class): n-grams that few items hold.
 
-    N-grams within ``margin`` words of each other share a passage, which reaches ``margin`` words further on both sides.
+    An item without such n-grams keeps those of its own that the fewest items hold, so every item has seeds.
+    """
+    grams = kinds.select("kind", F.ceil(F.log(float(LENGTHS), F.col("n").cast("double"))).cast("int").alias("size"), F.explode("grams").alias("gram"))
+    holders = cut(grams.groupBy("gram").agg(F.count("*").alias("held")), "holders")
+    counted = grams.join(holders, "gram")
+    rarest = cut(counted.groupBy("kind").agg(F.min("held").alias("fewest")), "rarest")
+    return cut(counted.join(rarest, "kind").filter(F.col("held") <= F.greatest(F.lit(RARE), "fewest")).select("kind", "gram", "size"), "seeds")
+
+
+def _passages(docs: DataFrame, grams: DataFrame, margins: dict[int, int], id_col: str, text_col: str) -> DataFrame:
+    """Passages around seeds, for each class of items' lengths: words and which seeds; one reading of all texts.
+
+    Seeds within the class's margin of each other share a passage, which reaches that many words further on both sides.
     """
     small_batches(docs.sparkSession)
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(grams))
+    filters = {size: _filter(grams.filter(F.col("size") == size)) for size in margins}
+    bits = docs.sparkSession.sparkContext.broadcast(filters)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        held = bits.value
         mask = np.uint64((1 << FILTER_BITS) - 1)
         for batch in batches:
             take, rows = [], []
             for k, text in enumerate(batch.column(1)):
                 words = words_of(text.as_py())
                 own = grams_of(words)
-                hit = np.ones(len(own), dtype=bool)
-                for p in _PROBES:
-                    bit = (own >> np.uint64(p)) & mask
-                    hit &= (held[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
-                at = np.nonzero(hit)[0]
-                if not len(at):
-                    continue
-                for group in np.split(at, np.nonzero(np.diff(at) > margin)[0] + 1):
-                    first = max(0, int(group[0]) - margin)
-                    last = min(len(words), int(group[-1]) + GRAM + margin)
-                    number += 1
-                    take.append(k)
-                    rows.append((number, first, " ".join(words[first:last]), np.unique(own[group]).view(np.int64)))
-            columns = list(zip(*rows)) or [()] * 4
-            types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+                probes = [(own >> np.uint64(p)) & mask for p in _PROBES]
+                for size, held in bits.value.items():
+                    hit = np.ones(len(own), dtype=bool)
+                    for bit in probes:
+                        hit &= (held[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+                    at = np.nonzero(hit)[0]
+                    if not len(at):
+                        continue
+                    margin = margins[size]
+                    for group in np.split(at, np.nonzero(np.diff(at) > margin)[0] + 1):
+                        first = max(0, int(group[0]) - margin)
+                        last = min(len(words), int(group[-1]) + GRAM + margin)
+                        number += 1
+                        take.append(k)
+                        rows.append((number, first, " ".join(words[first:last]), np.unique(own[group]).view(np.int64), size))
+            columns = list(zip(*rows)) or [()] * 5
+            types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int32()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(take, pa.int32())), *(pa.array(list(c), t) for c, t in zip(columns, types))],
-                ["id", "passage", "first", "words", "grams"],
+                ["id", "passage", "first", "words", "grams", "size"],
             )
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(
-        of, f"id {kind}, passage long, first long, words string, grams array<long>"
+        of, f"id {kind}, passage long, first long, words string, grams array<long>, size int"
     )
 
 
@@ -185,23 +203,25 @@ def contaminated(
     words. Repeated rows of an id give one row an item, with the best score (of equal ones the
     first place); a null id is an id of its own. Equal items each get their rows. An empty table gives an empty result.
 
-    Every n-gram of an item is a seed, however many passages or items hold it. Equal passages are aligned once with equal
+    Seeds are the n-grams that at most ``RARE`` items hold (an item that has none takes its rarest), however often the
+    documents hold them. Passages reach as far as the longest item of the seed's length class asks for. Equal passages are aligned once with equal
     items, and only if they share the words that ``least`` takes; the result is joined back to all their documents and
     item ids. Only n-grams of items, found by a filter of fixed size, leave the reading of the texts. A seed that is in
     many passages and many items meets in a join that Spark can split.
     """
     items = cut(_items(benchmark, item_col, item_text_col).withColumn("kind", _key("words")), "items")
-    kinds = items.groupBy("kind").agg(F.first("words").alias("item_words"), F.first("grams").alias("grams"))
-    seeds = kinds.select("kind", F.explode("grams").alias("gram"))
-    margin = items.agg(F.max("n")).first()[0] or 1
-    passages = cut(
-        _passages(docs, seeds.select("gram"), margin, id_col, text_col).withColumn("text", _key("words")), "passages"
-    )
-    firsts = passages.groupBy("text").agg(F.min("passage").alias("passage")).select("passage")
+    kinds = items.groupBy("kind").agg(F.first("words").alias("item_words"), F.first("grams").alias("grams"), F.first("n").alias("n"))
+    seeds = _seeds(kinds)
+    # A number for each class of lengths that occurs; there are as many as an item's length has digits.
+    longest = kinds.join(seeds.select("kind", "size").distinct(), "kind").groupBy("size").agg(F.max("n").alias("n"))
+    margins = {r["size"]: r.n for r in longest.collect()}
+    passages = cut(_passages(docs, seeds, margins, id_col, text_col).withColumn("text", _key("words")), "passages")
+    firsts = passages.groupBy("text", "size").agg(F.min("passage").alias("passage")).select("passage")
     distinct = cut(
-        passages.join(firsts, "passage", "left_semi").select("passage", "text", "words", "grams"), "distinct-passages"
+        passages.join(firsts, "passage", "left_semi").select("passage", "text", "words", "grams", "size"), "distinct-passages"
     )
-    found = distinct.select("passage", F.explode("grams").alias("gram")).join(seeds, "gram").select("passage", "kind").distinct()
+    exploded = distinct.select("passage", "size", F.explode("grams").alias("gram"))
+    found = exploded.join(seeds, ["gram", "size"]).select("passage", "kind").distinct()
     pairs = (
         found.join(distinct.select("passage", "text", "words"), "passage")
         .join(kinds.select("kind", "item_words"), "kind")
