@@ -139,6 +139,11 @@ def _text_matrix(x: list[bytes]) -> np.ndarray:
     return np.concatenate([bits, shares * 4], axis=1)
 
 
+def _range_of(matrix: np.ndarray) -> np.ndarray:
+    """Least and largest value of each column in the labelled rows; shares far outside would be mere extrapolation."""
+    return np.array([matrix.min(axis=0), matrix.max(axis=0)]) if len(matrix) else np.array([[-np.inf], [np.inf]], np.float32)
+
+
 def _meta_matrix(m: list[list[int]]) -> np.ndarray:
     out = np.zeros((len(m), BUCKETS + 1), dtype=np.float32)
     for row, buckets in enumerate(m):
@@ -208,15 +213,23 @@ def _cut_between(scores: np.ndarray, y: np.ndarray) -> float:
 
 @dataclass
 class Model:
-    """Weights of both views, the calibrations of each and of both together, and where scores are cut."""
+    """Weights of both views, the calibrations of each and of both together, and where scores are cut.
+
+    Shares of a text are held to the ``shares`` that labelled texts have, so that no text is judged by being
+    longer than any of them.
+    """
 
     weights: dict[str, np.ndarray]
+    shares: np.ndarray
     alone: dict[str, np.ndarray]
     both: np.ndarray
     threshold: float
 
     def margins(self, view: str, rows: list) -> np.ndarray:
-        return _MATRIX[view](rows) @ self.weights[view]
+        x = _MATRIX[view](rows)
+        if view == "x":
+            x[:, -_STATS:] = np.clip(x[:, -_STATS:], *self.shares)
+        return x @ self.weights[view]
 
     def view(self, view: str, rows: list) -> np.ndarray:
         """Calibrated probability of one view."""
@@ -235,6 +248,7 @@ def _train(seen: dict[str, tuple[list, np.ndarray]], extra: dict[str, tuple[list
     """
     weights, margins = {}, {}
     y = seen["x"][1]
+    shares = np.array([[-np.inf], [np.inf]], np.float32)
     fold = np.arange(len(y)) % FOLDS
     used = min(FOLDS, -(-HELD_OUT * FOLDS // max(1, len(y))))
     tried = fold < used
@@ -243,6 +257,9 @@ def _train(seen: dict[str, tuple[list, np.ndarray]], extra: dict[str, tuple[list
         more, guesses = extra[view]
         x = _MATRIX[view](rows) if rows else np.zeros((0, _MATRIX[view]([]).shape[1]), np.float32)
         added = _MATRIX[view](more) if more else x[:0]
+        if view == "x":
+            shares = _range_of(x[:, -_STATS:])
+            added[:, -_STATS:] = np.clip(added[:, -_STATS:], *shares)
         out = np.zeros(len(y))
         for k in range(used):
             held = fit(np.concatenate([x[fold != k], added]), np.concatenate([labels[fold != k], guesses]))
@@ -253,7 +270,7 @@ def _train(seen: dict[str, tuple[list, np.ndarray]], extra: dict[str, tuple[list
     z = np.c_[margins["x"], margins["m"]]
     both = _calibrate(z, y[tried])
     scores = _sigmoid(np.column_stack([np.ones(len(z)), z]) @ both)
-    return Model(weights, alone, both, _cut_between(scores, y[tried]))
+    return Model(weights, shares, alone, both, _cut_between(scores, y[tried]))
 
 
 def _scored(rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
@@ -276,10 +293,12 @@ def _scored(rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
 
 
 def _some(rows: DataFrame, most: int, *columns: str) -> list:
-    """A bounded sample: rows with the smallest hashes of their features.
+    """A bounded sample: rows with the smallest hashes of their features, copies once.
 
     A first cut by the hash leaves few more than that, however many rows and partitions there are.
     """
+    # Copies meet as partial counts, so a group of them is a row a task.
+    rows = cut(rows.groupBy("x", "m", *columns).agg(F.count("*").alias("copies")), "distinct")
     n, span = rows.count(), 1 << 30
     at = F.pmod(F.xxhash64("x", "m"), F.lit(span))
     few = rows if n <= most else rows.filter(at < int(span * min(1.0, (1.2 * most + 100) / n)))
@@ -287,9 +306,10 @@ def _some(rows: DataFrame, most: int, *columns: str) -> list:
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, label: str = "y", columns: Columns = Columns(), threshold: float | None = None
-) -> DataFrame:
-    """``id``, ``p_text``, ``p_meta``, ``score``, ``kept`` of every row.
+    docs: DataFrame, labels: DataFrame, label: str = "y", columns: Columns = Columns(), threshold: float | None = None,
+    also: tuple[str, ...] = (),
+) -> DataFrame:
+    """``id``, ``p_text``, ``p_meta``, ``score``, ``kept`` of every row, and the columns ``also``.
 
     ``labels``: id and a label, 1 for documents worth keeping and 0 for others; null labels, null ids
     and ids that no document has play no part; an id with several labels is good only if all are. Without any label every
@@ -306,7 +326,7 @@ def score_quality(
     small_batches(spark)
     size = F.floor(F.log2(F.col(columns.size).cast("double") + 1) * 2).cast("string")
     buckets = [F.pmod(F.hash(F.lit(k), F.coalesce(c.cast("string"), F.lit("\0"))), F.lit(BUCKETS)) for k, c in enumerate([*map(F.col, columns.meta), size])]
-    rows = docs.select(F.col(columns.id).alias("id"), F.array(*buckets).alias("m"), F.col(columns.text).alias("t"))
+    rows = docs.select(F.col(columns.id).alias("id"), F.array(*buckets).alias("m"), F.col(columns.text).alias("t"), *also)
     known = (
         labels.select(F.col(columns.id).alias("id"), F.col(label).cast("int").alias("y"))
         .filter("id IS NOT NULL AND y IS NOT NULL")
@@ -342,4 +362,4 @@ def score_quality(
             extra[view] = (given, np.array([1.0] * len(good) + [0.0] * len(bad), dtype=np.float32))
         model = _train(base, extra)
     least = model.threshold if threshold is None else threshold
-    return _scored(features, model, ["id"]).withColumn("kept", F.col("score") >= F.lit(float(least)))
+    return _scored(features, model, ["id", *also]).withColumn("kept", F.col("score") >= F.lit(float(least)))
