@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+import xxhash
 from brute import align_score, least_reachable, simhash
 
 from tallyline.llm import (
@@ -49,6 +50,16 @@ def test_line_dedup_cases(spark, docs, none):
     assert {c for r in line_dedup.drop_shared_lines(docs).collect() for c in r.row.asDict()} == set(docs.columns)
 
 
+def test_line_hashes_are_of_the_key_under_two_seeds(spark):
+    keys = ["a line", "another line", "É", ""]
+    frame = spark.createDataFrame([(k,) for k in keys], "k string")
+    found = frame.select("k", *line_dedup.line_hashes(frame["k"])).collect()
+    second = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), seed=42)
+    for r in found:
+        data = r.k.encode()
+        assert (r.h1 % 2**64, r.h2 % 2**64) == (xxhash.xxh64_intdigest(data, seed=42), xxhash.xxh64_intdigest(data, seed=second))
+
+
 def test_url_cases(spark):
     urls = [
         "HTTP://WWW.Example.COM/en/x?q", "https://example.com/en/", "http://a.b.net/fr/1#x", "http://net/es/", "x.com/en/",
@@ -204,6 +215,35 @@ def test_decontamination_of_items_that_many_documents_hold(spark):
     assert found == pytest.approx(expected)
 
 
+def test_decontamination_recall_and_a_common_phrase(spark):
+    """Edited copies of prose items against the full alignment of every pair, a phrase that all items hold, and one very long item."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(400)]
+    phrase = "what is the right answer to this question".split()
+    items = {k: phrase + [str(w) for w in rng.choice(vocabulary, int(rng.integers(15, 60)))] for k in range(30)}
+    items[99] = phrase + [str(w) for w in rng.choice(vocabulary, 3_000)]
+    items[50] = list(phrase)
+    texts = {}
+    for k in range(200):
+        words = list(items[k % 30])
+        share = rng.uniform(0, 0.3)
+        edited = [w if rng.random() > share else rng.choice(vocabulary) if rng.random() < 0.5 else None for w in words]
+        texts[k] = [str(w) for w in rng.choice(vocabulary, 20)] + [w for w in edited if w] + [str(w) for w in rng.choice(vocabulary, 20)]
+    texts[300] = items[99][500:2_500]
+    texts[301] = ["some"] + phrase + ["more"]
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = {(r.id, r.item): r.score for r in decontaminate.contaminated(frame, bench).collect()}
+    want = {}
+    for d, words in texts.items():
+        for i, item in items.items():
+            points, _, _ = decontaminate.align(words, item)
+            if points >= len(item):
+                want[d, i] = points / (2 * len(item))
+    assert found.keys() <= want.keys() and len(found) >= 0.9 * len(want) and len(want) > 150
+    assert all(found[pair] == pytest.approx(want[pair]) for pair in found) and {(300, 99), (301, 50)} <= found.keys()
+
+
 def test_alignment():
     rng = np.random.default_rng(1)
     for _ in range(40):
@@ -296,3 +336,31 @@ def test_secret_fit_is_not_filled_by_copies(spark, monkeypatch):
     found = secret_scan.described(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     labelled = found.selectExpr("*", "if(id < 100, 1D, 0D) AS label")
     assert {r.id for r in secret_scan.scan_secrets(found, labelled).collect()} == set(range(50))
+
+
+def test_vectors_of_every_length_are_compared(spark):
+    rows = [(k, [1.0, k / 100, 0.0]) for k in range(3)] + [(10, [1.0, 2.0]), (11, [2.0, 4.0]), (12, [2.0, -1.0]), (20, [1.0]), (21, [5.0]), (22, [-1.0])]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, vec string, n_links int")
+    found = {r.id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(frame).collect()}
+    want = {0: (2, 0), 1: (2, 0), 2: (2, 0), 10: (1, 10), 11: (1, 10), 12: (0, 12), 20: (1, 20), 21: (1, 20), 22: (0, 22)}
+    assert found == want
+
+
+def test_pipeline_decides_by_rows(spark, tmp_path):
+    """Repeated ids with different texts, and repeated rows: each stage keeps what it would keep under ids of their own."""
+    import corpus_pipeline as pipeline
+
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(1, words(1)), (1, words(2)), (2, words(2)), (3, words(1)), (3, words(3)), (3, words(3)), (None, words(4)), (4, words(4)), (None, words(5))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t), 7) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, id int")
+    kept = sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in pipeline.one_of_each_group(spark, docs, "").collect())
+    assert sorted(t for _, t in kept) == sorted(words(k) for k in range(1, 6)) and (1, words(1)) in kept and (3, words(3)) in kept
+    bench = tmp_path / "benchmark.parquet"
+    spark.createDataFrame([(1, words(2))], "item_id long, text string").write.parquet(str(bench))
+    clean = pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.text for r in clean) == sorted(t for _, t in rows if t != words(2)) and clean[0].__fields__ == docs.columns
+    good, bad = "calm words make a plain text about rivers", "BUY!! $$$ NOW!! %%% CHEAP!! ### DEALS!!"
+    docs = spark.createDataFrame([(k, (good if k % 2 else bad) + f" n{k % 7}", "en", "s", 40) for k in range(200)] + [(300, good, "en", "s", 40), (300, bad, "en", "s", 40)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = pipeline.keep_good(spark, docs, str(tmp_path)).collect()
+    assert [r.text for r in found if r.doc_id == 300] == [good] and len(found) == 101
