@@ -8,6 +8,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyline.errors import ConfigError
+
 # Runtime settings the plans of this package rely on. AQE splits skewed join
 # partitions even where that costs one more shuffle downstream.
 PLAN_SETTINGS = {
@@ -79,10 +81,14 @@ _scopes: list[list[str]] = []
 def _scratch_root(spark: SparkSession) -> str:
     """One folder per application below ``spark.checkpoint.dir``, else below the warehouse.
 
-    Both are shared by all executors. The file system deletes the folder when the application ends.
+    Executors on other machines have to reach it, so a warehouse in a local folder, as it is where
+    nothing is set, only serves a session that runs on one machine. The file system deletes the folder when the application ends.
     """
     parent = spark.conf.get("spark.checkpoint.dir", None)
-    parent = parent or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if not parent:
+        parent = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        if not spark.sparkContext._jsc.sc().isLocal() and _file_system(spark, parent)[0].getScheme() == "file":
+            raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{parent.rstrip('/')}/tallyline-{spark.sparkContext.applicationId}"
 
 
