@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from tallyline.errors import ConfigError
 from tallyline.functions.naming import quoted, require_column
+from tallyline.operators import pairing
 from tallyline.operators.sets import numbered
 from tallyline.session import staged
 
@@ -145,6 +146,17 @@ def choose_key(expected: DataFrame, matched: Mapping[str, str | None]) -> list[s
     return [usable[max(range(len(usable)), key=lambda k: (row[k], -k))]]
 
 
+def normal_rows(frame: DataFrame, sources: Mapping[str, str | None], *more: str) -> DataFrame:
+    """Text to compare by, under the names of ``sources``; blank where a column has no source. ``more`` columns stay as they are."""
+    types = {f.name: f.dataType for f in frame.schema.fields}
+    named = {c: s for c, s in sources.items() if s is not None}
+    texts = frame.select(
+        *[F.col(quoted(m)) for m in more], *[text_of(F.col(quoted(s)), types[s]).alias(c) for c, s in named.items()]
+    )
+    values = [(normal_text(F.col(quoted(c)), types[named[c]]) if c in named else F.lit("")).alias(c) for c in sources]
+    return texts.select(*[F.col(quoted(m)) for m in more], *values)
+
+
 @dataclass
 class Reconciliation:
     """The comparison of two tables; each method is a lazy frame."""
@@ -171,11 +183,12 @@ class Reconciliation:
         clean = (F.col("differing") + F.col("only_in_expected") + F.col("only_in_generated")) == 0
         return totals.withColumn("verdict", F.when(clean, "PASS").otherwise("FAIL"))
 
-    def differences(self) -> DataFrame:
+    def differences(self, closest: bool = False) -> DataFrame:
         """Pairs that differ and rows without a partner.
 
         Columns: ``type``, the structs ``expected`` and ``generated`` (NULL
-        where there is none), and how many ``copies`` of the pair there are.
+        where there is none), and how many ``copies`` of the pair there are. ``closest`` pairs rows of
+        a key with the fewest differing cells instead of in hash order (see ``operators.pairing``).
         """
         # What differs is looked at from several sides: it is worked out once and written.
         rest = staged(self._rest(), "differing")
@@ -189,8 +202,46 @@ class Reconciliation:
         single = (F.col("_me") <= 1) & (F.col("_mg") <= 1)
         pairs = self._single_pairs(per_key.filter(single))
         several = per_key.filter(~single).select(*self._keys(), "_me", "_mg")
+        if closest:
+            return pairs.unionByName(self._closest(rest, several))
         return pairs.unionByName(self._paired_runs(self._runs(rest, several)))
 
+    def _closest(self, rest: DataFrame, several: DataFrame) -> DataFrame:
+        """Left-over rows of keys with several, paired by their cells."""
+        if not self.keys:
+            raise ConfigError("the closest rows are looked for within keys")
+        rest = staged(rest.join(several.select(*self._keys()), self.keys), "several")
+        totals = rest.groupBy(*self._keys()).agg(*[F.sum(F.when(F.col("_side") == s, F.col("_n")).otherwise(0)).alias(f"_c{s}") for s in "eg"])
+        few = (F.col("_ce") <= pairing.EXACT_ROWS) & (F.col("_cg") <= pairing.EXACT_ROWS)
+        totals = staged(totals.select(*self._keys(), few.alias("_few")), "key-sizes")
+        sized = rest.join(totals, self.keys)
+        found = pairing.least_cells(sized.filter("_few"), self.keys, self.columns)
+        rest = staged(sized.filter("not _few").drop("_few"), "large-keys")
+        if rest.isEmpty():
+            return found
+        for column in [c for c in self.columns if c not in self.keys]:
+            blocks = Reconciliation(self.columns, [*self.keys, "_less"], self.counted)
+            marked = staged(rest.withColumn("_less", pairing.less_one(column, self.columns)), "blocks")
+            sizes = marked.groupBy(*blocks._keys()).agg(*[F.count_if(F.col("_side") == s).alias(f"_m{s}") for s in "eg"])
+            both = staged(sizes.filter("_me > 0 AND _mg > 0"), "blocks")
+            # Rows of a block differ in this column only, so any of its pairs costs one cell.
+            paired = staged(blocks._paired_runs(blocks._runs(marked, both)), "paired")
+            found = found.unionByName(paired.filter("type = 'cells'"))
+            alone = marked.join(both.select(*blocks._keys()), blocks.keys, "left_anti").drop("_less")
+            rest = staged(alone.unionByName(self._again(paired.filter("type <> 'cells'"))), "large-keys")
+        several = rest.groupBy(*self._keys()).agg(*[F.count_if(F.col("_side") == s).alias(f"_m{s}") for s in "eg"])
+        return found.unionByName(self._paired_runs(self._runs(rest, several)))
+
+    def _again(self, alone: DataFrame) -> DataFrame:
+        """Rows of one side as they are before pairing."""
+        row = F.coalesce("expected", "generated")
+        rows = alone.select(row.alias("_row"), F.when(F.col("expected").isNotNull(), "e").otherwise("g").alias("_side"), F.col("copies").alias("_n"))
+        rows = rows.groupBy("_row", "_side").agg(F.sum("_n").alias("_n"))
+        values = [F.col(f"_row.{quoted(c)}") for c in self.columns]
+        return rows.select(
+            *[F.col(f"_row.{quoted(k)}").alias(k) for k in self.keys], "_row", "_side", "_n", F.md5(F.concat_ws("\x01", *values)).alias("_hash")
+        )
+
     def _single_pairs(self, per_key: DataFrame) -> DataFrame:
         """Keys with one row a side at most: the pair, and what one side has more of."""
         zero = F.lit(0).cast("bigint")
@@ -238,9 +289,9 @@ class Reconciliation:
         )
         return shown.select(kind.alias("type"), "expected", "generated", "copies")
 
-    def cells(self) -> DataFrame:
+    def cells(self, closest: bool = False) -> DataFrame:
         """One row per differing cell: key, column, both values, copies."""
-        pairs = self.differences().filter(F.col("type") == "cells")
+        pairs = self.differences(closest).filter(F.col("type") == "cells")
         cell = F.explode(
             F.array(
                 *[
@@ -345,14 +396,8 @@ def reconcile(
     sources = {"_ne": {c: c for c in columns}, "_ng": matched}
     sides = []
     for side, frame in (("_ne", expected), ("_ng", produced)):
-        types = {f.name: f.dataType for f in frame.schema.fields}
-        named = {c: s for c, s in sources[side].items() if s is not None}
-        texts = frame.select(*[text_of(F.col(quoted(s)), types[s]).alias(c) for c, s in named.items()])
         counts = [F.lit(int(side == n)).cast("bigint").alias(n) for n in ("_ne", "_ng")]
-        values = [
-            normal_text(F.col(quoted(c)), types[named[c]]) if c in named else F.lit("") for c in columns
-        ]
-        sides.append(texts.select(*[v.alias(c) for v, c in zip(values, columns)], *counts))
+        sides.append(normal_rows(frame, sources[side]).select(*[F.col(quoted(c)) for c in columns], *counts))
     counted = (
         sides[0]
         .union(sides[1])

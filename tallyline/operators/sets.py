@@ -59,13 +59,13 @@ def sort_rows(
     return placed.select(*columns, F.explode(F.array_repeat(F.lit(1), size)).alias("_n")).drop("_n")
 
 
-def numbered(df: DataFrame, keys: Sequence[str | dict | tuple], name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str | dict | tuple], name: str, copies: bool = True) -> DataFrame:
     """Add the position of each row in an order, from 1, as column ``name``.
 
-    Rows are sorted across tasks and written once; those of a range are counted on
+    Rows (without ``copies``, if they are known to differ) are sorted across tasks and written once; those of a range are counted on
     from the rows of the ranges before it. The running total is over one number a range.
     """
-    placed = sort_rows(df, keys).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_id"))
+    placed = sort_rows(df, keys, copies=copies).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_id"))
     placed = staged(placed, "numbered")
     ranges = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"), F.min("_id").alias("_low"))
     before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))

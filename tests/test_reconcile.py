@@ -142,3 +142,99 @@ def test_missing_columns(spark):
     assert (cell.col, cell.expected, cell.generated) == ("note", "a", "")
     with pytest.raises(ConfigError):
         reconcile(expected, produced, ["note"])
+
+
+def _least_total(expected, produced):
+    """Fewest differing cells over all pairings of as many rows as the shorter side has."""
+    from itertools import permutations
+
+    short, long = sorted((expected, produced), key=len)
+    return min(sum(x != y for r, k in zip(short, p) for x, y in zip(r, long[k])) for p in permutations(range(len(long)), len(short)))
+
+
+@pytest.mark.parametrize("exact", [48, 0])
+def test_closest_pairs(spark, monkeypatch, exact):
+    from tallyline.operators import pairing
+
+    monkeypatch.setattr(pairing, "EXACT_ROWS", exact)
+    rng = random.Random(6)
+    rows = lambda: [(k, *(rng.choice("abc") for _ in range(4))) for k in "pqrstu" for _ in range(rng.randrange(1, 7))]
+    expected = rows()
+    produced = [tuple(rng.choice("xyz") if k and rng.random() < 0.15 else v for k, v in enumerate(r)) for r in expected if rng.random() < 0.9] + rows()[:4]
+    schema = "k string, a string, b string, c string, d string"
+    found = reconcile(spark.createDataFrame(expected, schema), spark.createDataFrame(produced, schema), ["k"])
+    told = found.differences(closest=True).collect()
+    left, right = Counter(expected), Counter(produced)
+    rest = (left - right, right - left)
+    for side, counts in zip(("expected", "generated"), rest):
+        got = Counter()
+        for r in told:
+            if r[side]:
+                got[tuple(r[side])] += r.copies
+        assert got == counts
+    total = sum(r.copies * sum(x != y for x, y in zip(r.expected, r.generated)) for r in told if r.type == "cells")
+    least = 0
+    for k in "pqrstu":
+        e, g = ([r for r, n in side.items() for _ in range(n) if r[0] == k] for side in rest)
+        least += _least_total(e, g) if e and g else 0
+        both = sum(r.copies for r in told if r.type == "cells" and r.expected.k == k)
+        assert both == min(len(e), len(g))
+    assert total == least if exact else least <= total <= sum(
+        r.copies * sum(x != y for x, y in zip(r.expected, r.generated)) for r in found.differences().collect() if r.type == "cells"
+    )
+
+
+def test_closest_pairs_of_a_large_key_meet_by_all_cells_but_one(spark):
+    expected = spark.range(3_000).selectExpr("'k' as k", "concat('a', id) as a", "concat('b', id) as b", "'c' as c")
+    produced = spark.range(3_000).selectExpr("'k' as k", "if(id % 3 = 0, 'x', concat('a', id)) as a", "if(id % 3 = 1, 'y', concat('b', id)) as b", "'c' as c")
+    cells = reconcile(expected, produced, ["k"]).cells(closest=True)
+    assert cells.count() == 2_000 and {tuple(r) for r in cells.groupBy("col").count().collect()} == {("a", 1_000), ("b", 1_000)}
+    with pytest.raises(ConfigError):
+        reconcile(expected, produced, []).differences(closest=True)
+
+
+def test_assignment():
+    import numpy as np
+
+    from tallyline.operators.pairing import assign
+
+    rng = np.random.default_rng(2)
+    for _ in range(80):
+        a, b = rng.integers(1, 6, 2)
+        cost = rng.integers(0, 9, (a, b)).astype(float)
+        from itertools import permutations
+
+        wide = cost if a <= b else cost.T
+        best = min(sum(wide[i, j] for i, j in enumerate(p)) for p in permutations(range(wide.shape[1]), wide.shape[0]))
+        pairs = assign(cost)
+        assert sum(cost[i, j] for i, j in pairs) == best and len(pairs) == min(a, b)
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+
+
+def test_find_key(spark):
+    from tallyline.operators.discover import find_key
+
+    rows = spark.range(600).selectExpr("1 as one", "id div 4 as o", "cast(id as double) as d", "id % 4 as l", "id % 7 as s", "if(id % 2 = 0, null, 'x') as v")
+    assert find_key(rows) == ["d"] and find_key(rows, ["one", "o", "l", "s", "v"]) == ["o", "l"]
+    slim = rows.select("one", "o", "s")
+    assert find_key(slim.unionAll(slim)) == ["o", "s"]
+    assert find_key(rows.select("one", "v")) == ["v"]
+    three = spark.range(512).selectExpr("id % 8 as a", "id div 8 % 8 as b", "id div 64 as c", "id % 2 as e")
+    assert find_key(three) == ["a", "b", "c"] and find_key(three.limit(0)) == ["a"]
+    with pytest.raises(ConfigError):
+        find_key(spark.range(1).selectExpr("map(1, 2) as m"))
+
+
+def test_columns_by_content(spark):
+    from tallyline.operators.discover import match_by_content
+
+    base = spark.range(500).selectExpr("id", "concat('name', id) as name", "id % 5 as kind", "id % 3 as level", "cast(id * 1.5 as decimal(10,2)) as amount", "concat('n', id % 5) as note")
+    renamed = base.selectExpr("concat('000', id) as c0", "amount as c1", "kind as c2", "name as c3", "note as NOTE", "if(id % 50 = 0, 9, level) as c4")
+    want = {"id": "c0", "name": "c3", "kind": "c2", "level": "c4", "amount": "c1", "note": "NOTE"}
+    assert match_by_content(base, renamed) == want and match_by_content(base, renamed, by_name=False) == want
+    assert match_by_content(base, renamed.drop("c3"))["name"] is None
+    assert match_by_content(base, base) == {c: c for c in base.columns}
+    twice = base.selectExpr("id as c0", "id as c1", "name as x")
+    with pytest.raises(ConfigError):
+        match_by_content(base.select("id", "name"), twice)
+    assert match_by_content(base.select("id", "name"), twice, {"id": "c1"}) == {"id": "c1", "name": "x"}
