@@ -19,8 +19,8 @@ from tallyline.plans import checked
 from tallyline.plans.flow import Flow
 from tallyline.plans.steps import Context
 from tallyline.session import scratch_dir
-from tallyline.sinks import writers
-from tallyline.sources import paths, readers, segments
+from tallyline.sinks import byte_files, writers
+from tallyline.sources import paths, readers, segments, variable
 from tallyline.sources.layout import FieldSpec, Layout
 
 
@@ -83,6 +83,27 @@ def ebcdic_output(spark, sf_dir):
     )
 
 
+_VARIABLE = Layout.of(
+    [
+        FieldSpec("price", "decimal", length=7, precision=2, usage="COMP-3"),
+        FieldSpec("p_partkey", "long", length=8, usage="COMP"),
+        FieldSpec("p_name", length=60),
+    ]
+)
+
+
+@register("SELECT p_partkey, trim(p_name) AS p_name, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS price FROM part")
+def ebcdic_variable(spark, sf_dir):
+    """SC13 SK16: records of variable length written as bytes and read back in ranges."""
+    path = scratch_dir(spark, "variable")
+    record = F.concat(
+        encode_packed(money("p_retailprice", 12), 7, 2), F.unhex(F.lpad(F.hex("p_partkey"), 16, "0")), encode_text(F.rtrim("p_name"))
+    )
+    byte_files.write_bytes(table(spark, sf_dir, "part").select(byte_files.with_descriptor(record).alias("record")), path)
+    found = variable.read_variable(spark, path, _VARIABLE)
+    return found.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", number("price").alias("price"))
+
+
 _COUNT_FIELDS = [
     {"name": "FILE-ID", "type": "STRING", "start": 1, "length": 8},
     {"name": "REC-COUNT", "type": "LONG", "start": 9, "length": 12},

@@ -20,7 +20,7 @@ from tallyline.plans.steps import Context, apply_step, order_steps, step_alias
 from tallyline.session import scratch_scope, sized_shuffles
 from tallyline.sinks import writers
 from tallyline.sinks.records import output_columns
-from tallyline.sources import paths, readers
+from tallyline.sources import paths, readers, variable
 from tallyline.sources.layout import Layout, positions_continued
 from tallyline.sources.readers import Source
 
@@ -142,6 +142,9 @@ class Flow:
             options = node.get("cobrix") or {}
             if layout is None:
                 raise ConfigError(f"input {name!r}: an EBCDIC input needs fields")
+            if options.get("variable_length"):
+                offset = int(options.get("record_start_offset") or 0)
+                return Source(variable.read_variable(self.spark, path, layout, options.get("encoding") or "Cp037", offset))
             return Source(
                 readers.read_ebcdic(
                     self.spark,
@@ -242,8 +245,8 @@ class Flow:
                 "run_date": self.context.run_date,
             }
             if kind in ("cobol", "ebcdic"):
-                encoding = (node.get("cobrix") or {}).get("encoding") or "Cp037"
-                writers.write_ebcdic(shown, target, layout, mode, encoding, **records)
+                options = node.get("cobrix") or {}
+                writers.write_ebcdic(shown, target, layout, mode, options.get("encoding") or "Cp037", options.get("form") or "table", **records)
             else:
                 writers.write_fixed(shown, target, layout, mode, **records)
         else:

@@ -75,12 +75,26 @@ def _refuse_append(mode: str, records: dict) -> None:
 
 
 def write_ebcdic(
-    df: DataFrame, path: str, layout: Layout, mode: str = "overwrite", encoding: str = "Cp037", **records
+    df: DataFrame, path: str, layout: Layout, mode: str = "overwrite", encoding: str = "Cp037", form: str = "table", **records
 ) -> None:
-    """Positional records in EBCDIC bytes, one per row of a binary column; ``records`` as for ``fixed_file``."""
+    """Positional records in EBCDIC bytes; ``records`` as for ``fixed_file``.
+
+    ``form``: ``table`` writes a binary Parquet column, ``fixed`` files of records one after the other, ``variable`` files of records
+    behind their descriptor words, blanks at a record's end left out.
+    """
+    from tallyline.sinks import byte_files
+
     _refuse_append(mode, records)
-    lines = fixed_file(df, layout, **records).select(encode_text(F.col("value"), encoding).alias("record"))
-    lines.write.mode(write_mode(mode)).parquet(path)
+    lines = fixed_file(df, layout, **records)
+    if form == "table":
+        lines.select(encode_text(F.col("value"), encoding).alias("record")).write.mode(write_mode(mode)).parquet(path)
+    elif form == "fixed":
+        byte_files.write_bytes(lines.select(encode_text(F.col("value"), encoding).alias("record")), path, mode)
+    elif form == "variable":
+        record = byte_files.with_descriptor(encode_text(F.rtrim("value"), encoding))
+        byte_files.write_bytes(lines.select(record.alias("record")), path, mode)
+    else:
+        raise UnknownOperation(f"form {form!r} of an EBCDIC output")
 
 
 def write_single(lines: DataFrame, folder: str, name: str) -> str:
