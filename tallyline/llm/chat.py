@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.errors import ConfigError
 from tallyline.llm.common import cut
 
 # Messages of one rendered part.
@@ -42,8 +43,9 @@ def _ranked(turns: DataFrame) -> DataFrame:
 
 
 def perspectives(
-    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text"
-) -> DataFrame:
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text",
+    context: int = 0,
+) -> DataFrame:
     """``conv``, ``speaker``, ``part``, ``rendered``, ``mask``, ``n_turns``, ``n_trained``.
 
     For every speaker but the system, the whole dialogue with that speaker as ``assistant`` and each other one
@@ -54,8 +56,12 @@ def perspectives(
     participant and no rows; an empty table gives none.
 
     A dialogue of more than ``PART`` messages is rendered in parts of that many, numbered from 0, for each of
-    its speakers, so no task holds a dialogue of unbounded length.
+    its speakers, so no task holds a dialogue of unbounded length. ``context`` messages (at most ``PART``) before a part are
+    shown again in front of it, and before them the dialogue's first message if that is the system's; these neither count
+    nor are trained on.
     """
+    if not 0 <= context <= PART:
+        raise ConfigError(f"a context of {context} messages for parts of {PART}")
     said = turns.select(
         F.col(conv_col).alias("conv"),
         F.col(turn_col).alias("turn"),
@@ -64,9 +70,23 @@ def perspectives(
     )
     ranked = cut(_ranked(said), "ranked")
     speakers = ranked.filter(F.col("role") != SYSTEM).select("conv", F.col("role").alias("speaker")).distinct()
-    parts = ranked.groupBy("conv", F.floor(F.col("at") / PART).alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("at", "role", "body"))).alias("messages")
+    own, next_ = F.floor(F.col("at") / PART), F.floor((F.col("at") + context) / PART)
+    placed = ranked.withColumn("part", F.explode(F.array_distinct(F.array(own, next_))))
+    begins = F.col("part") * PART
+    parts = (
+        placed.groupBy("conv", "part")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "role", "body"))).alias("messages"))
+        # Behind a dialogue's end there is nothing but what was shown before.
+        .filter(F.exists("messages", lambda m: m["at"] >= begins))
     )
+    if context:
+        first = ranked.filter((F.col("at") == 0) & (F.col("role") == SYSTEM)).select(
+            F.col("conv").alias("first_of"), F.array(F.struct("at", "role", "body")).alias("first")
+        )
+        later = F.col("first").isNotNull() & (F.get("messages", F.lit(0))["at"] > 0)
+        parts = parts.join(first, F.col("conv").eqNullSafe(F.col("first_of")), "left").select(
+            "conv", "part", F.when(later, F.concat("first", "messages")).otherwise(F.col("messages")).alias("messages")
+        )
     views = parts.alias("p").join(speakers.alias("s"), F.col("p.conv").eqNullSafe(F.col("s.conv"))).select(
         "p.conv", "s.speaker", "p.part", "p.messages"
     )
@@ -80,7 +100,8 @@ def perspectives(
             lambda m: F.struct(
                 F.concat(F.lit(OPEN), head(m), F.lit("\n")).alias("head"),
                 F.concat(m["body"], F.lit(CLOSE)).alias("body"),
-                (m["role"] == F.col("speaker")).alias("own"),
+                ((m["role"] == F.col("speaker")) & (m["at"] >= begins)).alias("own"),
+                (m["at"] >= begins).alias("counted"),
             ),
         ),
     )
@@ -100,6 +121,6 @@ def perspectives(
         F.col("part").cast("long").alias("part"),
         F.array_join(F.transform("shown", lambda m: F.concat(m["head"], m["body"], F.lit("\n"))), "").alias("rendered"),
         F.aggregate("shown", start, step)["spans"].alias("mask"),
-        F.size("shown").cast("long").alias("n_turns"),
+        F.size(F.filter("shown", lambda m: m["counted"])).cast("long").alias("n_turns"),
         F.size(F.filter("shown", lambda m: m["own"])).cast("long").alias("n_trained"),
     )

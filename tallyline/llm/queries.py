@@ -88,7 +88,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = chat.perspectives(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    shown = chat.perspectives(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), context=64)
     spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
     return shown.select(
         F.col("conv").alias("conv_id"), "speaker", "part", "rendered", F.array_join(spans, ",").alias("mask"), "n_turns", "n_trained"
@@ -191,19 +191,27 @@ WITH said AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body) - 1 AS pos FROM said
 ), speakers AS (
   SELECT DISTINCT conv_id, role AS speaker FROM placed WHERE role <> 'system'
+), sizes AS (
+  SELECT conv_id AS c, max(pos) // 512 AS last_part FROM placed GROUP BY conv_id
+), spread AS (
+  SELECT *, pos // 512 AS part, true AS counted FROM placed
+  UNION ALL SELECT p.*, pos // 512 + 1, false FROM placed p JOIN sizes ON conv_id IS NOT DISTINCT FROM c
+            WHERE (pos + 64) // 512 > pos // 512 AND pos // 512 < last_part
+  UNION ALL SELECT p.*, k.k, false FROM placed p JOIN sizes ON conv_id IS NOT DISTINCT FROM c JOIN range(1, 1000000) k(k) ON k.k <= last_part
+            WHERE pos = 0 AND role = 'system' AND last_part > 0
 ), shown AS (
-  SELECT p.conv_id, s.speaker, p.pos // 512 AS part, p.pos, p.role = s.speaker AS own,
+  SELECT p.conv_id, s.speaker, p.part, p.counted, p.pos, p.role = s.speaker AND p.counted AS own,
          '<|im_start|>' || CASE WHEN p.role = s.speaker THEN 'assistant' WHEN p.role = 'system' THEN 'system'
                                 ELSE 'user name=' || p.role END || chr(10) AS head,
          p.body || '<|im_end|>' AS body
-  FROM placed p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id
+  FROM spread p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id
 ), measured AS (
   SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY pos) AS until FROM shown
 )
 SELECT conv_id, speaker, part, string_agg(head || body || chr(10), '' ORDER BY pos) AS rendered,
        coalesce(string_agg(CAST(CAST(until - 1 - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(until - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY pos)
                 FILTER (WHERE own), '') AS mask,
-       count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_trained
+       count(*) FILTER (WHERE counted) AS n_turns, count(*) FILTER (WHERE own) AS n_trained
 FROM measured GROUP BY conv_id, speaker, part
 """,
     "op9_line_dedup": r"""

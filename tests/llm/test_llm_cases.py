@@ -284,6 +284,21 @@ def test_chat_cases(spark, monkeypatch):
     assert chat.perspectives(frame.limit(0)).count() == 0
 
 
+def test_chat_parts_begin_with_what_was_said_before(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART", 4)
+    rows = [(1, 0, "system", "be kind")] + [(1, k, "ann" if k % 2 else "bob", f"m{k}") for k in range(1, 12)]
+    frame = spark.createDataFrame(rows + [(2, 0, "ann", "a"), (2, 1, "bob", "b")], "conv_id long, turn long, role string, text string")
+    found = {(r.conv, r.speaker, r.part): r for r in chat.perspectives(frame, context=2).collect()}
+    assert {k[2] for k in found if k[0] == 1} == {0, 1, 2} and len(found) == 8
+    one = found[1, "ann", 2]
+    said = [m.split("\n", 1) for m in one.rendered.replace("<|im_start|>", "").split("<|im_end|>\n")[:-1]]
+    assert said == [["system", "be kind"], ["user name=bob", "m6"], ["assistant", "m7"], ["user name=bob", "m8"], ["assistant", "m9"], ["user name=bob", "m10"], ["assistant", "m11"]]
+    assert [one.rendered[s.start : s.end] for s in one.mask] == ["m9<|im_end|>", "m11<|im_end|>"] and (one.n_turns, one.n_trained) == (4, 2)
+    assert sum(r.n_turns for (c, s, _), r in found.items() if (c, s) == (1, "ann")) == 12
+    with pytest.raises(Exception, match="context"):
+        chat.perspectives(frame, context=5)
+
+
 def test_sharding_cases(spark, docs, none):
     grid = sharding.grid
     assert sharding.place(none, grid(8), grid(9)).count() == 0
