@@ -175,12 +175,11 @@ class Alignment:
 
     def summary(self) -> DataFrame:
         """One row: equal, differing and one-sided rows, and the verdict."""
-        kinds = {"differing": "cells", "only_in_expected": "only_in_expected", "only_in_generated": "only_in_generated"}
-        told = self.found.agg(*[F.count_if(F.col("type") == kind).alias(name) for name, kind in kinds.items()])
-        equal = self.anchored.agg(F.count(F.lit(1)).alias("matched"))
-        verdict = F.when(sum((F.col(n) for n in kinds), F.lit(0)) == 0, "PASS").otherwise("FAIL")
-        # Two frames of one row.
-        return equal.join(told, F.lit(True)).withColumn("verdict", verdict)
+        kinds = {"matched": "equal", "differing": "cells", "only_in_expected": "only_in_expected", "only_in_generated": "only_in_generated"}
+        rows = self.anchored.select(F.lit("equal").alias("type")).unionByName(self.found.select("type"))
+        told = rows.agg(*[F.count_if(F.col("type") == kind).alias(name) for name, kind in kinds.items()])
+        clean = sum((F.col(n) for n in list(kinds)[1:]), F.lit(0)) == 0
+        return told.withColumn("verdict", F.when(clean, "PASS").otherwise("FAIL"))
 
     def differences(self) -> DataFrame:
         """``type``, the structs ``expected`` and ``generated`` (NULL where there is none) and their positions, from 1."""
