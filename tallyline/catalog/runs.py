@@ -199,3 +199,67 @@ def control_beside_output(spark, sf_dir):
     """SK13 CT2 CT5: the control file written beside the curated output."""
     out = _run(spark, sf_dir, "CHECKED-FILE")
     return read_lines(spark, f"{out}/checked/ORDERS.CTL").select("value")
+
+
+class _Lost(Exception):
+    """Stands for a driver that went away between two steps."""
+
+
+@register(
+    """
+    WITH sums AS (
+      SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(14,2))) AS total, count(*) AS n FROM orders GROUP BY o_custkey),
+    named AS (SELECT c_nationkey, total, n FROM sums JOIN customer ON o_custkey = c_custkey)
+    SELECT n_name, CAST(sum(total) AS DOUBLE) AS TOTAL, CAST(sum(n) AS BIGINT) AS ORDERS, 2 AS steps_made_again
+    FROM named JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name
+    """
+)
+def flow_resumed(spark, sf_dir):
+    """PL3: a run that ended after two of four steps goes on with the third; its rows are those of an unbroken run."""
+    base = scratch_dir(spark, "resumed")
+    table = lambda name: {"format": "parquet", "path": f"{sf_dir}/{name}.parquet"}
+    total = lambda field, alias: {"field": field, "operation": "sum", "alias": alias}
+    config = {
+        "Inputs": {"ORDERS": table("orders"), "CUSTOMERS": table("customer"), "NATIONS": table("nation")},
+        "Transformations": {
+            "steps": [
+                {"id": "SUMS", "type": "aggregate", "source_inputs": ["MONEY"],
+                 "logic": {"group_by": ["o_custkey"], "aggregations": [
+                     total("TOTAL", "TOTAL"), {"field": "*", "operation": "count", "alias": "N"}]}},
+                {"id": "MONEY", "type": "withcolumn", "source_inputs": ["ORDERS"],
+                 "logic": {"column": "TOTAL", "expression": "cast(o_totalprice as decimal(14,2))"}},
+                {"id": "NAMED", "type": "join",
+                 "logic": {"left": "SUMS", "right": "CUSTOMERS", "on": [["o_custkey", "c_custkey"]]}},
+                {"id": "PLACED", "type": "join",
+                 "logic": {"left": "NAMED", "right": "NATIONS", "on": [["c_nationkey", "n_nationkey"]]}},
+                {"id": "NATIONAL", "type": "aggregate", "source_inputs": ["PLACED"],
+                 "logic": {"group_by": ["n_name"], "aggregations": [total("TOTAL", "TOTAL"), total("N", "ORDERS")]}},
+            ]
+        },
+        "Outputs": {"NATIONAL": {"format": "parquet", "path": f"{base}/out"}},
+    }
+
+    class Watched(Flow):
+        """Tells which kept steps it made, and ends before one of them if told to."""
+
+        made_now: list[str]
+
+        def _do(self, step):
+            if step["id"] == self.ends_before:
+                raise _Lost(step["id"])
+            self.made_now.append(step["id"])
+            return super()._do(step)
+
+    def attempt(ends_before: str) -> list[str]:
+        flow = Watched(spark, config, DELIVERIES["F"], name="national")
+        flow.made_now, flow.ends_before = [], ends_before
+        try:
+            flow.run(journal=f"{base}/journal")
+        except _Lost:
+            pass
+        return [s for s in flow.made_now if s != "MONEY"]
+
+    attempt("PLACED")
+    again = attempt("")
+    rows = spark.read.parquet(f"{base}/out")
+    return rows.select("n_name", number("TOTAL").alias("TOTAL"), "ORDERS", F.lit(len(again)).alias("steps_made_again"))

@@ -183,7 +183,7 @@ _ORDERED = "(SELECT o_orderkey, o_custkey FROM orders)"
 def _outer(how):
     def run(spark, sf_dir):
         left, right = _ordered(spark, sf_dir), _named(spark, sf_dir)
-        joined = joins.join_on(left, right, [["o_custkey", "c_custkey"]], how)
+        joined = joins.join_on(left, right, [["o_custkey", "c_custkey"]], how, tables=("left", "right"))
         text = [F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_custkey", "c_custkey")]
         return joined.select(*text, "c_name")
 
@@ -216,7 +216,7 @@ def join_full_shared(spark, sf_dir):
     """JO2 JO5: full outer join on a shared name; the key comes from whichever side has it."""
     left = _ordered(spark, sf_dir).withColumnRenamed("o_custkey", "key")
     right = _named(spark, sf_dir).withColumnRenamed("c_custkey", "key")
-    joined = joins.join_on(left, right, ["key"], "outer")
+    joined = joins.join_on(left, right, ["key"], "outer", tables=("left", "right"))
     return joined.select("key", F.col("o_orderkey").cast("string").alias("o_orderkey"), "c_name")
 
 

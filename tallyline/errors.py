@@ -33,3 +33,7 @@ class InvalidRows(TallylineError):
         self.count = count
         self.samples = samples
         super().__init__(f"{step}: {count} invalid row(s), first errors: {samples}")
+
+
+class RunInterrupted(TallylineError):
+    """An earlier attempt of the run ended where doing it again could add rows twice."""

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyline.errors import ConfigError, UnknownOperation
 from tallyline.functions.naming import require_column
-from tallyline.functions.plan import is_plain_scan
 from tallyline.session import staged
 
 # The words for each kind of join.
@@ -32,6 +31,7 @@ def join_on(
     on: Sequence[Key],
     how: str = "inner",
     skewed: bool | None = None,
+    tables: Sequence[str] = (),
 ) -> DataFrame:
     """Join on equal keys; NULL keys never match.
 
@@ -43,8 +43,8 @@ def join_on(
     Spark splits a frequent key on both sides of an inner join, only on the
     kept side of a left or right join, and not at all in a full join. With
     ``skewed`` an outer join is built from joins that can be split; by default only the full join is.
-    These read a side twice: unless it is a plain table scan, it is evaluated once and written to
-    the shared folder first.
+    These read a side twice: unless ``tables`` names it (``left``, ``right``) as a table that is read as it lies, with
+    at most columns computed and rows dropped, it is evaluated once and written to the shared folder first.
     """
     kind = _HOW.get(how.strip().lower())
     if kind is None:
@@ -56,7 +56,9 @@ def join_on(
         names = (key, key) if isinstance(key, str) else tuple(key)[:2]
         pairs.append((require_column(left.columns, names[0]), require_column(right.columns, names[1])))
     if kind in ("left", "right", "full") and (kind == "full" if skewed is None else skewed):
-        return _outer(_once(left), _once(right), pairs, kind)
+        sides = {"left": left, "right": right}
+        once = [df if side in tables else staged(df, "side") for side, df in sides.items()]
+        return _outer(*once, pairs, kind)
     return _join(left, right, pairs, kind)
 
 
@@ -81,11 +83,6 @@ def _join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], kind:
     return joined.select(*out)
 
 
-def _once(df: DataFrame) -> DataFrame:
-    """The frame itself if it is a plain scan, else its rows as a table."""
-    return df if is_plain_scan(df) else staged(df, "side")
-
-
 def _outer(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], kind: str) -> DataFrame:
     """An outer join as the matching rows, and the rows of each kept side without a partner."""
     shared = {a for a, b in pairs if a == b}

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tallyline.errors import ConfigError, GateFailed, InvalidRows
 from tallyline.functions.dates import previous_business_day
 from tallyline.functions.naming import quoted
-from tallyline.functions.plan import is_sorted
 from tallyline.operators import gates
 from tallyline.operators.validate import ERRORS, VALID, annotate, fail_mode
 from tallyline.plans.steps import Context, step_alias
@@ -34,13 +33,13 @@ def report(spark, context: Context, step: str, kind: str, **what) -> None:
 
 
 def run_validate(
-    df: DataFrame, columns: list[str], logic: dict, step: dict, context: Context
+    df: DataFrame, columns: list[str], logic: dict, step: dict, context: Context, in_order: bool = False
 ) -> DataFrame:
     """A validate step with all it has to do; returns what it hands on, in the given columns.
 
     The rows are read and checked once: annotated rows go to a table in the shared folder,
     counted by the same write, and every file of the step and the steps after it are made
-    from that table. Rows that came in a sorted order are sorted by it again when they are read.
+    from that table. Rows that came in a sorted order (``in_order``) are sorted by it again when they are read.
     """
     found = [context.input_node(n) for n in step.get("source_inputs") or []]
     name, node = next((f for f in found if f), ("", {}))
@@ -51,7 +50,6 @@ def run_validate(
     seen = Observation()
     counters = [F.count(F.lit(1)).alias("total"), F.count_if(~F.col(VALID)).alias("invalid")]
     annotated = annotate(df, logic.get("rules") or [], logic.get("on_missing", "raise"))
-    in_order = is_sorted(df)
     if in_order:
         annotated = annotated.withColumn(_AT, F.monotonically_increasing_id())
     path = scratch_dir(df.sparkSession, "checked")

@@ -16,7 +16,8 @@ from tallyline.functions.dates import previous_business_day
 from tallyline.functions.naming import column_name, find_column, quoted
 from tallyline.operators import gates
 from tallyline.plans import checked
-from tallyline.plans.steps import Context, apply_step, order_steps, step_alias
+from tallyline.plans.journal import Journal, files_seen, fingerprint
+from tallyline.plans.steps import Context, apply_step, order_steps, step_alias, step_kind
 from tallyline.session import scratch_scope, sized_shuffles
 from tallyline.sinks import writers
 from tallyline.sinks.records import output_columns
@@ -26,6 +27,9 @@ from tallyline.sources.readers import Source
 
 LOG = logging.getLogger(__name__)
 _SECTIONS = {"Inputs": ("Inputs", "inputs"), "Outputs": ("Outputs", "outputs")}
+# Steps whose rows a journal keeps unless a step says otherwise: those that shuffle or check. The others
+# are made again on the way to the next that is kept, for no more than a scan.
+_KEPT_STEPS = ("aggregate", "custom", "distinct", "join", "merge", "sort", "validate")
 
 
 def load_config(source: str | Path | dict) -> dict:
@@ -89,6 +93,7 @@ class Flow:
         )
         self.datasets: dict[str, DataFrame] = {}
         self.made: dict[str, DataFrame] = {}
+        self.journal: Journal | None = None
 
     # -- inputs ---------------------------------------------------------------
 
@@ -163,6 +168,8 @@ class Flow:
             source = self.read(name, node)
             self.context.sources[name] = source
             self.datasets[name] = source.data
+            if str(node.get("format") or "").lower() in ("parquet", "json"):
+                self.context.tables.add(name)
             if not self.context.live:
                 continue
             if (node.get("prev_day_check") or {}).get("enabled"):
@@ -199,11 +206,63 @@ class Flow:
         """Load the inputs and extend the plan by every step; returns the steps' results."""
         if not self.datasets:
             self.load()
-        for step in order_steps(self.config["steps"]):
-            alias, frame = apply_step(step, self.datasets, self.context)
+        for i, step in enumerate(order_steps(self.config["steps"])):
+            alias, frame = self._step(f"step-{i:04d}", step) if self.journal else self._do(step)
             self.made[alias] = frame
         return self.made
 
+    def _do(self, step: dict) -> tuple[str, DataFrame]:
+        return apply_step(step, self.datasets, self.context)
+
+    def _step(self, key: str, step: dict) -> tuple[str, DataFrame]:
+        """A step that the journal knows to be finished, or one to be done and entered."""
+        journal, alias, live = self.journal, step_alias(step), self.context.live
+        entry = journal.done(key)
+        if entry and "table" in entry:
+            LOG.info("step %s was finished by an earlier attempt", alias)
+            self.datasets[alias] = journal.table(entry)
+            self.context.mark_order(alias, entry["in_order"])
+            return alias, self.datasets[alias]
+        loads, kept = step_kind(step) == "oracle_write", step.get("keep", step_kind(step) in _KEPT_STEPS)
+        adds = loads and _load_adds(step) or step_kind(step) == "validate" and self._validate_adds(step)
+        self.context.live = live and not entry
+        try:
+            if self.context.live:
+                journal.begin(key, alias, adds)
+            alias, frame = self._do(step)
+        finally:
+            self.context.live = live
+        if kept:
+            self.datasets[alias] = frame = journal.keep(key, alias, frame, alias in self.context.ordered)
+        if (loads or adds) and not journal.done(key):
+            journal.finish(key, alias)
+        return alias, frame
+
+    def _validate_adds(self, step: dict) -> bool:
+        where = paths.validation_paths(step.get("logic") or {}, self.context.run_date, self.context.interface, self.context.settings)
+        return any(where[side] and not where[f"{side}_name"] for side in ("valid", "error"))
+
+    def _output(self, name: str, node: dict) -> None:
+        """Write an output, unless the journal knows it to be written."""
+        key = f"output-{list(self.config['Outputs']).index(name):04d}"
+        if self.journal is None:
+            self.write(name, node)
+        elif self.journal.done(key):
+            LOG.info("output %s was written by an earlier attempt", name)
+        else:
+            self.journal.begin(key, name, writers.write_mode(node.get("write_mode")) == "append")
+            self.write(name, node)
+            self.journal.finish(key, name)
+
+    def fingerprint(self) -> str:
+        """The run's name in a journal: description, dates, settings and the files of the inputs as they are now."""
+        c = self.context
+        inputs = {n: self._path(paths.input_path, node) for n, node in self.config["Inputs"].items()}
+        seen = {n: [path, files_seen(self.spark, path)] for n, path in inputs.items()}
+        return fingerprint(
+            self.config, c.flow, c.run_date, c.run_time, c.interface, c.settings, self.base_path, self.missing, seen
+        )
+
     # -- outputs --------------------------------------------------------------
 
     def output_frame(self, name: str, node: dict) -> DataFrame:
@@ -326,15 +385,23 @@ class Flow:
             self.context.run_date,
         )
 
-    def run(self, dry_run: bool = False, keep: bool = False) -> dict[str, DataFrame]:
+    def run(
+        self, dry_run: bool = False, keep: bool = False, journal: str | None = None, repeat: bool = False
+    ) -> dict[str, DataFrame]:
         """Build, check, write. A dry run counts each output instead of writing anything.
 
         Intermediate tables go at the end of the run, and the frames returned with them, unless they
         are to be kept; files of the outputs stay.
+
+        With a ``journal``, a folder that outlives the application, rows of finished steps stay there until the run has
+        ended well. The same run started again, on unchanged inputs, reads them and skips outputs already written; inputs
+        are opened and their checks made again. Steps that shuffle or check are kept, others if they say ``"keep": true``.
+        Where the earlier attempt ended while rows were added to a table or folder it raises, unless told to ``repeat``.
         """
         self.context.live = not dry_run
         found = [self._path(paths.input_path, node) for node in self.config["Inputs"].values()]
         size = sum(gates.size_of(self.spark, path) for path in found)
+        self.journal = Journal(self.spark, journal, self.fingerprint(), repeat) if journal and not dry_run else None
         with sized_shuffles(self.spark, size), nullcontext() if keep else scratch_scope(self.spark):
             self.build()
             outputs = {n: o for n, o in self.config["Outputs"].items() if isinstance(o, dict)}
@@ -342,10 +409,17 @@ class Flow:
                 if dry_run:
                     LOG.info("output %s: %s rows", name, self.output_frame(name, node).count())
                 else:
-                    self.write(name, node)
+                    self._output(name, node)
+        if self.journal:
+            self.journal.close(keep)
         return self.made
 
 
+def _load_adds(step: dict) -> bool:
+    """Whether a table load done again leaves rows twice; one that wants an empty table refuses by itself."""
+    return str((step.get("logic") or {}).get("load_mode") or "APPEND").strip().upper() == "APPEND"
+
+
 def _layout(node: dict, section: str, width: int = 0) -> Layout | None:
     """The layout of one kind of record, if its fields are declared."""
     if not node.get(section):

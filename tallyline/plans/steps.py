@@ -36,6 +36,9 @@ class Context:
     raw: dict[str, DataFrame] = field(default_factory=dict)
     incidents: str = ""
     live: bool = False
+    # Data sets whose rows come in a global order, and those that are read from tables as they are.
+    ordered: set[str] = field(default_factory=set)
+    tables: set[str] = field(default_factory=set)
 
     def input_node(self, name: str) -> tuple[str, dict] | None:
         """An input by name, else by name without case."""
@@ -43,6 +46,12 @@ class Context:
             return name, self.inputs[name]
         return next(((k, v) for k, v in self.inputs.items() if k.upper() == name.upper()), None)
 
+    def mark_order(self, name: str, in_order: bool) -> None:
+        """Remember whether a data set, made anew, is in order; it is the input of that name no more."""
+        self.tables.discard(name)
+        self.raw.pop(name, None)
+        (self.ordered.add if in_order else self.ordered.discard)(name)
+
     def header_of(self, names: list[str]) -> DataFrame | None:
         """Header fields of the first of these inputs that has any, else of the only one that has."""
         found = [self.sources[n].header for n in names if n in self.sources and self.sources[n].header is not None]
@@ -66,20 +75,25 @@ def _all_sources(step: dict, logic: dict, datasets: Datasets) -> list[DataFrame]
 
 def _join(df, logic, step, datasets, context):
     left, right = (_named(datasets, logic.get(side), step) for side in ("left", "right"))
-    return join_on(left, right, logic.get("on") or [], logic.get("how") or "inner", logic.get("skewed"))
+    tables = [side for side in ("left", "right") if context is not None and logic.get(side) in context.tables]
+    return join_on(left, right, logic.get("on") or [], logic.get("how") or "inner", logic.get("skewed"), tables)
 
 
 def _union(df, logic, step, datasets, context):
     return union_all(_all_sources(step, logic, datasets), bool(logic.get("distinct")))
 
 
+def _merge_keys(logic: dict) -> list:
+    keys = logic.get("on") or logic.get("keys") or logic.get("key") or []
+    return [keys] if isinstance(keys, str) else keys
+
+
 def _custom(df, logic, step, datasets, context):
     word = str(logic.get("operation") or logic.get("op") or "").lower()
     if word == "sort":
         return sort_step(df, logic)
     if word == "merge":
-        keys = logic.get("on") or logic.get("keys") or logic.get("key") or []
-        return merge_rows(_all_sources(step, logic, datasets), [keys] if isinstance(keys, str) else keys)
+        return merge_rows(_all_sources(step, logic, datasets), _merge_keys(logic))
     if word:
         raise UnknownOperation(f"custom operation {word!r}")
     return df
@@ -94,7 +108,7 @@ def _validate(df, logic, step, datasets, context):
         if context.live:
             from tallyline.plans.checked import run_validate
 
-            return run_validate(df, columns, logic, step, context)
+            return run_validate(df, columns, logic, step, context, name in context.ordered)
     mode = logic.get("fail_mode") or logic.get("mode")
     made = shape(df, logic.get("rules") or [], mode, logic.get("on_missing", "raise"))
     return made.drop(*[c for c in df.columns if c not in columns])
@@ -134,16 +148,33 @@ _STEPS = {
 }
 
 
+# Steps that keep the order their rows come in.
+_IN_PLACE = ("drop", "filter", "oracle_write", "select", "validate", "withcolumn")
+
+
 def step_alias(step: dict) -> str:
     return step.get("output_alias") or step.get("id") or "out"
 
 
+def step_kind(step: dict) -> str:
+    return str(step.get("type") or "select").strip().lower()
+
+
+def _makes_order(step: dict, source: str, context: Context) -> bool:
+    """Whether a step's rows come in a global order: it sorts, or hands on what came sorted."""
+    kind, logic = step_kind(step), step.get("logic") or {}
+    word = str(logic.get("operation") or logic.get("op") or "").lower() if kind == "custom" else ""
+    if kind == "sort" or word == "sort" or word == "merge" and _merge_keys(logic):
+        return True
+    return (kind in _IN_PLACE or kind == "custom" and not word) and source in context.ordered
+
+
 def apply_step(step: dict, datasets: Datasets, context: Context | None = None) -> tuple[str, DataFrame]:
     """Apply one step and register its result; returns the name and the frame.
 
     The source is the first of ``source_inputs`` there is.
     """
-    kind = str(step.get("type") or "select").strip().lower()
+    kind = step_kind(step)
     if kind not in _STEPS:
         raise UnknownOperation(f"step type {kind!r}")
     logic = step.get("logic") or {}
@@ -152,11 +183,13 @@ def apply_step(step: dict, datasets: Datasets, context: Context | None = None) -
         names = list(logic.get("source_inputs") or [])
     if not names and kind == "join":
         names = [logic.get("left")]
-    source = next((datasets[n] for n in names if n in datasets), None)
-    if source is None:
+    name = next((n for n in names if n in datasets), None)
+    if name is None:
         raise ConfigError(f"step {step.get('id')!r}: none of {names} is among {sorted(datasets)}")
     alias = step_alias(step)
-    datasets[alias] = _STEPS[kind](source, logic, step, datasets, context)
+    datasets[alias] = _STEPS[kind](datasets[name], logic, step, datasets, context)
+    if context is not None:
+        context.mark_order(alias, _makes_order(step, name, context))
     return alias, datasets[alias]
 
 

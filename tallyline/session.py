@@ -87,12 +87,12 @@ def _scratch_root(spark: SparkSession) -> str:
     parent = spark.conf.get("spark.checkpoint.dir", None)
     if not parent:
         parent = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-        if not spark.sparkContext._jsc.sc().isLocal() and _file_system(spark, parent)[0].getScheme() == "file":
+        if not spark.sparkContext._jsc.sc().isLocal() and file_system(spark, parent)[0].getScheme() == "file":
             raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{parent.rstrip('/')}/tallyline-{spark.sparkContext.applicationId}"
 
 
-def _file_system(spark: SparkSession, path: str) -> tuple:
+def file_system(spark: SparkSession, path: str) -> tuple:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
@@ -100,7 +100,7 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for an intermediate table, reachable from all executors."""
     root = _scratch_root(spark)
-    fs, target = _file_system(spark, root)
+    fs, target = file_system(spark, root)
     if not fs.exists(target):
         fs.mkdirs(target)
         fs.deleteOnExit(target)
@@ -125,11 +125,11 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            fs, target = _file_system(spark, path)
+            fs, target = file_system(spark, path)
             fs.delete(target, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; frames made from them end with it."""
-    fs, target = _file_system(spark, _scratch_root(spark))
+    fs, target = file_system(spark, _scratch_root(spark))
     fs.delete(target, True)

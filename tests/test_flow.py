@@ -234,9 +234,9 @@ def test_previous_day_without_its_field_raises(spark, bank, tmp_path):
 
 
 def test_run_leaves_no_intermediate_tables(spark, bank, tmp_path):
-    from tallyline.session import _file_system, _scratch_root, sized_shuffles
+    from tallyline.session import file_system, _scratch_root, sized_shuffles
 
-    fs, root = _file_system(spark, _scratch_root(spark))
+    fs, root = file_system(spark, _scratch_root(spark))
     count = lambda: len(fs.listStatus(root)) if fs.exists(root) else 0
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     before, setting = count(), spark.conf.get(key, None)
