@@ -116,7 +116,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.described(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    secrets = secret_scan.scan_secrets(found, secret_scan.weak_label(found), without=secret_scan.CONTEXT)
+    secrets = secret_scan.scan_secrets(found, secret_scan.weak_label(found), planted=secret_scan.NEIGHBOURS)
     return secrets.withColumnRenamed("id", "doc_id")
 
 

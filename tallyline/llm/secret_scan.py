@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm.common import cut
@@ -16,10 +16,15 @@ from tallyline.llm.common import cut
 FIT_ROWS, TREES, DEPTH = 20_000, 24, 7
 # Occurrences that make a run of letters a word of the dictionary.
 WORD_COUNT = 5
-# Features that weak labels of true findings are read from: a forest fitted on those labels does without them.
+# Bytes of words that candidates are made of, up to which they are sent to all tasks that count words.
+SENT_WORDS = 8 << 20
+# Features that weak labels of true findings are read from.
 CONTEXT = ("quoted", "near_credential", "assigned", "before_bucket")
+# All features of what stands around a candidate.
+NEIGHBOURS = (*CONTEXT, "near_sample", "near_digest", "after_letters")
 _RUN = r"[A-Za-z0-9+/_=-]{16,}"
 _CREDENTIAL = r"(?i)(token|secret|passw|pwd|key|auth|bearer|credential)"
+_DIGEST = r"(?i)\b(commit|sha-?[0-9]+|md5|checksum|digest|revision|etag)\b"
 _SAMPLE = r"(?i)(test|example|sample|mock|fixture|demo|doc)"
 
 
@@ -62,22 +67,26 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _dictionary_cover(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """``candidate``, ``cover``: the share of its characters in runs of letters that are words of the corpus.
 
-    Words are counted over all texts with map-side combination, candidates once each.
+    Words are counted over all texts with map-side combination, candidates once each. Only words that candidates are made
+    of matter; up to ``SENT_WORDS`` bytes of them go to the tasks, which then drop all others before the shuffle.
     """
     letters = r"[^\p{L}]+"
-    words = (
-        docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), letters)).alias("w"))
-        .filter(F.length("w") >= 3)
-        .groupBy("w")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= WORD_COUNT)
-    )
+    # Words of a name may also be told by their capitals.
+    parted = F.regexp_replace("candidate", "(?<=[a-z])(?=[A-Z])", " ")
+    words = docs.select(
+        F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), letters)).alias("w")
+    ).filter(F.length("w") >= 3)
     runs = (
         found.select("candidate")
         .distinct()
-        .select("candidate", F.explode(F.split(F.lower("candidate"), letters)).alias("w"))
+        .select("candidate", F.explode(F.split(F.lower(parted), letters)).alias("w"))
         .filter(F.length("w") >= 3)
     )
+    wanted = cut(runs.select("w").distinct(), "wanted")
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("w") + 32), F.lit(0))).first()[0]
+    if size <= SENT_WORDS:
+        words = words.join(F.broadcast(wanted), "w", "left_semi")
+    words = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= WORD_COUNT)
     covered = runs.join(words, "w").groupBy("candidate").agg(F.sum(F.length("w")).alias("covered"))
     return covered.select("candidate", (F.col("covered") / F.length("candidate")).alias("cover"))
 
@@ -107,6 +116,7 @@ def _features() -> dict[str, Column]:
         "path_sample": flag(F.col("path").rlike(_SAMPLE)),
         "near_credential": flag(F.concat_ws(" ", before, word).rlike(_CREDENTIAL)),
         "near_sample": flag(F.concat_ws(" ", before, F.col("after")).rlike(_SAMPLE)),
+        "near_digest": flag(F.concat_ws(" ", before, word).rlike(_DIGEST)),
         "assigned": flag(before.rlike("[:=]$") | word.rlike("[A-Za-z_][\"']?[:=][\"']?[A-Za-z0-9]")),
         "before_bucket": F.pmod(F.hash(F.regexp_extract(before, r"(\S*)$", 1)), F.lit(64)).cast("double"),
         "after_letters": flag(F.col("after").rlike(r"^\p{L}+")),
@@ -127,27 +137,50 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 def weak_label(found: DataFrame) -> DataFrame:
     """Label findings whose kind is certain: ``label`` 1 for a quoted value given to a credential's name, 0 for a card
-    number with a valid checksum, a run of dictionary words without a digit and one of under four different characters.
+    number with a valid checksum, a run of dictionary words with hardly a digit, one of under four different characters and
+    32 or more hexadecimal digits behind the name of a digest.
 
     All others, bare runs among them, and those that are both stay unlabelled (null).
     """
     feature = lambda name: F.get("x", F.lit(list(_features()).index(name)))
     secret = F.col("word").rlike("^[\"'`]?" + _RUN + "[\"'`]") & F.col("before").rlike(_CREDENTIAL + r"\S*\s*[:=]$")
     card = F.col("candidate").rlike("^[0-9]{16,19}$") & F.call_function("luhn_check", F.col("candidate"))
-    compound = (feature("cover") >= 0.9) & (feature("digits") == 0)
-    other = card | compound | (F.size(F.array_distinct(F.split("candidate", ""))) < 4)
+    bare = feature("digits") + feature("marks")
+    compound = (feature("cover") + bare >= 0.9) & (feature("cover") >= 0.6) & (feature("digits") <= 0.1)
+    digest = F.col("candidate").rlike("^[0-9a-fA-F]{32,}$") & F.col("before").rlike(_DIGEST)
+    other = card | compound | digest | (F.size(F.array_distinct(F.split("candidate", ""))) < 4)
     return found.withColumn("label", F.when(secret & ~other, 1.0).when(other & ~secret, 0.0))
 
 
+def _planted(sample: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Labelled true rows of the sample among the neighbours of labelled false ones, which do not speak of a digest.
+
+    Both are numbered by a hash and meet in turn; the sample is bounded, so one task may number it.
+    """
+    names = list(_features())
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("x"), "x")) - 1
+    plain = F.get("x", F.lit(names.index("near_digest"))) == 0
+    kinds = sample.filter((F.col("label") == 1) | plain).select("x", "n", "label", place.alias("k"))
+    lenders = kinds.filter(F.col("label") == 0).select(F.col("x").alias("around"), F.col("k").alias("turn"))
+    count = lenders.count()
+    if not count:
+        return sample.limit(0)
+    met = kinds.filter(F.col("label") == 1).join(lenders, F.col("k") % count == F.col("turn"))
+    parts = [F.get("around" if name in features else "x", F.lit(i)) for i, name in enumerate(names)]
+    return met.select(F.array(*parts).alias("x"), "label", "n")
+
+
 def scan_secrets(
-    found: DataFrame, labelled: DataFrame, threshold: float = 0.5, without: Sequence[str] = ()
+    found: DataFrame, labelled: DataFrame, threshold: float = 0.5, without: Sequence[str] = (), planted: Sequence[str] = ()
 ) -> DataFrame:
     """``id``, ``at``, ``nth``, ``candidate``, ``score`` of the findings that the forest takes for secrets.
 
     ``found``: from ``described``; ``labelled``: rows of the same columns and ``label`` (0, 1 or null for unknown). The
     forest looks at all features but those named in ``without`` and scores every finding. Labelled rows of equal features
     and label count as one with a weight; it is fitted on at most ``FIT_ROWS`` / 2 such of either class, those of smallest hash,
-    whose weights add up to the rows of their class. With no
+    whose weights add up to the rows of their class. Where labels of true rows were read from features, ``planted`` names
+    these: each true row then counts half as it is and half with those features taken from a false row, so that a
+    secret is also known by its own characters where nothing around it gives it away. With no
     labelled rows, or one class only, every score is the smoothed share of true ones. Null texts have no findings, null
     paths count as empty. Repeated rows give repeated findings. An empty table gives an empty result.
     """
@@ -163,6 +196,8 @@ def scan_secrets(
     if 0 < good < n:
         few = [kinds.filter(F.col("label") == k).orderBy(F.xxhash64("x"), "x").limit(FIT_ROWS // 2) for k in total]
         sample = cut(few[0].unionByName(few[1]), "sample")
+        if planted:
+            sample = cut(sample.unionByName(_planted(sample, planted)), "sample")
         held = {r.label: r.n for r in sample.groupBy("label").agg(F.sum("n").alias("n")).collect()}
         share = F.when(F.col("label") == 1, F.lit(total[1.0] / held[1.0])).otherwise(F.lit(total[0.0] / held[0.0]))
         forest = RandomForestClassifier(

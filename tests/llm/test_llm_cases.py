@@ -344,6 +344,44 @@ def test_bare_keys_are_left_to_the_forest(spark):
     assert {r.id for r in secrets} == {*range(60), *range(1000, 1005)}
 
 
+def _random_text(rng, letters, n):
+    return "".join(letters[k] for k in rng.integers(0, len(letters), size=n))
+
+
+@pytest.mark.parametrize("sent", [8 << 20, -1])
+def test_planted_keys_and_look_alikes(spark, monkeypatch, sent):
+    """Keys between plain words, and what looks like them: the forest decides by characters and by neighbours."""
+    monkeypatch.setattr(secret_scan, "SENT_WORDS", sent)
+    rng = np.random.default_rng(11)
+    hexa, mixed = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    words = ["river", "stone", "market", "window", "garden", "letter", "summer", "paper", "morning", "number"]
+    some = lambda: " ".join(words[k] for k in rng.integers(0, 10, size=4))
+    key = lambda: _random_text(rng, *((hexa, 40) if rng.random() < 0.5 else (mixed, 32)))
+    camel = lambda: "".join(words[k].capitalize() for k in rng.integers(0, 10, size=4))
+    rows = []
+    add = lambda base, n, make: rows.extend((base + k, f"{some()} {make()} {some()}", "src3") for k in range(n))
+    # What labels are read from: given credentials, card numbers, names made of words, digests.
+    add(0, 150, lambda: f'{rng.choice(["token", "password", "api_key"])} = "{key()}"')
+    add(1000, 200, lambda: str(rng.integers(4 * 10**15, 5 * 10**15)))
+    add(2000, 60, camel)
+    add(3000, 120, lambda: f'commit {_random_text(rng, hexa, 40)}')
+    # Those to be judged; the first, second and fourth kind have no label.
+    add(10_000, 100, key)
+    add(20_000, 60, lambda: str(rng.integers(10**15, 10**16)))
+    add(21_000, 60, lambda: f"{camel()}{rng.integers(1, 10)}")
+    add(22_000, 60, lambda: f"revision {_random_text(rng, hexa, 24)}")
+    add(23_000, 60, lambda: "/".join(words[k] for k in rng.integers(0, 10, size=4)) + str(rng.integers(10)))
+    found = secret_scan.described(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    labelled = secret_scan.weak_label(found)
+    assert labelled.filter("id >= 10000 and id < 20000 and label is not null").count() == 0
+    got = {r.id for r in secret_scan.scan_secrets(found, labelled, planted=secret_scan.NEIGHBOURS).collect()}
+    true = {*range(150), *range(10_000, 10_100)}
+    bare = [k for k in got if k >= 10_000]
+    assert set(range(150)) <= got, [k for k in range(150) if k not in got]
+    assert sum(k < 20_000 for k in bare) >= 0.9 * 100 and sum(k < 20_000 for k in bare) >= 0.9 * len(bare), sorted(bare)
+    assert len(got & true) >= 0.9 * len(got)
+
+
 def test_secret_fit_is_not_filled_by_copies(spark, monkeypatch):
     monkeypatch.setattr(secret_scan, "FIT_ROWS", 20)
     rows = [(k, 'some words token = "a1B2c3D4e5F6a7B8c9D0" more words', "src/app.py") for k in range(50)]
