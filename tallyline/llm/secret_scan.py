@@ -24,6 +24,17 @@ CONTEXT = ("quoted", "near_credential", "assigned", "before_bucket")
 NEIGHBOURS = (*CONTEXT, "near_sample", "near_digest", "after_letters")
 _RUN = r"[A-Za-z0-9+/_=-]{16,}"
 _CREDENTIAL = r"(?i)(token|secret|passw|pwd|key|auth|bearer|credential)"
+# A value with a digit given to a credential's name within one word, which is no address with parameters.
+_GIVEN = r"(?i)^[^?&/]*(token|secret|passw|pwd|key|auth|bearer|credential)[A-Z_]*[\"'`]?[:=][\"'`]?(?=[^ ]*[0-9])[A-Z0-9+/_-]{8,}"
+# Beginnings and lengths that issuers of keys have made public.
+_ISSUED = (
+    r"^(AKIA|ASIA)[A-Z0-9]{16}$",
+    r"^gh[oprsu]_[A-Za-z0-9]{36}$",
+    r"^glpat-[A-Za-z0-9_-]{20}$",
+    r"^xox[abprs]-[A-Za-z0-9-]{16,}$",
+    r"^[rs]k_live_[A-Za-z0-9]{16,}$",
+    r"^AIza[A-Za-z0-9_-]{35}$",
+)
 _DIGEST = r"(?i)\b(commit|sha-?[0-9]+|md5|checksum|digest|revision|etag)\b"
 _SAMPLE = r"(?i)(test|example|sample|mock|fixture|demo|doc)"
 
@@ -32,10 +43,14 @@ def _neighbour(words: Column, at: Column) -> Column:
     return F.coalesce(F.get(words, at), F.lit(""))
 
 
+def _issued() -> Column:
+    return F.col("candidate").rlike("|".join(_ISSUED))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """``id``, ``at`` (word number), ``nth`` in the word, ``candidate``, its ``word``, its neighbours and ``path``.
 
-    A candidate is a run of at least 16 letters, digits and ``+/_=-`` with a digit, or with a capital after a small letter.
+    A candidate is a run of at least 16 letters, digits and ``+/_=-`` with a digit, with a capital after a small letter, or as an issuer writes its keys.
     """
     words = docs.select(
         F.col(id_col).alias("id"),
@@ -60,7 +75,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = F.regexp_extract_all("word", F.lit(f"({_RUN})"), F.lit(1))
     return (
         found.select("id", "path", "at", "word", "before", "after", F.posexplode(runs).alias("nth", "candidate"))
-        .filter(F.col("candidate").rlike("[0-9]|[a-z][A-Z]"))
+        .filter(F.col("candidate").rlike("[0-9]|[a-z][A-Z]") | _issued())
     )
 
 
@@ -136,7 +151,8 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 
 def weak_label(found: DataFrame) -> DataFrame:
-    """Label findings whose kind is certain: ``label`` 1 for a quoted value given to a credential's name, 0 for a card
+    """Label findings whose kind is certain: ``label`` 1 for a quoted value given to a credential's name, a value with a
+    digit given to one within a word, and a key as its issuer writes them; 0 for a card
     number with a valid checksum, a run of dictionary words with hardly a digit, one of under four different characters and
     32 or more hexadecimal digits behind the name of a digest.
 
@@ -144,6 +160,7 @@ def weak_label(found: DataFrame) -> DataFrame:
     """
     feature = lambda name: F.get("x", F.lit(list(_features()).index(name)))
     secret = F.col("word").rlike("^[\"'`]?" + _RUN + "[\"'`]") & F.col("before").rlike(_CREDENTIAL + r"\S*\s*[:=]$")
+    secret = secret | F.col("word").rlike(_GIVEN) | _issued()
     card = F.col("candidate").rlike("^[0-9]{16,19}$") & F.call_function("luhn_check", F.col("candidate"))
     bare = feature("digits") + feature("marks")
     compound = (feature("cover") + bare >= 0.9) & (feature("cover") >= 0.6) & (feature("digits") <= 0.1)

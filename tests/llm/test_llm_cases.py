@@ -344,6 +344,22 @@ def test_bare_keys_are_left_to_the_forest(spark):
     assert {r.id for r in secrets} == {*range(60), *range(1000, 1005)}
 
 
+def test_kinds_that_are_certain(spark):
+    """Values given within a word and keys of a public form are true; addresses with parameters and plain names stay open or false."""
+    rng = np.random.default_rng(5)
+    hexa, capitals = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    rows = [(k, f"some words password={_random_text(rng, hexa, 17)}7 more", "s") for k in range(30)]
+    rows += [(100 + k, f"some words AKIA{_random_text(rng, capitals, 16)} more", "s") for k in range(30)]
+    rows += [(200 + k, f"some words {4539578763621400 + k} more", "s") for k in range(300)]
+    rows += [(600, "see https://x.org/list?key=abcdefgh1234567890 now", "s"), (601, "key=windowwindowwindow now", "s"), (602, "ghp_" + _random_text(rng, capitals, 36), None)]
+    found = secret_scan.described(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    label = {r.id: r.label for r in secret_scan.weak_label(found).select("id", "label").collect()}
+    assert {k for k, v in label.items() if v == 1} == {*range(30), *range(100, 130), 602}
+    assert label.get(600) is None and label.get(601) is None
+    got = {r.id for r in secret_scan.scan_secrets(found, secret_scan.weak_label(found), planted=secret_scan.NEIGHBOURS).collect()}
+    assert {*range(30), *range(100, 130), 602} <= got and not got & set(range(200, 500))
+
+
 def _random_text(rng, letters, n):
     return "".join(letters[k] for k in rng.integers(0, len(letters), size=n))
 
