@@ -238,3 +238,61 @@ def test_columns_by_content(spark):
     with pytest.raises(ConfigError):
         match_by_content(base.select("id", "name"), twice)
     assert match_by_content(base.select("id", "name"), twice, {"id": "c1"}) == {"id": "c1", "name": "x"}
+
+
+def test_many_keys_are_assigned_together(monkeypatch):
+    import numpy as np
+
+    from tallyline.operators import pairing
+
+    rng = np.random.default_rng(5)
+    sizes = [tuple(rng.integers(0, 5, 2)) for _ in range(3_000)]
+    rows = [(k, s, tuple(rng.choice(3, 4))) for k, n in enumerate(sizes) for s in (0, 1) for _ in range(n[s])]
+    key, side = (np.array([r[k] for r in rows]) for k in (0, 1))
+    calls = []
+    each = pairing.assign_all
+    monkeypatch.setattr(pairing, "assign_all", lambda cost, n: calls.append(len(n)) or each(cost, n))
+    partner = pairing._partners(key, side, np.array([r[2] for r in rows]).T)
+    # Keys of three sizes a side, not one call a key.
+    assert len(calls) <= 9 and sum(calls) == sum(min(n) > 0 for n in sizes)
+    total = [0] * len(sizes)
+    for at, other in enumerate(partner):
+        if other >= 0:
+            assert partner[other] == at and key[at] == key[other] and side[at] != side[other]
+            total[key[at]] += sum(x != y for x, y in zip(rows[at][2], rows[other][2]))
+    for k in range(0, len(sizes), 10):
+        e, g = ([r[2] for r in rows if r[:2] == (k, s)] for s in (0, 1))
+        assert total[k] == (2 * _least_total(e, g) if e and g else 0)
+        assert sum(partner[at] >= 0 for at in np.flatnonzero(key == k)) == 2 * min(len(e), len(g))
+
+
+def test_closest_pairs_of_small_large_and_copied_rows_at_once(spark):
+    small = [("s", "1", "x", "y"), ("s", "2", "u", "v")]
+    expected = small + [("c", "a", "b", "c")] * 100 + [("l", f"a{i}", f"b{i}", "z") for i in range(60)] + [("o", "1", "1", "1")]
+    produced = [("s", "1", "u", "v"), ("s", "2", "x", "w")] + [("c", "a", "b", "d")] * 70 + [("l", f"a{i}", f"b{i}", "q") for i in range(60)]
+    schema = "k string, a string, b string, c string"
+    told = reconcile(spark.createDataFrame(expected, schema), spark.createDataFrame(produced, schema), ["k"]).differences(closest=True)
+    got = Counter((r.type, (r.expected or r.generated).k, r.expected and r.generated and sum(x != y for x, y in zip(r.expected, r.generated)), r.copies) for r in told.collect())
+    assert got == {
+        ("cells", "s", 1, 1): 1, ("cells", "s", 2, 1): 1, ("cells", "c", 1, 70): 1, ("only_in_expected", "c", None, 30): 1,
+        ("cells", "l", 1, 1): 60, ("only_in_expected", "o", None, 1): 1,
+    }
+
+
+def test_values_are_counted_as_they_are_where_types_allow(spark):
+    from pyspark.sql import types as T
+
+    from tallyline.operators.reconcile import told_apart_as
+
+    rows = spark.range(6).selectExpr(
+        "int(id) as k", "if(id = 0, null, cast(id as decimal(9,2))) as d", "if(id = 1, null, id > 2) as b", "if(id = 2, '', '1.0') as t",
+        "if(id = 3, null, timestamp_ntz '2020-01-01 00:00:00.5') as at", "cast(id as decimal(9,2)) as s", "if(id = 4, null, double(id)) as f",
+    )
+    made = rows.selectExpr("bigint(k) as k", "cast(d as decimal(12,2)) as d", "b", "if(t = '', null, '01') as t", "cast(at as timestamp) as at", "cast(s as decimal(12,4)) as s", "cast(f as string) as f")
+    found = reconcile(rows, made, ["k"])
+    done = found.summary().first()
+    assert (done.matched, done.verdict) == (6, "PASS")
+    (cell,) = reconcile(rows, made.withColumn("d", F.when(F.col("k") == 0, 0).otherwise(F.col("d")).cast("decimal(12,2)")), ["k"]).cells().collect()
+    assert (cell.key, cell.col, cell.expected, cell.generated) == ("0", "d", "", "0")
+    assert told_apart_as(T.IntegerType(), T.LongType()) == T.LongType() and told_apart_as(T.DecimalType(9, 2), T.DecimalType(12, 4)) is None
+    assert told_apart_as(T.StringType(), T.StringType()) is None and told_apart_as(T.DoubleType(), T.DoubleType()) is None
