@@ -296,3 +296,11 @@ def test_values_are_counted_as_they_are_where_types_allow(spark):
     assert (cell.key, cell.col, cell.expected, cell.generated) == ("0", "d", "", "0")
     assert told_apart_as(T.IntegerType(), T.LongType()) == T.LongType() and told_apart_as(T.DecimalType(9, 2), T.DecimalType(12, 4)) is None
     assert told_apart_as(T.StringType(), T.StringType()) is None and told_apart_as(T.DoubleType(), T.DoubleType()) is None
+
+
+@pytest.mark.parametrize("closest", [False, True])
+def test_columns_may_have_any_name(spark, closest):
+    rows = spark.range(3).selectExpr("id as k", "'a' as _n", "'b' as _side", "id as `a.b`")
+    made = rows.withColumn("_n", F.when(F.col("k") == 1, "c").otherwise(F.col("_n")))
+    (cell,) = reconcile(rows, made, ["k"]).cells(closest).collect()
+    assert (cell.key, cell.col, cell.expected, cell.generated) == ("1", "_n", "a", "c")
